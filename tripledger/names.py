@@ -13,6 +13,7 @@ PASSENGERS = "passenger_count"
 AMOUNT = "total_amount"
 MONTH = "date_reference"
 LOADED = "insertion_date"
+PICKUP_MONTH = "data_particao"
 CORE = [VENDOR, PICKUP, DROPOFF, PASSENGERS, AMOUNT]
 
 # --- fixed values: verdict and quarantine columns --------------------------------

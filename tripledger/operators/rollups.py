@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripledger import names as n
+from tripledger.functions.columns import whole_seconds
 from tripledger.functions.months import in_months_of_year, month_label
 
 
@@ -17,46 +20,63 @@ def _rounded(aggregate, column: str, digits: int) -> Column:
     return F.round(aggregate(column), digits)
 
 
+def _in_months(trips: DataFrame, year: int, first: int, last: int) -> DataFrame:
+    """Pickup within the months; a table laid out by pickup month also skips partitions."""
+    kept = trips.where(in_months_of_year(n.PICKUP, year, first, last))
+    if n.PICKUP_MONTH in trips.columns:
+        months = F.col(n.PICKUP_MONTH).between(F.lit(date(year, first, 1)), F.lit(date(year, last, 1)))
+        kept = kept.where(months)
+    return kept
+
+
 # --- fixed values: result column names -------------------------------------------
 def monthly_amount(
-    trips: DataFrame, year: int | None = None, months: tuple[int, int] = (1, 12), full: bool = True
+    trips: DataFrame,
+    year: int | None = None,
+    months: tuple[int, int] = (1, 12),
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Charged amounts per pickup month, positive amounts only, in calendar order.
 
-    Without a year all months count; ``full=False`` leaves out label, sum and extremes.
+    Without a year all months count; ``columns`` picks some of the result columns.
     """
-    kept = trips.where(positive(n.AMOUNT))
-    if year is not None:
-        kept = kept.where(in_months_of_year(n.PICKUP, year, *months))
-    grouped = kept.groupBy(F.year(n.PICKUP).alias("ano"), F.month(n.PICKUP).alias("mes")).agg(
-        _rounded(F.avg, n.AMOUNT, 2).alias("media_valor_total"),
-        F.count("*").alias("total_corridas"),
-        _rounded(F.sum, n.AMOUNT, 2).alias("valor_total_periodo"),
-        _rounded(F.min, n.AMOUNT, 2).alias("valor_minimo"),
-        _rounded(F.max, n.AMOUNT, 2).alias("valor_maximo"),
+    kept = trips if year is None else _in_months(trips, year, *months)
+    grouped = (
+        kept.where(positive(n.AMOUNT))
+        .groupBy(F.year(n.PICKUP).alias("ano"), F.month(n.PICKUP).alias("mes"))
+        .agg(
+            _rounded(F.avg, n.AMOUNT, 2).alias("media_valor_total"),
+            F.count("*").alias("total_corridas"),
+            _rounded(F.sum, n.AMOUNT, 2).alias("valor_total_periodo"),
+            _rounded(F.min, n.AMOUNT, 2).alias("valor_minimo"),
+            _rounded(F.max, n.AMOUNT, 2).alias("valor_maximo"),
+        )
     )
-    if not full:
-        return grouped.select("ano", "mes", "media_valor_total", "total_corridas").orderBy("ano", "mes")
     label = F.concat(F.col("ano"), F.lit("-"), F.lpad(F.col("mes").cast("string"), 2, "0"))
-    return grouped.select(
+    result = grouped.select(
         "ano", "mes", label.alias("periodo"), "media_valor_total", "total_corridas",
         "valor_total_periodo", "valor_minimo", "valor_maximo",
-    ).orderBy("ano", "mes")
+    )
+    return result.select(*(columns or result.columns)).orderBy("ano", "mes")
 
 
-def hourly_passengers(trips: DataFrame, year: int, month: int, full: bool = True) -> DataFrame:
+def hourly_passengers(
+    trips: DataFrame, year: int, month: int, columns: list[str] | None = None
+) -> DataFrame:
     """Passengers per pickup hour of one month, positive counts only, in order of the hour."""
-    kept = trips.where(positive(n.PASSENGERS) & in_months_of_year(n.PICKUP, year, month, month))
-    grouped = kept.groupBy(F.hour(n.PICKUP).alias("hora_do_dia")).agg(
-        _rounded(F.avg, n.PASSENGERS, 2).alias("media_passageiros"),
-        F.count("*").alias("total_corridas"),
-        _rounded(F.sum, n.PASSENGERS, 0).alias("total_passageiros"),
-        _rounded(F.min, n.PASSENGERS, 0).alias("min_passageiros"),
-        _rounded(F.max, n.PASSENGERS, 0).alias("max_passageiros"),
+    grouped = (
+        _in_months(trips, year, month, month)
+        .where(positive(n.PASSENGERS))
+        .groupBy(F.hour(n.PICKUP).alias("hora_do_dia"))
+        .agg(
+            _rounded(F.avg, n.PASSENGERS, 2).alias("media_passageiros"),
+            F.count("*").alias("total_corridas"),
+            _rounded(F.sum, n.PASSENGERS, 0).alias("total_passageiros"),
+            _rounded(F.min, n.PASSENGERS, 0).alias("min_passageiros"),
+            _rounded(F.max, n.PASSENGERS, 0).alias("max_passageiros"),
+        )
     )
-    if not full:
-        grouped = grouped.select("hora_do_dia", "media_passageiros", "total_corridas")
-    return grouped.orderBy("hora_do_dia")
+    return grouped.select(*(columns or grouped.columns)).orderBy("hora_do_dia")
 
 
 def row_count(rows: DataFrame) -> DataFrame:
@@ -103,7 +123,7 @@ def enrich(trips: DataFrame) -> DataFrame:
     """Trip duration in whole seconds, pickup day and pickup month."""
     return trips.withColumns(
         {
-            "duration_seconds": F.col(n.DROPOFF).cast("bigint") - F.col(n.PICKUP).cast("bigint"),
+            "duration_seconds": whole_seconds(F.col(n.PICKUP), F.col(n.DROPOFF)),
             "pickup_date": F.to_date(n.PICKUP),
             "pickup_period": month_label(n.PICKUP),
         }

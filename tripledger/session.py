@@ -31,6 +31,7 @@ def local_session(cores: int = 8, name: str = "tripledger") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in ENGINE_SETTINGS.items():
         builder = builder.config(key, value)
