@@ -15,6 +15,15 @@ from tripledger.checks.oracle import oracle_sql
 from tripledger.checks.queries import QUERIES
 from tripledger.session import local_session
 
+TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
 
 def open_tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -44,6 +53,9 @@ def difference(spark: SparkSession, con: duckdb.DuckDBPyConnection, key: str, sf
     wanted = _multiset(names, result.fetchall())
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    kinds = {c[0]: TYPES.get(str(c[1]), str(c[1])) for c in result.description}
+    if dict(df.dtypes) != kinds:
+        return f"types differ: {sorted(set(df.dtypes) ^ set(kinds.items()))}"
     if found != wanted:
         return (
             f"{sum(found.values())} rows against {sum(wanted.values())}; "

@@ -244,8 +244,8 @@ STAGED_COLUMNS = TRIP_COLUMNS.replace("VendorID", "vendor_id")
 TRUSTED_COLUMNS = "vendor_id, tpep_pickup_datetime, tpep_dropoff_datetime, passenger_count, total_amount"
 IN_RANGE = f"date_reference BETWEEN DATE '{START}-01' AND DATE '{END}-01'"
 IN_JAN_MAY = "tpep_pickup_datetime >= TIMESTAMP '1997-01-01' AND tpep_pickup_datetime < TIMESTAMP '1997-06-01'"
-TRUSTED = "trusted AS (SELECT vendor_id, tpep_pickup_datetime, tpep_dropoff_datetime, passenger_count, total_amount " \
-          "FROM flagged WHERE tem_erro = 0)"
+TRUSTED = "trusted AS (SELECT CAST(vendor_id AS BIGINT) AS vendor_id, tpep_pickup_datetime, tpep_dropoff_datetime, " \
+          "passenger_count, total_amount FROM flagged WHERE tem_erro = 0)"
 WITH_DATES = (
     "* REPLACE (CAST(date_reference AS VARCHAR) AS date_reference, CAST(insertion_date AS VARCHAR) AS insertion_date)"
 )
@@ -528,9 +528,17 @@ def oracle_sql() -> dict[str, str]:
     o["export_csv"] = o["export_parquet"] = _sql("SELECT * FROM trusted", *valid)
     keyless = "vendor_id IS NULL OR tpep_pickup_datetime IS NULL OR tpep_dropoff_datetime IS NULL"
     o["merge_staging"] = _sql(
-        f"SELECT {STAGED_COLUMNS} FROM core UNION ALL SELECT {STAGED_COLUMNS} FROM core WHERE {keyless}", TRIPS, CORE
+        f"SELECT * REPLACE (CAST(vendor_id AS BIGINT) AS vendor_id) FROM (SELECT {STAGED_COLUMNS} FROM core "
+        f"UNION ALL SELECT {STAGED_COLUMNS} FROM core WHERE {keyless})",
+        TRIPS, CORE,
+    )
+    o["merge_trusted"] = o["merge_trusted_lookup"] = o["split_valid"]
+    o["merge_trusted_hot_key"] = _sql(
+        """SELECT * FROM trusted WHERE hour(tpep_pickup_datetime) >= 8 UNION ALL
+           SELECT 2, TIMESTAMP '1997-03-01 00:00:00', TIMESTAMP '1997-03-01 00:30:00', 1, CAST(20.5 AS DOUBLE)
+           FROM trusted WHERE hour(tpep_pickup_datetime) < 8""",
+        *valid,
     )
-    o["merge_trusted"] = o["merge_trusted_hot_keys"] = o["split_valid"]
     o["merge_trusted_deduped"] = _sql("SELECT DISTINCT * FROM trusted", *valid)
     o["merge_quarantine"] = _sql(
         f"{by_class} UNION ALL SELECT '2001-12-02', tipo_erro, count(*) FROM rejected GROUP BY ALL",
@@ -592,7 +600,7 @@ def oracle_sql() -> dict[str, str]:
               concat_ws(' | ', CASE WHEN tpep_pickup_datetime IS NULL THEN 'P' END,
                                CASE WHEN tpep_dropoff_datetime IS NULL THEN 'D' END) AS joined,
               CAST(year(tpep_pickup_datetime) AS INTEGER) AS y, CAST(month(tpep_pickup_datetime) AS INTEGER) AS m,
-              CAST(hour(tpep_pickup_datetime) AS INTEGER) AS hr, round(total_amount, 2) AS rounded,
+              CAST(hour(tpep_pickup_datetime) AS INTEGER) AS hr, CAST(round(CAST(total_amount AS DECIMAL(18, 6)), 2) AS DOUBLE) AS rounded,
               {day_of_pickup} AS day,
               CAST(CAST(tpep_pickup_datetime AS DATE) - 3650 AS VARCHAR) AS ten_years_before,
               {SECONDS} AS seconds, CAST(date_reference AS VARCHAR) AS parsed,

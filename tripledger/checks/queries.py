@@ -14,7 +14,7 @@ from tripledger.functions import months
 from tripledger.functions.columns import whole_seconds
 from tripledger.operators import conform as cf
 from tripledger.operators import gates, metrics, rollups
-from tripledger.operators.merge import insert_only_merge
+from tripledger.operators.merge import Routing, insert_only_merge
 from tripledger.operators.rules import (
     CODED,
     TYPE,
@@ -494,9 +494,9 @@ def _(spark, sf_dir):
         return place.files("staging").select(*batch.columns)
 
 
-def _merge_trusted(spark, sf_dir, **options) -> DataFrame:
-    valid = with_pickup_month(trusted(spark, sf_dir))
-    with lake(spark) as place:
+def _merge_trusted(rows: DataFrame, **options) -> DataFrame:
+    valid = with_pickup_month(rows)
+    with lake(rows.sparkSession) as place:
         table = place.trusted()
         for _ in range(2):
             insert_only_merge(valid, table, n.CORE, prune_on=n.PICKUP_MONTH,
@@ -506,18 +506,34 @@ def _merge_trusted(spark, sf_dir, **options) -> DataFrame:
 
 @query("merge_trusted")
 def _(spark, sf_dir):
-    return _merge_trusted(spark, sf_dir)
+    """The second run finds every key stored and adds nothing; the keys meet in a join."""
+    return _merge_trusted(trusted(spark, sf_dir), routing=Routing(lookup_rows=0))
+
+
+@query("merge_trusted_lookup")
+def _(spark, sf_dir):
+    """The same batch by lookup: months with few rows are not shuffled."""
+    return _merge_trusted(trusted(spark, sf_dir))
 
 
-@query("merge_trusted_hot_keys")
+@query("merge_trusted_hot_key")
 def _(spark, sf_dir):
-    """Every repeated key takes the path for keys too frequent to shuffle."""
-    return _merge_trusted(spark, sf_dir, hot_rows_min=2)
+    """A third of the rows carries one and the same key."""
+    night = F.hour(n.PICKUP) < 8
+    same = {
+        n.VENDOR: F.lit(2).cast("bigint"),
+        n.PICKUP: F.lit("1997-03-01 00:00:00").cast("timestamp"),
+        n.DROPOFF: F.lit("1997-03-01 00:30:00").cast("timestamp"),
+        n.PASSENGERS: F.lit(1),
+        n.AMOUNT: F.lit(20.5),
+    }
+    rows = trusted(spark, sf_dir).select([F.when(night, same[c]).otherwise(F.col(c)).alias(c) for c in n.CORE])
+    return _merge_trusted(rows, routing=Routing(hot_rows=100, lookup_rows=0))
 
 
 @query("merge_trusted_deduped")
 def _(spark, sf_dir):
-    return _merge_trusted(spark, sf_dir, dedupe_source=True)
+    return _merge_trusted(trusted(spark, sf_dir), dedupe_source=True)
 
 
 @query("merge_quarantine")

@@ -7,18 +7,30 @@ change. One writer at a time: the check and the append are two steps.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.operators.writers import append, arrange
 
-HOT_KEYS_MAX = 1000
-TRACKED_KEYS = 20_000
-HOT_SHARE = 0.001
-HOT_ROWS_MIN = 1_000_000
+
+@dataclass(frozen=True)
+class Routing:
+    """When a key is too frequent for one task, and how many rows may be broadcast."""
+
+    hot_share: float = 0.005
+    hot_rows: int = 1_000_000
+    lookup_rows: int = 100_000
+
+
+# Keys are counted in slices by hash, each with a small frequent-items sketch: a key with
+# hot_share of all rows is a sixth of its slice, far above the sketch's error of about 3 %.
+SLICES = 32
+TRACKED = 128
+LISTED = 32
 
 
 def _same_key(left: str, right: str, keys: list[str], null_safe: bool) -> Column:
@@ -26,53 +38,110 @@ def _same_key(left: str, right: str, keys: list[str], null_safe: bool) -> Column
     return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
-def profile_keys(
-    rows: DataFrame, keys: list[str], prune_on: str | None = None, min_rows: int = HOT_ROWS_MIN
-) -> tuple[list[int], list]:
-    """Hashes of the keys one task could not carry, and the partitions the rows belong to.
+def profile_keys(rows: DataFrame, keys: list[str], prune_on: str | None = None) -> list[Row]:
+    """Row count and most frequent key hashes per table partition and hash slice.
 
-    One pass, no shuffle of rows: a fixed-size frequent-items sketch per task, and a set
-    that cannot outgrow the number of table partitions. The hashes only steer rows to one
-    of two exact joins, so an estimate is good enough.
+    One pass that shuffles only counters. What comes back has a fixed size per partition.
     """
-    partition = F.struct(prune_on) if prune_on else F.lit(None).cast("string")
-    found = (
-        rows.select(F.xxhash64(*keys).alias("hash"), partition.alias("partition"))
-        .agg(
-            F.count("*").alias("rows"),
-            F.expr(f"approx_top_k(hash, {HOT_KEYS_MAX}, {TRACKED_KEYS})").alias("top"),
-            F.collect_set("partition").alias("partitions"),
-        )
-        .first()
+    key_hash = F.xxhash64(*keys)
+    partition = F.col(prune_on) if prune_on else F.lit(None).cast("string")
+    return (
+        rows.select(partition.alias("partition"), key_hash.alias("hash"), F.pmod(key_hash, F.lit(SLICES)).alias("slice"))
+        .groupBy("partition", "slice")
+        .agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(hash, {LISTED}, {TRACKED})").alias("top"))
+        .collect()
     )
-    least = max(found["rows"] * HOT_SHARE, min_rows)
-    hot = [t["item"] for t in found["top"] if t["count"] >= least]
-    return hot, [p[0] for p in found["partitions"]] if prune_on else []
 
 
-def rows_to_insert(
-    source: DataFrame, target: DataFrame, keys: list[str], null_safe: bool = False, hot: list[int] | None = None
-) -> DataFrame:
-    """Source rows without a partner in the target.
+def hot_hashes(profile: list[Row], routing: Routing) -> set[int]:
+    """Hashes of keys one task could not carry. They only steer rows to one of two exact
+    joins, so estimated counts are good enough."""
+    least = max(sum(p["rows"] for p in profile) * routing.hot_share, routing.hot_rows)
+    copies: dict[int, int] = {}
+    for p in profile:
+        for t in p["top"]:
+            copies[t["item"]] = copies.get(t["item"], 0) + t["count"]
+    return {key for key, count in copies.items() if count >= least}
+
+
+def small_partitions(profile: list[Row], routing: Routing) -> list:
+    """Partitions with so few source rows that all of them together can be broadcast.
+
+    A monthly batch usually has stray rows in many other months: looking those few keys
+    up spares shuffling the stored rows of all these months.
+    """
+    counts: dict = {}
+    for p in profile:
+        counts[p["partition"]] = counts.get(p["partition"], 0) + p["rows"]
+    small, total = [], 0
+    for partition, count in sorted(counts.items(), key=lambda c: c[1]):
+        total += count
+        if total > routing.lookup_rows:
+            break
+        small.append(partition)
+    return small
+
+
+def without_partner(source: DataFrame, target: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """Source rows whose key the target lacks, as one anti join."""
+    return source.alias("s").join(target.alias("t"), _same_key("s", "t", keys, null_safe), "left_anti")
 
-    Rows whose key hash is listed in ``hot`` never enter the shuffled join: their
-    distinct target keys are at most one per listed hash (bar 64-bit collisions), so
-    they are broadcast. All other rows meet in an ordinary anti join.
+
+def looked_up(source: DataFrame, target: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """The same for a source with few distinct keys: the target is scanned, not shuffled.
+
+    The source's distinct keys are broadcast, and so are those of them the target holds.
     """
-    existing = target.select(*keys)
+    wanted = F.broadcast(source.select(*keys).distinct())
     condition = _same_key("s", "t", keys, null_safe)
-    if not hot:
-        return source.alias("s").join(existing.alias("t"), condition, "left_anti")
-    is_hot = F.xxhash64(*keys).isin(hot)
-    cold = source.where(~is_hot).alias("s").join(existing.where(~is_hot).alias("t"), condition, "left_anti")
-    met = F.broadcast(existing.where(is_hot).distinct())
-    frequent = source.where(is_hot).alias("s").join(met.alias("t"), condition, "left_anti")
-    return cold.unionByName(frequent)
+    met = target.alias("s").join(wanted.alias("t"), condition, "left_semi").select(*keys).distinct()
+    return without_partner(source, F.broadcast(met), keys, null_safe)
+
+
+def new_rows(
+    source: DataFrame,
+    target: DataFrame,
+    keys: list[str],
+    null_safe: bool = False,
+    prune_on: str | None = None,
+    routing: Routing = Routing(),
+) -> DataFrame:
+    """Source rows whose key the target lacks; each row takes one of two exact ways.
+
+    Rows with a hot key or in a partition with few source rows are looked up, bounded by
+    ``routing``; the rest meets the stored rows of its partitions in a shuffled anti join.
+    """
+    profile = profile_keys(source, keys, prune_on)
+    small = small_partitions(profile, routing)
+    large = list({p["partition"] for p in profile} - set(small))
+    if not profile:
+        return source
+
+    def within(rows: DataFrame, partitions: list) -> DataFrame:
+        return rows.where(_among(prune_on, partitions)) if prune_on else rows
+
+    hot = hot_hashes(profile, routing)
+    if large:
+        hot |= hot_hashes(profile_keys(within(target, large), keys), routing)
+    is_hot = F.xxhash64(*keys).isin(sorted(hot)) if hot else F.lit(False)
+    in_small = _among(prune_on, small) if prune_on else F.lit(not large)
+    aside = in_small | is_hot
+
+    parts = []
+    if large:
+        stored = within(target, large).where(~is_hot)
+        parts.append(without_partner(source.where(~aside), stored, keys, null_safe))
+    if small or hot:
+        stored = within(target, small + large if hot else small).where(aside)
+        parts.append(looked_up(source.where(aside), stored, keys, null_safe))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _among(column: str, values: list) -> Column:
     known = F.col(column).isin([v for v in values if v is not None])
-    return known | F.col(column).isNull() if None in values else known
+    if None in values:
+        return F.col(column).isNull() | known
+    return F.coalesce(known, F.lit(False))
 
 
 def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -105,13 +174,13 @@ def insert_only_merge(
     evolve: bool = False,
     prune_on: str | None = None,
     layout: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()),
-    hot_rows_min: int = HOT_ROWS_MIN,
+    routing: Routing = Routing(),
 ) -> None:
     """Append to ``table`` the source rows whose key it does not hold.
 
     ``prune_on`` names a partition column that follows from the key: only partitions
-    the batch touches are then read.
-    ``layout`` gives partition and cluster columns for the written files.
+    the batch touches are then read. ``layout`` gives partition and cluster columns for
+    the written files.
     """
     spark = source.sparkSession
     if evolve:
@@ -119,11 +188,7 @@ def insert_only_merge(
     target = spark.table(table)
     rows = _aligned(source, target)
     if not target.isEmpty():
-        hot, touched = profile_keys(rows, keys, prune_on, hot_rows_min)
-        if prune_on:
-            target = target.where(_among(prune_on, touched))
-        hot_in_target, _ = profile_keys(target, keys, min_rows=hot_rows_min)
-        rows = rows_to_insert(rows, target, keys, null_safe, sorted({*hot, *hot_in_target}))
+        rows = new_rows(rows, target, keys, null_safe, prune_on, routing)
     if dedupe_source:
         rows = rows.dropDuplicates()
     append(arrange(rows, *layout), table)

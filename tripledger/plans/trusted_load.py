@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripledger import names as n
 from tripledger.operators.gates import enforce, gate_error_rate, gate_type_rate
-from tripledger.operators.merge import HOT_ROWS_MIN, insert_only_merge
+from tripledger.operators.merge import Routing, insert_only_merge
 from tripledger.operators.metrics import quality_metrics, run_summary
 from tripledger.operators.rules import Limits, quarantine_rows, valid_rows, with_rules
 from tripledger.operators.staging import stage
@@ -39,7 +39,7 @@ class TrustedLoad:
     null_safe: bool = False
     max_pct_error: str = n.MAX_PCT_ERROR
     max_pct_type: str = n.MAX_PCT_TYPE
-    hot_rows_min: int = HOT_ROWS_MIN
+    routing: Routing = Routing()
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def stage_batch(spark: SparkSession, job: TrustedLoad) -> DataFrame:
     """Add the batch to the staging table. Rows a failed run left there are judged again."""
     batch = stage(spark.table(job.raw), job.start, job.end, on_error="flag")
     insert_only_merge(
-        batch, job.staging, STAGING_KEYS, job.null_safe, job.dedupe_source, hot_rows_min=job.hot_rows_min
+        batch, job.staging, STAGING_KEYS, job.null_safe, job.dedupe_source, routing=job.routing
     )
     return spark.table(job.staging)
 
@@ -69,7 +69,7 @@ def write_trusted(valid: DataFrame, job: TrustedLoad) -> None:
         n.CORE,
         prune_on=n.PICKUP_MONTH,
         layout=((n.PICKUP_MONTH,), (n.VENDOR,)),
-        hot_rows_min=job.hot_rows_min,
+        routing=job.routing,
     )
 
 
@@ -83,7 +83,7 @@ def write_quarantine(rejected: DataFrame, job: TrustedLoad) -> None:
     keys = [c for c in rejected.columns if c != n.STAMP]
     insert_only_merge(
         rejected, job.quarantine, keys, null_safe=True, prune_on=n.QUARANTINE_DAY,
-        layout=layout, hot_rows_min=job.hot_rows_min,
+        layout=layout, routing=job.routing,
     )
 
 
