@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import (
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from tripledger import names as n
 
@@ -45,13 +54,21 @@ STAGING_COLUMNS = TRUSTED_COLUMNS + [
 ]
 
 
+TYPES = {
+    "bigint": LongType(),
+    "int": IntegerType(),
+    "double": DoubleType(),
+    "string": StringType(),
+    "date": DateType(),
+    "timestamp": TimestampType(),
+}
+
+
 def struct(columns: list[tuple[str, str, str]]) -> StructType:
-    ddl = ", ".join(f"`{name}` {kind}" for name, kind, _ in columns)
-    meanings = {name: meaning for name, _, meaning in columns}
     return StructType(
         [
-            StructField(f.name, f.dataType, True, {"comment": meanings[f.name]} if meanings[f.name] else {})
-            for f in StructType.fromDDL(ddl)
+            StructField(name, TYPES[kind], True, {"comment": meaning} if meaning else {})
+            for name, kind, meaning in columns
         ]
     )
 
