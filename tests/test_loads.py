@@ -1,10 +1,10 @@
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tripledger import names as n
-from tripledger.operators import gates
+from tripledger.operators import gates, rollups
 from tripledger.operators.conform import EmptyInputError, SchemaError, conform
 from tripledger.operators.merge import Routing
 from tripledger.operators.rules import Limits
@@ -112,6 +112,8 @@ def test_load_and_rerun(spark, lake, routing):
     assert result.summary.first().asDict() == {
         "registros_quarentena": 2, "erros_tipagem": 0, "erros_logica_negocio": 0
     }
+    assert spark.table(n.METRICS_VIEW).first()[n.TOTAL_ERRORS] == 2
+    assert spark.table(n.FLAGGED_VIEW).count() == 0
     # The coded quarantine key holds the moment of the run: a rerun appends.
     load_trusted(spark, job(lake, LATER, routing=routing))
     assert sizes(spark, lake) == (0, 99, 4)
@@ -157,6 +159,30 @@ def test_the_newest_load_day_is_taken_over_the_whole_table(spark, lake):
     assert stage(spark.table(lake.name("raw")), "2023-04", "2023-05").count() == 1
 
 
+def test_plain_sql_over_the_trusted_table_equals_the_rollup(spark, lake):
+    fill(spark, lake, GOOD + BAD)
+    load_trusted(spark, job(lake))
+    by_sql = spark.sql(
+        """SELECT year(tpep_pickup_datetime) AS ano, month(tpep_pickup_datetime) AS mes,
+                  round(avg(total_amount), 2) AS media_valor_total, count(*) AS total_corridas
+           FROM IDENTIFIER(:t) WHERE total_amount > 0 AND year(tpep_pickup_datetime) = :y
+           GROUP BY ALL ORDER BY ano, mes""",
+        {"t": lake.name("trusted"), "y": 2023},
+    )
+    columns = ["ano", "mes", "media_valor_total", "total_corridas"]
+    rollup = rollups.monthly_amount(spark.table(lake.name("trusted")), 2023, columns=columns)
+    assert by_sql.collect() == rollup.collect() != []
+
+
+def test_limits_starting_now_accept_a_trip_of_today(spark, lake):
+    start = datetime.now(timezone.utc).replace(tzinfo=None) - timedelta(hours=1)
+    now = start.date().replace(day=1)
+    fill(spark, lake, [(1, start, start + timedelta(minutes=5), 1.0, 5.0, now, now)])
+    month = now.strftime("%Y-%m")
+    load_trusted(spark, job(lake, Limits.starting_now(), start=month, end=month))
+    assert sizes(spark, lake) == (0, 1, 0)
+
+
 def test_trusted_is_laid_out_by_pickup_month(spark, lake):
     fill(spark, lake, GOOD + [(1, datetime(2023, 4, 30, 23, 55), datetime(2023, 5, 1, 0, 10), 1.0, 9.0,
                               date(2023, 5, 1), date(2023, 6, 1))])

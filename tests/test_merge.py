@@ -60,7 +60,10 @@ def test_dedupe_source(spark, lake):
 def test_schema_evolution_both_ways(spark, lake):
     name = table(lake)
     insert_only_merge(spark.createDataFrame([(1, 5)], KEYED), name, ["k"])
-    insert_only_merge(spark.createDataFrame([(2, "x")], "k int, extra string"), name, ["k"], evolve=True)
+    later = spark.createDataFrame([(2, "x")], "k int, extra string")
+    with pytest.raises(ValueError, match="extra"):
+        insert_only_merge(later, name, ["k"])
+    insert_only_merge(later, name, ["k"], evolve=True)
     assert {(r.k, r.v, r.extra) for r in spark.table(name).collect()} == {(1, 5, None), (2, None, "x")}
 
 

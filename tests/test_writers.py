@@ -57,6 +57,11 @@ def test_table_creation_is_repeatable_and_keeps_comments(spark, lake):
     )
 
 
+def test_schemas_are_listed(spark, lake):
+    assert lake.schema in {r.schema for r in tables.schemas(spark).collect()}
+    tables.create_schema(spark, lake.schema, "again")
+
+
 def test_one_month_with_nearly_all_rows_is_written_by_many_tasks(spark):
     path = work_folder(spark, "skew")
     rows = spark.range(200_000, numPartitions=8).select(

@@ -604,7 +604,9 @@ def oracle_sql() -> dict[str, str]:
               {day_of_pickup} AS day,
               CAST(CAST(tpep_pickup_datetime AS DATE) - 3650 AS VARCHAR) AS ten_years_before,
               {SECONDS} AS seconds, CAST(date_reference AS VARCHAR) AS parsed,
-              CAST(passenger_count BETWEEN 0 AND 9 AS INTEGER) AS seated
+              CAST(passenger_count BETWEEN 0 AND 9 AS INTEGER) AS seated,
+              VendorID NOT BETWEEN 1 AND 4 AS outside,
+              CASE WHEN total_amount > 1000 THEN 'high' END AS band, CAST(NULL AS VARCHAR) AS asserted
             FROM trips""",
         TRIPS,
     )

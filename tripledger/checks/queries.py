@@ -664,6 +664,9 @@ def _(spark, sf_dir):
         whole_seconds(pickup, dropoff).alias("seconds"),
         F.to_date(F.concat(F.date_format(n.MONTH, "yyyy-MM"), F.lit("-01")), "yyyy-MM-dd").alias("parsed"),
         F.col("passenger_count").between(0, 9).cast("int").alias("seated"),
+        (~F.col("VendorID").between(1, 4)).alias("outside"),
+        F.expr("if(total_amount > 1000, 'high', NULL)").alias("band"),
+        F.assert_true(F.col(n.MONTH).isNotNull(), "no month").cast("string").alias("asserted"),
     )
 
 

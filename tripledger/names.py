@@ -38,6 +38,10 @@ PCT_ERROR = "percentual_erro"
 PCT_VALID = "percentual_validos"
 PCT_TYPE = "percentual_erro_tipagem"
 
+# --- fixed values: temporary views of a load --------------------------------------
+FLAGGED_VIEW = "vw_taxi_validado"
+METRICS_VIEW = "vw_metricas_qualidade"
+
 # --- fixed values: limits --------------------------------------------------------
 VENDOR_RANGE = (1, 4)
 PASSENGERS_MAX = 9

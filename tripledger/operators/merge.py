@@ -147,6 +147,9 @@ def _among(column: str, values: list) -> Column:
 def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
     """Target columns in target types; a column the source lacks is NULL."""
     have = set(source.columns)
+    surplus = sorted(have - set(target.columns))
+    if surplus:
+        raise ValueError(f"the target has no columns {surplus}: merge with evolve=True")
     return source.select(
         [
             (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import reduce
 from operator import or_
 
@@ -26,6 +27,11 @@ class Limits:
     min_seconds: int = n.MIN_SECONDS
     max_seconds: int = n.MAX_SECONDS
 
+    @classmethod
+    def starting_now(cls, **changes) -> Limits:
+        """Limits as of this moment, fixed here so that every later step sees the same one."""
+        return cls(datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f"), **changes)
+
     @property
     def now(self) -> Column:
         return moment(self.as_of)

@@ -91,6 +91,8 @@ def load_trusted(spark: SparkSession, job: TrustedLoad) -> RunResult:
     """Stage, check, gate, write valid and rejected rows, summarise, empty the staging table.
 
     A failed gate raises before either write and leaves the staging table as it is.
+    The flagged rows and their metrics can be queried by SQL as temporary views; the view
+    of the rows is empty again once the staging table is.
     """
     create_staging(spark, job.staging)
     create_trusted(spark, job.trusted)
@@ -101,6 +103,8 @@ def load_trusted(spark: SparkSession, job: TrustedLoad) -> RunResult:
     flagged = with_rules(stage_batch(spark, job), job.limits, job.pack)
     measured = quality_metrics(flagged, job.pack)
     metrics = spark.createDataFrame(measured.collect(), measured.schema)
+    flagged.createOrReplaceTempView(n.FLAGGED_VIEW)
+    metrics.createOrReplaceTempView(n.METRICS_VIEW)
     gates = gate_error_rate(metrics, job.max_pct_error).unionByName(gate_type_rate(metrics, job.max_pct_type))
     enforce(gates)
 

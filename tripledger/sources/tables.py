@@ -11,6 +11,12 @@ from tripledger.operators.rules import TYPE_FLAGS, rules_of
 from tripledger.sources import contracts
 
 
+def schemas(spark: SparkSession) -> DataFrame:
+    """Catalogs and schemas the session sees."""
+    lines = [(d.catalog, d.name, d.description) for d in spark.catalog.listDatabases()]
+    return spark.createDataFrame(lines, "catalog string, schema string, comment string")
+
+
 def create_schema(spark: SparkSession, name: str, comment: str = "", location: str | None = None) -> None:
     place = f"LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS IDENTIFIER(:name) COMMENT '{_quoted(comment)}' {place}", {"name": name})
