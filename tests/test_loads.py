@@ -49,6 +49,9 @@ def test_raw_load_replaces_months(spark, lake, failures):
     land(spark, base, 2, [6])
     load_raw(spark, RawLoad(base, job.table, "2023-02", "2023-02"))
     assert vendors(spark, lake) == [(1, 1), (1, 2), (2, 6)]
+    land(spark, base, 2, [1, 6])
+    load_raw(spark, RawLoad(base, job.table, "2023-02", "2023-02", cluster=False))
+    assert vendors(spark, lake) == [(1, 1), (1, 2), (2, 1), (2, 6)]
 
 
 def test_a_failing_month_stops_all_or_is_reported(spark, lake):

@@ -102,6 +102,16 @@ def test_a_key_with_a_third_of_the_rows_stays_out_of_the_shuffled_join(spark):
     assert "BroadcastHashJoin" in plan
 
 
+def test_a_partition_the_target_lacks_needs_no_join(spark):
+    source = spark.range(1000).select(F.col("id").cast("int").alias("v"), (F.col("id") % 2).cast("int").alias("p"))
+    found = new_rows(source, source.where("p = 0"), ["v", "p"], prune_on="p", routing=Routing(lookup_rows=0))
+    assert found.where("p = 1").count() == found.count() == 500
+    only_new = new_rows(source.where("p = 1"), source.where("p = 0"), ["v", "p"], prune_on="p",
+                        routing=Routing(lookup_rows=0))
+    assert only_new.count() == 500
+    assert "Join" not in only_new._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_evenly_spread_keys_need_no_second_way(spark):
     rows = spark.range(20000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
     found = new_rows(rows, rows.where("k < 100"), ["k"], routing=Routing(lookup_rows=0))
@@ -110,7 +120,7 @@ def test_evenly_spread_keys_need_no_second_way(spark):
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("routing", EVERY_WAY[:2])
+@pytest.mark.parametrize("routing", EVERY_WAY)
 def test_only_touched_partitions_of_the_target_are_read(spark, lake, routing):
     name = table(lake, partition_by=("k",))
     spark.createDataFrame([(k, 0) for k in range(20)], KEYED).select("v", "k").write.insertInto(name)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.operators.writers import append, arrange
+from tripledger.session import setting
 
 
 @dataclass(frozen=True)
@@ -45,12 +46,15 @@ def profile_keys(rows: DataFrame, keys: list[str], prune_on: str | None = None)
     """
     key_hash = F.xxhash64(*keys)
     partition = F.col(prune_on) if prune_on else F.lit(None).cast("string")
-    return (
+    counted = (
         rows.select(partition.alias("partition"), key_hash.alias("hash"), F.pmod(key_hash, F.lit(SLICES)).alias("slice"))
         .groupBy("partition", "slice")
         .agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(hash, {LISTED}, {TRACKED})").alias("top"))
-        .collect()
     )
+    # Ten years of months in 32 slices are 4,000 sketches of a few KB: keep them in a hash
+    # map rather than sort all rows of a task, which Spark does from 128 groups by default.
+    with setting(rows.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000"):
+        return counted.collect()
 
 
 def hot_hashes(profile: list[Row], routing: Routing) -> set[int]:
@@ -106,35 +110,37 @@ def new_rows(
     prune_on: str | None = None,
     routing: Routing = Routing(),
 ) -> DataFrame:
-    """Source rows whose key the target lacks; each row takes one of two exact ways.
+    """Source rows whose key the target lacks; each row takes one of three exact ways.
 
-    Rows with a hot key or in a partition with few source rows are looked up, bounded by
-    ``routing``; the rest meets the stored rows of its partitions in a shuffled anti join.
+    Rows of a partition the target does not have yet pass as they are. Rows with a hot key
+    or in a partition with few source rows are looked up, bounded by ``routing``. The rest
+    meets the stored rows of its partitions in a shuffled anti join.
     """
-    profile = profile_keys(source, keys, prune_on)
-    small = small_partitions(profile, routing)
-    large = list({p["partition"] for p in profile} - set(small))
-    if not profile:
-        return source
 
     def within(rows: DataFrame, partitions: list) -> DataFrame:
         return rows.where(_among(prune_on, partitions)) if prune_on else rows
 
-    hot = hot_hashes(profile, routing)
-    if large:
-        hot |= hot_hashes(profile_keys(within(target, large), keys), routing)
+    profile = profile_keys(source, keys, prune_on)
+    small = small_partitions(profile, routing)
+    large = {p["partition"] for p in profile} - set(small)
+    stored = profile_keys(within(target, list(large)), keys, prune_on) if large else []
+    joined = list(large & {p["partition"] for p in stored})
+    fresh = list(large - set(joined))
+
+    hot = hot_hashes(profile, routing) | hot_hashes(stored, routing) if joined else set()
     is_hot = F.xxhash64(*keys).isin(sorted(hot)) if hot else F.lit(False)
+    known = within(source, joined + small)
     in_small = _among(prune_on, small) if prune_on else F.lit(not large)
     aside = in_small | is_hot
 
-    parts = []
-    if large:
-        stored = within(target, large).where(~is_hot)
-        parts.append(without_partner(source.where(~aside), stored, keys, null_safe))
+    parts = [within(source, fresh)] if fresh else []
+    if joined:
+        rest = within(target, joined).where(~is_hot)
+        parts.append(without_partner(known.where(~aside), rest, keys, null_safe))
     if small or hot:
-        stored = within(target, small + large if hot else small).where(aside)
-        parts.append(looked_up(source.where(aside), stored, keys, null_safe))
-    return reduce(DataFrame.unionByName, parts)
+        few = within(target, small + joined if hot else small).where(aside)
+        parts.append(looked_up(known.where(aside), few, keys, null_safe))
+    return reduce(DataFrame.unionByName, parts) if parts else source
 
 
 def _among(column: str, values: list) -> Column:
@@ -176,14 +182,14 @@ def insert_only_merge(
     dedupe_source: bool = False,
     evolve: bool = False,
     prune_on: str | None = None,
-    layout: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()),
+    layout: tuple[tuple[str, ...], ...] = ((),),
     routing: Routing = Routing(),
 ) -> None:
     """Append to ``table`` the source rows whose key it does not hold.
 
     ``prune_on`` names a partition column that follows from the key: only partitions
-    the batch touches are then read. ``layout`` gives partition and cluster columns for
-    the written files.
+    the batch touches are then read. ``layout`` gives partition, cluster and sort
+    columns for the written files.
     """
     spark = source.sparkSession
     if evolve:

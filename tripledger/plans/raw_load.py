@@ -22,7 +22,9 @@ log = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class RawLoad:
     """``failures="stop"`` writes all months in one job, or none of them;
-    ``"continue"`` writes month by month and reports the months that failed."""
+    ``"continue"`` writes month by month and reports the months that failed.
+    ``cluster=False`` leaves the rows in the order and file sizes they were read in, which
+    spares shuffling them."""
 
     landing: str
     table: str
@@ -34,6 +36,7 @@ class RawLoad:
     extras: str = "drop"
     on_error: str = "null"
     failures: str = "stop"
+    cluster: bool = True
 
 
 def conformed_month(spark: SparkSession, job: RawLoad, year: int, month: int) -> DataFrame:
@@ -43,8 +46,8 @@ def conformed_month(spark: SparkSession, job: RawLoad, year: int, month: int) ->
     return require_rows(conformed, f"month {year}-{month:02d}")
 
 
-def _replace(rows: DataFrame, table: str) -> None:
-    replace_partitions(arrange(rows, (n.MONTH,), ("VendorID",)), table)
+def _replace(rows: DataFrame, job: RawLoad) -> None:
+    replace_partitions(arrange(rows, (n.MONTH,), ("VendorID",)) if job.cluster else rows, job.table)
 
 
 def load_raw(spark: SparkSession, job: RawLoad) -> dict[str, str]:
@@ -55,12 +58,12 @@ def load_raw(spark: SparkSession, job: RawLoad) -> dict[str, str]:
     create_raw(spark, job.table)
     if job.failures == "stop":
         # Files may differ in column types from month to month, so each is conformed alone.
-        _replace(reduce(DataFrame.unionByName, [conformed_month(spark, job, *m) for m in months]), job.table)
+        _replace(reduce(DataFrame.unionByName, [conformed_month(spark, job, *m) for m in months]), job)
         return {}
     failed = {}
     for year, month in months:
         try:
-            _replace(conformed_month(spark, job, year, month), job.table)
+            _replace(conformed_month(spark, job, year, month), job)
         except Exception as error:  # each month stands alone here
             log.error("month %d-%02d failed: %s", year, month, error)
             failed[f"{year}-{month:02d}"] = str(error)
