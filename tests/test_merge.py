@@ -92,7 +92,7 @@ def test_a_key_with_a_third_of_the_rows_stays_out_of_the_shuffled_join(spark):
         F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).cast("int").alias("k"), F.lit(1).alias("v")
     )
     routing = Routing(hot_rows=1000, lookup_rows=0)
-    hot = hot_hashes(profile_keys(rows, ["k"]), routing)
+    hot = hot_hashes(profile_keys(rows, ["k"], routing=routing), routing)
     assert hot == {spark.sql("SELECT xxhash64(-1) AS h").first().h}
     target = rows.where("k % 2 = 0 OR k = -1")
     found = new_rows(rows, target, ["k"], routing=routing)
@@ -115,7 +115,8 @@ def test_a_partition_the_target_lacks_needs_no_join(spark):
 def test_evenly_spread_keys_need_no_second_way(spark):
     rows = spark.range(20000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
     found = new_rows(rows, rows.where("k < 100"), ["k"], routing=Routing(lookup_rows=0))
-    assert hot_hashes(profile_keys(rows, ["k"]), Routing(hot_rows=1)) == set()
+    all_counted = Routing(hot_rows=1)
+    assert hot_hashes(profile_keys(rows, ["k"], routing=all_counted), all_counted) == set()
     assert found.count() == 19900
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
 

@@ -39,10 +39,14 @@ def _same_key(left: str, right: str, keys: list[str], null_safe: bool) -> Column
     return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
-def profile_keys(rows: DataFrame, keys: list[str], prune_on: str | None = None) -> list[Row]:
-    """Row count and most frequent key hashes per table partition and hash slice.
-
-    One pass that shuffles only counters. What comes back has a fixed size per partition.
+def profile_keys(
+    rows: DataFrame, keys: list[str], prune_on: str | None = None, routing: Routing = Routing()
+) -> list[Row]:
+    """Row count and frequent key hashes per table partition and hash slice.
+
+    One pass that shuffles only counters. What comes back is a few numbers per partition
+    and slice, and the rare hash with ``hot_rows`` copies. A key lies in one partition, as
+    the partition follows from it, so no copies are missed by counting there.
     """
     key_hash = F.xxhash64(*keys)
     partition = F.col(prune_on) if prune_on else F.lit(None).cast("string")
@@ -50,6 +54,7 @@ def profile_keys(rows: DataFrame, keys: list[str], prune_on: str | None = None)
         rows.select(partition.alias("partition"), key_hash.alias("hash"), F.pmod(key_hash, F.lit(SLICES)).alias("slice"))
         .groupBy("partition", "slice")
         .agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(hash, {LISTED}, {TRACKED})").alias("top"))
+        .withColumn("top", F.filter("top", lambda t: t["count"] >= routing.hot_rows))
     )
     # Ten years of months in 32 slices are 4,000 sketches of a few KB: keep them in a hash
     # map rather than sort all rows of a task, which Spark does from 128 groups by default.
@@ -61,11 +66,7 @@ def hot_hashes(profile: list[Row], routing: Routing) -> set[int]:
     """Hashes of keys one task could not carry. They only steer rows to one of two exact
     joins, so estimated counts are good enough."""
     least = max(sum(p["rows"] for p in profile) * routing.hot_share, routing.hot_rows)
-    copies: dict[int, int] = {}
-    for p in profile:
-        for t in p["top"]:
-            copies[t["item"]] = copies.get(t["item"], 0) + t["count"]
-    return {key for key, count in copies.items() if count >= least}
+    return {t["item"] for p in profile for t in p["top"] if t["count"] >= least}
 
 
 def small_partitions(profile: list[Row], routing: Routing) -> list:
@@ -120,10 +121,10 @@ def new_rows(
     def within(rows: DataFrame, partitions: list) -> DataFrame:
         return rows.where(_among(prune_on, partitions)) if prune_on else rows
 
-    profile = profile_keys(source, keys, prune_on)
+    profile = profile_keys(source, keys, prune_on, routing)
     small = small_partitions(profile, routing)
     large = {p["partition"] for p in profile} - set(small)
-    stored = profile_keys(within(target, list(large)), keys, prune_on) if large else []
+    stored = profile_keys(within(target, list(large)), keys, prune_on, routing) if large else []
     joined = list(large & {p["partition"] for p in stored})
     fresh = list(large - set(joined))
 
