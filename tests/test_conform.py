@@ -54,7 +54,8 @@ def test_bad_values_become_null_or_raise(spark):
 
 
 def test_conform_is_one_projection_with_contract_order_and_types(spark):
-    df = spark.createDataFrame([(2.0, "x", 1, 3)], "total_amount float, unknown string, vendorid int, passenger_count long")
+    names = "total_amount float, unknown string, vendorid int, passenger_count long"
+    df = spark.createDataFrame([(2.0, "x", 1, 3)], names)
     out = cf.conform(df, raw())
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in raw()]
     row = out.first()

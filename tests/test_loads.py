@@ -16,7 +16,8 @@ from tripledger.session import work_folder
 from tripledger.sources import contracts
 from tripledger.sources.landing import month_path
 
-LANDED = "VendorID int, tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, passenger_count long, Airport_Fee double, surplus string"
+LANDED = ("VendorID int, tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, "
+          "passenger_count long, Airport_Fee double, surplus string")
 
 
 def land(spark, base, month, vendors, schema=LANDED):

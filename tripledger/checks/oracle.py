@@ -600,7 +600,8 @@ def oracle_sql() -> dict[str, str]:
               concat_ws(' | ', CASE WHEN tpep_pickup_datetime IS NULL THEN 'P' END,
                                CASE WHEN tpep_dropoff_datetime IS NULL THEN 'D' END) AS joined,
               CAST(year(tpep_pickup_datetime) AS INTEGER) AS y, CAST(month(tpep_pickup_datetime) AS INTEGER) AS m,
-              CAST(hour(tpep_pickup_datetime) AS INTEGER) AS hr, CAST(round(CAST(total_amount AS DECIMAL(18, 6)), 2) AS DOUBLE) AS rounded,
+              CAST(hour(tpep_pickup_datetime) AS INTEGER) AS hr,
+              CAST(round(CAST(total_amount AS DECIMAL(18, 6)), 2) AS DOUBLE) AS rounded,
               {day_of_pickup} AS day,
               CAST(CAST(tpep_pickup_datetime AS DATE) - 3650 AS VARCHAR) AS ten_years_before,
               {SECONDS} AS seconds, CAST(date_reference AS VARCHAR) AS parsed,

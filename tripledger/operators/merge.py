@@ -50,8 +50,9 @@ def profile_keys(
     """
     key_hash = F.xxhash64(*keys)
     partition = F.col(prune_on) if prune_on else F.lit(None).cast("string")
+    hash_slice = F.pmod(key_hash, F.lit(SLICES))
     counted = (
-        rows.select(partition.alias("partition"), key_hash.alias("hash"), F.pmod(key_hash, F.lit(SLICES)).alias("slice"))
+        rows.select(partition.alias("partition"), key_hash.alias("hash"), hash_slice.alias("slice"))
         .groupBy("partition", "slice")
         .agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(hash, {LISTED}, {TRACKED})").alias("top"))
         .withColumn("top", F.filter("top", lambda t: t["count"] >= routing.hot_rows))

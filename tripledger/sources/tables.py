@@ -18,7 +18,7 @@ def schemas(spark: SparkSession) -> DataFrame:
 
 
 def create_schema(spark: SparkSession, name: str, comment: str = "", location: str | None = None) -> None:
-    place = f"LOCATION '{location}'" if location else ""
+    place = f"LOCATION '{_quoted(location)}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS IDENTIFIER(:name) COMMENT '{_quoted(comment)}' {place}", {"name": name})
 
 
@@ -37,7 +37,7 @@ def create_table(
 ) -> None:
     """Create the table unless it exists, with column and table comments."""
     parts = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
-    place = f"LOCATION '{location}'" if location else ""
+    place = f"LOCATION '{_quoted(location)}'" if location else ""
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:name) ({schema.toDDL()}) USING {file_format} {parts} "
         f"COMMENT '{_quoted(comment)}' {place}",
