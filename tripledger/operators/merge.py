@@ -184,14 +184,14 @@ def insert_only_merge(
     dedupe_source: bool = False,
     evolve: bool = False,
     prune_on: str | None = None,
-    layout: tuple[tuple[str, ...], ...] = ((),),
+    layout: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()),
     routing: Routing = Routing(),
 ) -> None:
     """Append to ``table`` the source rows whose key it does not hold.
 
     ``prune_on`` names a partition column that follows from the key: only partitions
-    the batch touches are then read. ``layout`` gives partition, cluster and sort
-    columns for the written files.
+    the batch touches are then read. ``layout`` gives partition and sort columns for
+    the written files.
     """
     spark = source.sparkSession
     if evolve:

@@ -9,23 +9,16 @@ from pyspark.sql.types import StructType
 from tripledger.session import setting
 
 
-def arrange(
-    df: DataFrame,
-    partition_by: tuple[str, ...],
-    cluster_by: tuple[str, ...] = (),
-    sort_by: tuple[str, ...] = (),
-) -> DataFrame:
-    """Gather rows by partition and cluster columns for few, well-sized, ordered files.
+def arrange(df: DataFrame, partition_by: tuple[str, ...], sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """Gather rows by partition for few, well-sized files, ordered so that readers can skip.
 
     A rebalance lets Spark split a month that holds a large share of the rows over many
-    tasks and merge small ones; a plain repartition would send each whole group to one task.
-    ``sort_by`` only orders rows within the files, which narrows the value ranges readers
-    skip by.
+    tasks and merge small ones; a plain repartition would send each whole month to one task.
     """
-    columns = [*partition_by, *cluster_by]
-    if not columns:
+    if not partition_by:
         return df
-    return df.hint("rebalance", *[F.col(c) for c in columns]).sortWithinPartitions(*columns, *sort_by)
+    gathered = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    return gathered.sortWithinPartitions(*partition_by, *sort_by)
 
 
 def append(df: DataFrame, table: str) -> None:
@@ -53,9 +46,9 @@ def _in_table_order(df: DataFrame, table: str) -> DataFrame:
     return df.select(*df.sparkSession.table(table).columns)
 
 
-def replace_month_files(df: DataFrame, path: str, month: str, cluster_by: tuple[str, ...] = ()) -> None:
+def replace_month_files(df: DataFrame, path: str, month: str, sort_by: tuple[str, ...] = ()) -> None:
     """Path form of the replacement: files below ``path``, one folder per month."""
-    arranged = arrange(df, (month,), cluster_by)
+    arranged = arrange(df, (month,), sort_by)
     arranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 

@@ -68,7 +68,7 @@ def write_trusted(valid: DataFrame, job: TrustedLoad) -> None:
         job.trusted,
         n.CORE,
         prune_on=n.PICKUP_MONTH,
-        layout=((n.PICKUP_MONTH,), (n.VENDOR,), (n.PICKUP,)),
+        layout=((n.PICKUP_MONTH,), (n.VENDOR, n.PICKUP)),
         routing=job.routing,
     )
 
