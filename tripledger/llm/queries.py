@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import decontaminate, id_file, jaccard, packing, toxicity
+from tripledger.llm import decontaminate, id_file, jaccard, packing, quality, toxicity
 from tripledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Likeness(width=3, num=90, den=100))
+
+
+@_query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
