@@ -42,6 +42,16 @@ def texts_of(values) -> list[str]:
     return [v if isinstance(v, str) else "" for v in values.tolist()]
 
 
+def as_text(column: str) -> Column:
+    """A whole-number column as text: pandas would turn one with nulls into floating-point numbers."""
+    return F.col(f"`{column}`").cast("long").cast("string").alias(column)
+
+
+def numbers_of(values) -> list[int | None]:
+    """A pandas column made by ``as_text`` as numbers."""
+    return [int(v) if isinstance(v, str) else None for v in values.tolist()]
+
+
 def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 

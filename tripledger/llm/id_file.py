@@ -143,7 +143,7 @@ def _open(url: str, write: bool = False):
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(url)
-    return system.open_output_stream(path) if write else system.open_input_file(path)
+    return system.open_output_stream(path, compression=None) if write else system.open_input_file(path)
 
 
 class ShardWriter:

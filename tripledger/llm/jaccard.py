@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import fresh_name, mix64, stored, texts_of, utf8
+from tripledger.llm.common import as_text, fresh_name, mix64, numbers_of, stored, texts_of, utf8
 from tripledger.llm.components import components
 
 #: Sets and n-grams that one block may hold; a block pair is compared in one task.
@@ -115,7 +115,7 @@ def _signed(docs: DataFrame, like: Likeness, text: str) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, t in zip(batch["doc_id"].tolist(), texts_of(batch["text"]), strict=True):
+            for key, t in zip(numbers_of(batch["doc_id"]), texts_of(batch["text"]), strict=True):
                 found = grams(t, like.width)
                 if not len(found):
                     out.append((key, None, None, 0, []))
@@ -125,7 +125,7 @@ def _signed(docs: DataFrame, like: Likeness, text: str) -> DataFrame:
                 out.append((key, a, b, len(found), signature(found, like).view(np.int64)))
             yield pd.DataFrame(out, columns=["doc_id", "set_id", "proof", "n", "tokens"], dtype=object)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(as_text("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInPandas(sign, "doc_id long, set_id long, proof long, n long, tokens array<long>")
 
 

@@ -40,4 +40,13 @@ SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, d
 FROM gram LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op7_ngram_jaccard_join": OP7}
+OP10 = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size FROM pages),
+first AS (SELECT digest, min(page_id) AS first FROM page WHERE size >= 100 GROUP BY digest)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CAST(CASE WHEN first < page_id THEN first END AS BIGINT) AS refers_to
+FROM page LEFT JOIN first USING (digest)
+"""
+
+ORACLE: dict[str, str] = {"op3_decontamination": OP3, "op7_ngram_jaccard_join": OP7, "op10_warc": OP10}

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import stored, texts_of
+from tripledger.llm.common import as_text, numbers_of, stored, texts_of
 from tripledger.llm.tokens import Encoder, in_steps
 
 
@@ -77,7 +77,7 @@ def pieces(
         part = TaskContext.get().partitionId()
         seen = np.zeros(longest + 1, np.int64)
         for batch in batches:
-            keys, texts = batch["doc_id"].tolist(), texts_of(batch["text"])
+            keys, texts = numbers_of(batch["doc_id"]), texts_of(batch["text"])
             for a, b in in_steps(texts):
                 out = []
                 for key, raw in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
@@ -90,7 +90,7 @@ def pieces(
                         seen[length] += 1
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    texts = docs.select(as_text("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     made = texts.mapInPandas(tokenised, PIECES)
     return made if ids else made.drop("ids")
 
