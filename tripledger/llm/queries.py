@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import decontaminate, id_file, jaccard, packing, quality, toxicity, warc
+from tripledger.llm import decontaminate, disclosure, id_file, jaccard, packing, quality, toxicity, warc
 from tripledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, warc.write(table(spark, sf_dir, "pages")))
+
+
+@_query
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(table(spark, sf_dir, "documents"))
