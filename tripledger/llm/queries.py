@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripledger.llm import decontaminate, disclosure, id_file, jaccard, packing, quality, toxicity, warc
+from tripledger.llm import decontaminate, disclosure, id_file, jaccard, kd_search, licences, packing, quality, toxicity, warc
 from tripledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source, language and a folder of 64 ids each; one that begins with a licence notice is
+    its folder's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"))
+    files = docs.select(
+        F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text",
+        F.col("text").rlike(r"(?i)^[^\n]*\blicen[cs]e").alias("is_licence_file"),
+    )
+    found = licences.scanned(files)
+    return found.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long"))
