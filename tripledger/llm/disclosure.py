@@ -184,8 +184,11 @@ def all_spans(docs: DataFrame, into: str, how: Disclosure = Disclosure(), text:
     return rows.withColumn(into, F.expr(spans)).drop(name, row)
 
 
-def sanitised(docs: DataFrame, how: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
-    """``docs`` in their own columns with every span's text replaced by its label; overlaps go as one."""
+def sanitised(docs: DataFrame, how: Disclosure = Disclosure(), text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` in their own columns with every span's text replaced by its label; overlaps go as one.
+
+    ``length`` names a column, if the table has it, that is to hold the new text's length where the text changed.
+    """
     columns = [f"`{c}`" for c in docs.columns]
     into = fresh_name(docs.columns, "spans")
     rows = all_spans(docs, into, how, text)
@@ -203,7 +206,12 @@ def sanitised(docs: DataFrame, how: Disclosure = Disclosure(), text: str = "text
         THEN substr(`{text}`, {reach}[i] + 1, x.s - {reach}[i]) || x.label ELSE '' END)"""
     rest = f"substr(`{text}`, array_max({ends}) + 1)"
     clean = f"CASE WHEN size({ordered}) = 0 THEN `{text}` ELSE array_join({pieces}, '') || {rest} END"
-    return rows.withColumn(text, F.expr(clean)).select(*columns)
+    rows = rows.withColumn(text, F.expr(clean))
+    if length in docs.columns:
+        kind = docs.schema[length].dataType
+        changed = F.when(F.size(ordered) > 0, F.length(text).cast(kind)).otherwise(F.col(length))
+        rows = rows.withColumn(length, changed)
+    return rows.select(*columns)
 
 
 def report(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:

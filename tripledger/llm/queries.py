@@ -67,13 +67,15 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source, language and a folder of 64 ids each; one that begins with a licence notice is
-    its folder's licence file."""
+    """Documents as files: ``source/part/lang/doc_id.txt`` with 1024 ids to a part. One that begins with a licence
+    notice is the licence file of its part and lies there."""
     docs = table(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"))
+    speaks = F.col("text").rlike(r"(?i)^[^\n]*\blicen[cs]e")
+    part = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1024).cast("string"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     files = docs.select(
-        F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text",
-        F.col("text").rlike(r"(?i)^[^\n]*\blicen[cs]e").alias("is_licence_file"),
+        F.when(speaks, F.concat_ws("/", part, name)).otherwise(F.concat_ws("/", part, "lang", name)).alias("path"),
+        "text", speaks.alias("is_licence_file"),
     )
     found = licences.scanned(files)
     return found.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long"))
