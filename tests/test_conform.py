@@ -83,3 +83,14 @@ def test_empty_input_is_an_error(spark):
         cf.require_rows(empty)
     one = spark.createDataFrame([(1,)], "VendorID bigint")
     assert cf.require_rows(one) is one
+
+
+def test_values_that_do_not_fit_can_be_flagged(spark):
+    df = spark.createDataFrame([("7", "1.5"), ("abc", None), (None, "x")], "vendorid string, total_amount string")
+    flags = {"VendorID": "bad_vendor", "total_amount": "bad_amount", "airport_fee": "bad_fee"}
+    out = cf.conform(df, raw(), on_error="flag", flags=flags)
+    assert out.columns == raw().names + list(flags.values())
+    rows = [(r.VendorID, r.total_amount, r.bad_vendor, r.bad_amount, r.bad_fee) for r in out.collect()]
+    assert rows == [(7, 1.5, 0, 0, 0), (None, None, 1, 0, 0), (None, None, 0, 1, 0)]
+    with pytest.raises(ValueError, match="flags"):
+        cf.conform(df, raw(), on_error="flag")

@@ -6,11 +6,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tripledger.operators.merge import Routing, hot_hashes, insert_only_merge, new_rows, profile_keys
-from tripledger.sources.tables import create_table
+from tripledger.operators.merge import held_keys, insert_only_merge, new_rows
+from tripledger.sources.tables import create_table, partition_values
 
 KEYED = StructType([StructField("k", IntegerType()), StructField("v", IntegerType())])
-EVERY_WAY = [Routing(), Routing(lookup_rows=0), Routing(hot_share=0.1, hot_rows=2, lookup_rows=0)]
 
 
 def table(lake, name="t", schema=KEYED, **options):
@@ -22,24 +21,22 @@ def keys_of(spark, name):
     return sorted((r.k for r in spark.table(name).collect()), key=lambda k: (k is None, k))
 
 
-@pytest.mark.parametrize("routing", EVERY_WAY)
-def test_null_keys_and_copies(spark, lake, routing):
+def test_null_keys_and_copies(spark, lake):
     name = table(lake)
     spark.createDataFrame([(1, 0)], KEYED).write.insertInto(name)
     source = spark.createDataFrame([(1, 9), (2, 0), (2, 0), (None, 0)], KEYED)
-    insert_only_merge(source, name, ["k"], routing=routing)
+    insert_only_merge(source, name, ["k"])
     assert keys_of(spark, name) == [1, 2, 2, None]
-    insert_only_merge(source, name, ["k"], routing=routing)
+    insert_only_merge(source, name, ["k"])
     assert keys_of(spark, name) == [1, 2, 2, None, None]
     assert spark.table(name).where("k = 1").first().v == 0
 
 
-@pytest.mark.parametrize("routing", EVERY_WAY)
-def test_null_safe_merge_is_idempotent(spark, lake, routing):
+def test_null_safe_merge_is_idempotent(spark, lake):
     name = table(lake)
     source = spark.createDataFrame([(1, 0), (None, 0)], KEYED)
     for _ in range(3):
-        insert_only_merge(source, name, ["k"], null_safe=True, routing=routing)
+        insert_only_merge(source, name, ["k"], null_safe=True)
     assert keys_of(spark, name) == [1, None]
 
 
@@ -75,58 +72,77 @@ def test_schema_evolution_both_ways(spark, lake):
                     max_size=25),
     null_safe=st.booleans(),
     prune=st.booleans(),
-    routing=st.builds(Routing, hot_share=st.sampled_from([0.05, 0.3]), hot_rows=st.integers(1, 8),
-                      lookup_rows=st.sampled_from([0, 3, 10, 1000])),
 )
-def test_every_way_agrees_with_brute_force(spark, source, target, null_safe, prune, routing):
+def test_merges_agree_with_brute_force(spark, source, target, null_safe, prune):
     """Rows (v, p): p is the partition and part of the key, either may be NULL."""
     left = spark.createDataFrame(source, "v int, p int")
     right = spark.createDataFrame(target, "v int, p int")
-    found = new_rows(left, right, ["v", "p"], null_safe, "p" if prune else None, routing)
+    found = new_rows(left, right, ["v", "p"], null_safe, "p" if prune else None)
     stored = set(target) if null_safe else {t for t in target if None not in t}
     assert Counter(map(tuple, found.collect())) == Counter(s for s in source if s not in stored)
 
 
-def test_a_key_with_a_third_of_the_rows_stays_out_of_the_shuffled_join(spark):
-    rows = spark.range(30000).select(
-        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).cast("int").alias("k"), F.lit(1).alias("v")
-    )
-    routing = Routing(hot_rows=1000, lookup_rows=0)
-    hot = hot_hashes(profile_keys(rows, ["k"], routing=routing), routing)
-    assert hot == {spark.sql("SELECT xxhash64(-1) AS h").first().h}
-    target = rows.where("k % 2 = 0 OR k = -1")
-    found = new_rows(rows, target, ["k"], routing=routing)
-    assert found.where("k = -1").count() == 0
-    assert found.count() == rows.where("k <> -1 AND k % 2 <> 0").count()
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_key_the_target_holds_very_often_is_one_row_of_the_join(spark):
+    target = spark.range(30000).select(F.lit(-1).alias("k"), F.lit(1).alias("v"))
+    held = held_keys(target, ["k"])
+    assert [r.k for r in held.collect()] == [-1]
+    source = spark.range(-2, 3).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
+    assert sorted(r.k for r in new_rows(source, target, ["k"]).collect()) == [-2, 0, 1, 2]
+
+
+def test_a_key_the_source_has_very_often_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 90000, numPartitions=8).select(
+            F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).cast("int").alias("k"), F.uuid().alias("v")
+        )
+        found = new_rows(rows, spark.range(10, 2000).select(F.col("id").cast("int").alias("k")), ["k"])
+        assert found.where("k = -1").count() == 30000
+        found.collect()
+        assert "skew=true" in plan_of(found)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
 
 
 def test_a_partition_the_target_lacks_needs_no_join(spark):
     source = spark.range(1000).select(F.col("id").cast("int").alias("v"), (F.col("id") % 2).cast("int").alias("p"))
-    found = new_rows(source, source.where("p = 0"), ["v", "p"], prune_on="p", routing=Routing(lookup_rows=0))
+    found = new_rows(source, source.where("p = 0"), ["v", "p"], prune_on="p")
     assert found.where("p = 1").count() == found.count() == 500
-    only_new = new_rows(source.where("p = 1"), source.where("p = 0"), ["v", "p"], prune_on="p",
-                        routing=Routing(lookup_rows=0))
-    assert only_new.count() == 500
-    assert "Join" not in only_new._jdf.queryExecution().optimizedPlan().toString()
+    only_new = new_rows(source.where("p = 1"), source.where("p = 0"), ["v", "p"], prune_on="p")
+    assert only_new.count() == 500 and "Join" not in plan_of(only_new)
 
 
-def test_evenly_spread_keys_need_no_second_way(spark):
-    rows = spark.range(20000).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("v"))
-    found = new_rows(rows, rows.where("k < 100"), ["k"], routing=Routing(lookup_rows=0))
-    all_counted = Routing(hot_rows=1)
-    assert hot_hashes(profile_keys(rows, ["k"], routing=all_counted), all_counted) == set()
-    assert found.count() == 19900
-    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+def test_a_merge_of_laid_out_tables_reads_each_part_of_them_once(spark, lake):
+    source, target = (table(lake, name, partition_by=("k",)) for name in ("s", "t"))
+    spark.createDataFrame([(k, 0) for k in range(6)], KEYED).select("v", "k").write.insertInto(source)
+    spark.createDataFrame([(k, 0) for k in range(3, 9)], KEYED).select("v", "k").write.insertInto(target)
+    known = [partition_values(spark, name, "k") for name in (source, target)]
+    assert known == [set("012345"), set("345678")]
+    found = new_rows(spark.table(source), spark.table(target), ["k", "v"], False, "k", *known)
+    plan = plan_of(found)
+    # Three folders pass, three are joined; the third scan is that of the held keys.
+    assert plan.count("InMemoryFileIndex(3 paths)") == 2 and plan.count("FileScan") == 3
+    assert sorted(r.k for r in found.collect()) == [0, 1, 2]
 
 
-@pytest.mark.parametrize("routing", EVERY_WAY)
-def test_only_touched_partitions_of_the_target_are_read(spark, lake, routing):
+def test_only_touched_partitions_of_the_target_are_read(spark, lake):
     name = table(lake, partition_by=("k",))
     spark.createDataFrame([(k, 0) for k in range(20)], KEYED).select("v", "k").write.insertInto(name)
     source = spark.createDataFrame([(3, 0), (4, 1)], KEYED)
-    found = new_rows(source, spark.table(name), ["k", "v"], prune_on="k", routing=routing)
+    inside = spark.table(name).where("k IN (3, 4)")
+    assert len(inside.inputFiles()) == 2
+    found = new_rows(source, spark.table(name), ["k", "v"], prune_on="k")
     assert [tuple(r) for r in found.collect()] == [(4, 1)]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Location: InMemoryFileIndex(2 paths)" in plan

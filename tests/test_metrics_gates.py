@@ -28,7 +28,7 @@ def test_empty_input_gives_nulls_and_fails_the_gates(spark):
     row = measured.first()
     assert row[n.TOTAL_ROWS] == 0 and row[n.TOTAL_ERRORS] is None and row[n.PCT_ERROR] is None
     assert not gates.gate_error_rate(measured).first().passed
-    with pytest.raises(gates.GateError):
+    with pytest.raises(gates.GateError, match="type_rate: nothing was measured"):
         gates.enforce(gates.gate_type_rate(measured))
 
 
@@ -56,6 +56,12 @@ def test_thresholds_are_parameters(spark):
     assert not gates.gate_error_rate(measured, "5.99").first().passed
 
 
+@pytest.mark.parametrize("limit, passed", [("0.1", False), ("0.13", True), ("0.125", False), ("0.130", True), ("1", True)])
+def test_limits_keep_their_places(spark, limit, passed):
+    gate = gates.gate_error_rate(metrics.quality_metrics(flagged(spark, 800, 1)), limit).first()
+    assert gate.observed == Decimal("0.13") and gate.threshold == Decimal(limit) and gate.passed is passed
+
+
 def test_reports(spark):
     measured = metrics.quality_metrics(flagged(spark, 200, 3, 1))
     summary = metrics.report_summary(measured).first()

@@ -83,14 +83,22 @@ def test_one_month_with_nearly_all_rows_is_written_by_many_tasks(spark):
     assert spark.read.parquet(path).count() == 200_000
 
 
-def test_single_file_export_is_refused_beyond_its_bound(spark):
+AWKWARD = [None, "", " a ", 'say "x", y', "two\nlines", "\r\n", "\\N", "\\E", "\\", "\\\\n", "a\\nb", "#", "é, ü", '"']
+
+
+def test_csv_gives_every_value_back(spark):
     path = work_folder(spark, "csv")
-    rows = spark.range(10).select(F.col("id").cast("int").alias("v"))
-    with pytest.raises(ValueError, match="more than 5"):
-        writers.export_csv(rows, path, single_file=True, single_file_rows=5)
-    writers.export_csv(rows, path, single_file=True)
-    assert len(spark.read.text(path).inputFiles()) == 1
-    assert writers.read_csv(spark, path, rows.schema).count() == 10
+    rows = spark.createDataFrame(list(enumerate(AWKWARD)) + [(None, "x")], "v int, `t.x` string").select(
+        "*", F.expr("timestamp_micros(1234567890123456 + v) AS at"), F.expr("timestamp_ntz'2020-01-02 03:04:05.000007' AS n"),
+        F.expr("CAST(v AS DOUBLE) / 7 AS d"), F.expr("date_add(DATE'1969-12-30', v) AS day"),
+    )
+    writers.export_csv(rows, path)
+    back = writers.read_csv(spark, path, rows.schema)
+    assert back.dtypes == rows.dtypes
+    assert sorted(back.collect(), key=str) == sorted(rows.collect(), key=str)
+    assert spark.read.text(path).count() == rows.count() + len(spark.read.text(path).inputFiles())
+    with pytest.raises(PySparkException, match="zero character"):
+        writers.export_csv(spark.createDataFrame([("a\0b",)], "t string"), path)
 
 
 def test_landing_scan_listing_and_gaps(spark):

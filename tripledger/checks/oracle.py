@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tripledger.checks.queries import END, START, rule_keys
-from tripledger.sources import contracts
 
 TRIPS = """
 b AS (
@@ -249,6 +248,7 @@ TRUSTED = "trusted AS (SELECT CAST(vendor_id AS BIGINT) AS vendor_id, tpep_picku
 WITH_DATES = (
     "* REPLACE (CAST(date_reference AS VARCHAR) AS date_reference, CAST(insertion_date AS VARCHAR) AS insertion_date)"
 )
+STORED = WITH_DATES.replace("REPLACE (", "REPLACE (CAST(vendor_id AS BIGINT) AS vendor_id, ")
 MONTHS = """
 bounds AS (
 SELECT min(day) AS lo, max(day) AS hi FROM (
@@ -264,7 +264,26 @@ def _nulls(columns: dict[str, str]) -> str:
     return ", ".join(f"CAST(NULL AS {kinds[kind]}) AS {name}" for name, kind in columns.items())
 
 
-RAW_TYPES = {name: kind for name, kind, _ in contracts.RAW_COLUMNS}
+# --- fixed values: the tables' columns and types, written out on purpose: what they are checked
+# against must not come from the package under test ------------------------------------
+RAW_TYPES = {
+    "VendorID": "bigint", "tpep_pickup_datetime": "timestamp", "tpep_dropoff_datetime": "timestamp",
+    "passenger_count": "double", "trip_distance": "double", "RatecodeID": "double",
+    "store_and_fwd_flag": "string", "PULocationID": "bigint", "DOLocationID": "bigint",
+    "payment_type": "bigint", "fare_amount": "double", "extra": "double", "mta_tax": "double",
+    "tip_amount": "double", "tolls_amount": "double", "improvement_surcharge": "double",
+    "total_amount": "double", "congestion_surcharge": "double", "airport_fee": "double",
+    "date_reference": "date", "insertion_date": "date",
+}
+TRUSTED_TYPES = {
+    "vendor_id": "bigint", "tpep_pickup_datetime": "timestamp", "tpep_dropoff_datetime": "timestamp",
+    "passenger_count": "int", "total_amount": "double",
+}
+STAGING_TYPES = {**TRUSTED_TYPES, "date_reference": "date", "insertion_date": "date"}
+STAMP_TYPES = {
+    "tem_erro": "int", "data_hora_quarentena": "timestamp", "motivos_erro": "string", "tipo_erro": "string",
+    "data_particao_quarentena": "date",
+}
 TRIP_NAMES = ["VendorID", "tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "total_amount",
               "date_reference", "insertion_date"]
 ABSENT = {name: kind for name, kind in RAW_TYPES.items() if name not in TRIP_NAMES}
@@ -337,17 +356,36 @@ def oracle_sql() -> dict[str, str]:
     o["catalog_setup"] = _sql(
         "SELECT CAST(date_reference AS VARCHAR) AS date_reference, count(*) AS rows FROM trips GROUP BY ALL", TRIPS
     )
+    o["catalog_listing"] = _sql(
+        "SELECT 'spark_catalog' AS catalog, 'scratch' AS comment, 'raw' AS table_name, count(*) AS rows FROM trips "
+        "UNION ALL SELECT 'spark_catalog', 'scratch', 'trusted', count(*) FROM trusted",
+        *valid,
+    )
+
+    def told(table: str, source: str, types: dict[str, str], plain: tuple[str, ...] = (), **held: str) -> str:
+        """Columns of a table; ``plain`` have no comment, ``held`` names the source's column where it differs."""
+        return "\nUNION ALL\n".join(
+            f"SELECT '{table}' AS table_name, '{c}' AS column_name, '{kind}' AS data_type, {int(c not in plain)} "
+            f"AS has_comment, count({held.get(c, c)}) AS filled FROM {source}"
+            for c, kind in types.items()
+        )
+
+    flag_types, month = dict.fromkeys(TYPE_FLAGS, "int"), {"data_particao": "date"}
+    quarantine = {**STAGING_TYPES, **dict.fromkeys(CODED_CONDITIONS, "int"), **STAMP_TYPES}
+    pickup_month = {"data_particao": "tpep_pickup_datetime"}
     o["describe_contract"] = _sql(
-        _filled("trips", {
-            name: (f"'{kind}' AS data_type, 1 AS has_comment", name if name in TRIP_NAMES else "")
-            for name, kind in RAW_TYPES.items()
-        }).replace("CAST(0 AS BIGINT) AS filled FROM trips", "CAST(0 AS BIGINT) AS filled"),
-        TRIPS,
+        "\nUNION ALL\n".join([
+            told("raw", "trips", {**RAW_TYPES, **flag_types}, **dict.fromkeys(ABSENT, "NULL"), **dict.fromkeys(TYPE_FLAGS, "*")),
+            told("staging", "core", {**STAGING_TYPES, **flag_types, **month}, **pickup_month, **dict.fromkeys(TYPE_FLAGS, "*")),
+            told("trusted", "trusted", {**TRUSTED_TYPES, **month}, **pickup_month),
+            told("quarantine", "rejected", quarantine, tuple(CODED_CONDITIONS)),
+        ]),
+        *valid, _rejected(),
     )
     o["table_detail"] = _sql(
         """SELECT 'raw' AS table_name, 'parquet' AS provider, 'date_reference' AS partitions, count(*) AS rows
            FROM trips
-           UNION ALL SELECT 'staging', 'parquet', '', count(*) FROM trips
+           UNION ALL SELECT 'staging', 'parquet', 'data_particao', count(*) FROM trips
            UNION ALL SELECT 'trusted', 'parquet', 'data_particao', count(*) FROM flagged WHERE tem_erro = 0
            UNION ALL SELECT 'quarantine', 'parquet', 'data_particao_quarentena,tipo_erro', count(*)
            FROM flagged WHERE tem_erro = 1""",
@@ -509,11 +547,14 @@ def oracle_sql() -> dict[str, str]:
     error_gate = _gate("error_rate", "percentual_erro", "total_erros", "5.0")
     type_gate = _gate("type_rate", "percentual_erro_tipagem", "NULL", "0.1")
     o["gate_error_rate"] = _sql(
-        f"{error_gate} metrics UNION ALL {error_gate} metrics2",
+        f"{error_gate} metrics UNION ALL {error_gate} metrics2 "
+        f"UNION ALL {_gate('error_rate', 'percentual_erro', 'total_erros', '0.125')} metrics2 "
+        "UNION ALL SELECT 'error_rate', NULL, NULL, CAST(5.0 AS DOUBLE), false",
         TRIPS, CORE, flags, _metrics(), _renamed("2", CORE, flags_fail, _metrics()),
     )
     o["gate_type_rate"] = _sql(
-        f"{type_gate} metrics UNION ALL {type_gate} metrics2",
+        f"{type_gate} metrics UNION ALL {type_gate} metrics2 "
+        f"UNION ALL {_gate('type_rate', 'percentual_erro_tipagem', 'NULL', '0.875')} metrics2",
         TRIPS, TEXT, CORE, flags, _metrics(), _renamed("2", CORE_OF_TEXT, flags, _metrics()),
     )
 
@@ -525,7 +566,13 @@ def oracle_sql() -> dict[str, str]:
         TRIPS,
     )
     o["staging_lifecycle"] = _sql("SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM trips", TRIPS)
-    o["export_csv"] = o["export_parquet"] = _sql("SELECT * FROM trusted", *valid)
+    o["export_parquet"] = _sql("SELECT * FROM trusted", *valid)
+    o["export_csv"] = _sql(
+        """SELECT * REPLACE (tpep_pickup_datetime + to_microseconds(123457 * passenger_count) AS tpep_pickup_datetime),
+             CASE passenger_count WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' a ' WHEN 3 THEN 'say "x", y'
+               WHEN 4 THEN 'two' || chr(10) || 'lines\\n' WHEN 5 THEN '\\N' ELSE 'plain' END AS note FROM trusted""",
+        *valid,
+    )
     keyless = "vendor_id IS NULL OR tpep_pickup_datetime IS NULL OR tpep_dropoff_datetime IS NULL"
     o["merge_staging"] = _sql(
         f"SELECT * REPLACE (CAST(vendor_id AS BIGINT) AS vendor_id) FROM (SELECT {STAGED_COLUMNS} FROM core "
@@ -540,11 +587,14 @@ def oracle_sql() -> dict[str, str]:
         *valid,
     )
     o["merge_trusted_deduped"] = _sql("SELECT DISTINCT * FROM trusted", *valid)
+    twice = "* REPLACE (TIMESTAMP '2001-12-02 00:00:00' AS data_hora_quarentena, '2001-12-02' AS data_particao_quarentena)"
     o["merge_quarantine"] = _sql(
-        f"{by_class} UNION ALL SELECT '2001-12-02', tipo_erro, count(*) FROM rejected GROUP BY ALL",
+        f"SELECT {STORED} FROM rejected UNION ALL SELECT {STORED} FROM (SELECT {twice} FROM rejected)",
         TRIPS, CORE, flags, _rejected(),
     )
-    o["merge_quarantine_documented"] = _sql(by_class, TRIPS, CORE, doc, _rejected(PASS, "documented"))
+    o["merge_quarantine_documented"] = _sql(
+        f"SELECT {STORED} FROM rejected", TRIPS, CORE, doc, _rejected(PASS, "documented")
+    )
     day_of_pickup = "CAST(CAST(tpep_pickup_datetime AS DATE) AS VARCHAR)"
     o["merge_evolve"] = _sql(
         f"SELECT *, CASE WHEN {IN_JAN_MAY} THEN NULL ELSE {day_of_pickup} END AS pickup_date FROM trusted", *valid
@@ -616,13 +666,16 @@ def oracle_sql() -> dict[str, str]:
     o["raw_load"] = _sql(
         "SELECT VendorID, tpep_pickup_datetime, tpep_dropoff_datetime, passenger_count, total_amount, "
         "CAST(date_reference AS VARCHAR) AS date_reference, '2001-12-01' AS insertion_date, "
-        f"{_nulls(ABSENT)} FROM trips WHERE {IN_RANGE.replace('date_reference', 'trips.date_reference')}",
+        f"{_nulls(ABSENT)}, {', '.join(f'0 AS {flag}' for flag in TYPE_FLAGS)} "
+        f"FROM trips WHERE {IN_RANGE.replace('date_reference', 'trips.date_reference')}",
         TRIPS,
     )
     newest_core = CORE.replace("FROM trips)", f"FROM trips WHERE {newest})")
     o["trusted_load"] = _sql(
-        "SELECT 'trusted' AS place, count(*) AS rows FROM flagged WHERE tem_erro = 0 UNION ALL "
-        "SELECT tipo_erro, 2 * count(*) FROM rejected GROUP BY tipo_erro",
-        TRIPS, newest_core, flags, _rejected(),
+        f"SELECT * FROM trusted UNION ALL BY NAME SELECT {WITH_DATES} FROM rejected "
+        f"UNION ALL BY NAME SELECT {WITH_DATES} FROM rejected",
+        TRIPS, newest_core, flags, TRUSTED, _rejected(),
     )
+    as_loaded = CORE_OF_TEXT.replace("date_reference,", "date_reference, DATE '2001-12-01' AS insertion_date,", 1)
+    o["load_text_types"] = _sql(f"SELECT {STORED} FROM rejected", TRIPS, TEXT, as_loaded, flags, _rejected())
     return o

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tripledger.functions.columns import as_flag
+
 
 class SchemaError(ValueError):
     """The input cannot be brought to the declared schema."""
@@ -81,11 +83,23 @@ def reorder(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select([_source(c) for c in schema.names])
 
 
-def conform(df: DataFrame, schema: StructType, extras: str = "drop", on_error: str = "null") -> DataFrame:
+def conform(
+    df: DataFrame, schema: StructType, extras: str = "drop", on_error: str = "null",
+    flags: dict[str, str] | None = None,
+) -> DataFrame:
     """Declared names, types and order in a single projection over the input.
 
-    ``extras="fail"`` rejects columns the schema does not declare.
+    ``extras="fail"`` rejects columns the schema does not declare. ``on_error="flag"`` makes NULL of a
+    value that does not fit, and of ``flags`` (declared column -> flag column) appends which rows had one.
     """
+    if on_error == "flag" and not flags:
+        raise ValueError("on_error='flag' needs the flags to set")
+    lost = []
+    for name, flag in (flags or {}).items() if on_error == "flag" else ():
+        found = spelling(df, schema).get(name)
+        given = _source(found) if found else F.lit(None)
+        lost.append(as_flag(given.isNotNull() & given.try_cast(schema[name].dataType).isNull()).alias(flag))
+    on_error = "null" if on_error == "flag" else on_error
     matches = spelling(df, schema)
     surplus = sorted(set(df.columns) - set(matches.values()))
     if surplus and extras == "fail":
@@ -101,6 +115,7 @@ def conform(df: DataFrame, schema: StructType, extras: str = "drop", on_error: s
             ).alias(f.name)
             for f in schema
         ]
+        + lost
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ class GateError(RuntimeError):
 
 
 def _gate(metrics: DataFrame, name: str, percent: str, rows: str, threshold: str) -> DataFrame:
-    # The rounded percentage is compared; a NULL percentage (no rows) does not pass.
-    limit = F.lit(threshold).cast("decimal(5,2)")
+    # The rounded percentage is compared, with the limit just as it was given; a NULL percentage
+    # (no rows) does not pass.
+    limit = F.lit(Decimal(threshold))
     return metrics.select(
         F.lit(name).alias("gate"),
         F.col(rows).alias("rows_in_error") if rows else F.lit(None).cast("bigint").alias("rows_in_error"),
@@ -46,5 +49,7 @@ def enforce(gates: DataFrame) -> None:
     """Raise on the first gate that did not pass; gates hold one row each."""
     for gate in gates.collect():
         if not gate["passed"]:
+            if gate["observed"] is None:
+                raise GateError(f"{gate['gate']}: nothing was measured, the batch holds no rows")
             affected = "" if gate["rows_in_error"] is None else f", {gate['rows_in_error']} rows in error"
             raise GateError(f"{gate['gate']}: {gate['observed']}% exceeds {gate['threshold']}%{affected}")

@@ -7,31 +7,15 @@ change. One writer at a time: the check and the append are two steps.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.operators.writers import append, arrange
-from tripledger.session import setting
-
-
-@dataclass(frozen=True)
-class Routing:
-    """When a key is too frequent for one task, and how many rows may be broadcast."""
-
-    hot_share: float = 0.005
-    hot_rows: int = 1_000_000
-    lookup_rows: int = 100_000
-
-
-# Keys are counted in slices by hash, each with a small frequent-items sketch: a key with
-# hot_share of all rows is a sixth of its slice, far above the sketch's error of about 3 %.
-SLICES = 32
-TRACKED = 128
-LISTED = 32
+from tripledger.session import work_folder
+from tripledger.sources.tables import partition_values
 
 
 def _same_key(left: str, right: str, keys: list[str], null_safe: bool) -> Column:
@@ -39,69 +23,29 @@ def _same_key(left: str, right: str, keys: list[str], null_safe: bool) -> Column
     return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
-def profile_keys(
-    rows: DataFrame, keys: list[str], prune_on: str | None = None, routing: Routing = Routing()
-) -> list[Row]:
-    """Row count and frequent key hashes per table partition and hash slice.
-
-    One pass that shuffles only counters. What comes back is a few numbers per partition
-    and slice, and the rare hash with ``hot_rows`` copies. A key lies in one partition, as
-    the partition follows from it, so no copies are missed by counting there.
-    """
-    key_hash = F.xxhash64(*keys)
-    partition = F.col(prune_on) if prune_on else F.lit(None).cast("string")
-    hash_slice = F.pmod(key_hash, F.lit(SLICES))
-    counted = (
-        rows.select(partition.alias("partition"), key_hash.alias("hash"), hash_slice.alias("slice"))
-        .groupBy("partition", "slice")
-        .agg(F.count("*").alias("rows"), F.expr(f"approx_top_k(hash, {LISTED}, {TRACKED})").alias("top"))
-        .withColumn("top", F.filter("top", lambda t: t["count"] >= routing.hot_rows))
-    )
-    # Ten years of months in 32 slices are 4,000 sketches of a few KB: keep them in a hash
-    # map rather than sort all rows of a task, which Spark does from 128 groups by default.
-    with setting(rows.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000"):
-        return counted.collect()
-
-
-def hot_hashes(profile: list[Row], routing: Routing) -> set[int]:
-    """Hashes of keys one task could not carry. They only steer rows to one of two exact
-    joins, so estimated counts are good enough."""
-    least = max(sum(p["rows"] for p in profile) * routing.hot_share, routing.hot_rows)
-    return {t["item"] for p in profile for t in p["top"] if t["count"] >= least}
-
-
-def small_partitions(profile: list[Row], routing: Routing) -> list:
-    """Partitions with so few source rows that all of them together can be broadcast.
+def held_keys(target: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """The distinct keys of the target, stored below the shared folder.
 
-    A monthly batch usually has stray rows in many other months: looking those few keys
-    up spares shuffling the stored rows of all these months.
+    Copies are combined before the shuffle, so a key the target holds very often is one row here.
+    Being stored, the keys meet the source in a join of two plain shuffles, of which adaptive
+    execution splits a key that the source has very often over several tasks.
     """
-    counts: dict = {}
-    for p in profile:
-        counts[p["partition"]] = counts.get(p["partition"], 0) + p["rows"]
-    small, total = [], 0
-    for partition, count in sorted(counts.items(), key=lambda c: c[1]):
-        total += count
-        if total > routing.lookup_rows:
-            break
-        small.append(partition)
-    return small
+    rows = target.select(*keys)
+    if not null_safe:  # a NULL never equals anything
+        rows = rows.dropna()
+    place = f"{work_folder(target.sparkSession, 'held-keys')}/keys"
+    rows.distinct().write.parquet(place)
+    return target.sparkSession.read.schema(rows.schema).parquet(place)
 
 
-def without_partner(source: DataFrame, target: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
-    """Source rows whose key the target lacks, as one anti join."""
-    return source.alias("s").join(target.alias("t"), _same_key("s", "t", keys, null_safe), "left_anti")
+def without_partner(source: DataFrame, held: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """Source rows whose key is not among the held ones, as one anti join."""
+    return source.alias("s").join(held.alias("t"), _same_key("s", "t", keys, null_safe), "left_anti")
 
 
-def looked_up(source: DataFrame, target: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
-    """The same for a source with few distinct keys: the target is scanned, not shuffled.
-
-    The source's distinct keys are broadcast, and so are those of them the target holds.
-    """
-    wanted = F.broadcast(source.select(*keys).distinct())
-    condition = _same_key("s", "t", keys, null_safe)
-    met = target.alias("s").join(wanted.alias("t"), condition, "left_semi").select(*keys).distinct()
-    return without_partner(source, F.broadcast(met), keys, null_safe)
+def _values(rows: DataFrame, column: str) -> set[str | None]:
+    """Distinct values of a partition column, as text: a few per month of data."""
+    return {r[0] for r in rows.select(F.col(column).cast("string")).distinct().collect()}
 
 
 def new_rows(
@@ -110,46 +54,37 @@ def new_rows(
     keys: list[str],
     null_safe: bool = False,
     prune_on: str | None = None,
-    routing: Routing = Routing(),
+    brought: set[str | None] | None = None,
+    stored: set[str | None] | None = None,
 ) -> DataFrame:
-    """Source rows whose key the target lacks; each row takes one of three exact ways.
+    """Source rows whose key the target lacks.
 
-    Rows of a partition the target does not have yet pass as they are. Rows with a hot key
-    or in a partition with few source rows are looked up, bounded by ``routing``. The rest
-    meets the stored rows of its partitions in a shuffled anti join.
+    ``prune_on`` is a partition column that follows from the key. Rows of partitions the target does
+    not have yet pass as they are; the others meet the keys of their partitions in an anti join.
+    ``brought`` and ``stored`` name the partitions of the two sides, as text, where the caller
+    knows them; a source laid out by that column is then read once, and the target's keys once.
     """
-
-    def within(rows: DataFrame, partitions: list) -> DataFrame:
-        return rows.where(_among(prune_on, partitions)) if prune_on else rows
-
-    profile = profile_keys(source, keys, prune_on, routing)
-    small = small_partitions(profile, routing)
-    large = {p["partition"] for p in profile} - set(small)
-    stored = profile_keys(within(target, list(large)), keys, prune_on, routing) if large else []
-    joined = list(large & {p["partition"] for p in stored})
-    fresh = list(large - set(joined))
-
-    hot = hot_hashes(profile, routing) | hot_hashes(stored, routing) if joined else set()
-    is_hot = F.xxhash64(*keys).isin(sorted(hot)) if hot else F.lit(False)
-    known = within(source, joined + small)
-    in_small = _among(prune_on, small) if prune_on else F.lit(not large)
-    aside = in_small | is_hot
-
-    parts = [within(source, fresh)] if fresh else []
+    if prune_on is None:
+        return without_partner(source, held_keys(target, keys, null_safe), keys, null_safe)
+    stored = _values(target, prune_on) if stored is None else stored
+    if not stored:
+        return source
+    brought = _values(source, prune_on) if brought is None else brought
+    kind = target.schema[prune_on].dataType
+    joined, fresh = brought & stored, brought - stored
+    parts = [source.where(_among(prune_on, fresh, kind))] if fresh else []
     if joined:
-        rest = within(target, joined).where(~is_hot)
-        parts.append(without_partner(known.where(~aside), rest, keys, null_safe))
-    if small or hot:
-        few = within(target, small + joined if hot else small).where(aside)
-        parts.append(looked_up(known.where(aside), few, keys, null_safe))
-    return reduce(DataFrame.unionByName, parts) if parts else source
+        inside = _among(prune_on, joined, kind)
+        held = held_keys(target.where(inside), keys, null_safe)
+        parts.append(without_partner(source.where(inside), held, keys, null_safe))
+    return reduce(DataFrame.unionByName, parts) if parts else source.limit(0)
 
 
-def _among(column: str, values: list) -> Column:
-    known = F.col(column).isin([v for v in values if v is not None])
+def _among(column: str, values: set[str | None], kind) -> Column:
+    known = F.col(column).isin([F.lit(v).cast(kind) for v in sorted(v for v in values if v is not None)])
     if None in values:
         return F.col(column).isNull() | known
-    return F.coalesce(known, F.lit(False))
+    return known
 
 
 def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -185,21 +120,23 @@ def insert_only_merge(
     evolve: bool = False,
     prune_on: str | None = None,
     layout: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()),
-    routing: Routing = Routing(),
+    brought: set[str | None] | None = None,
 ) -> None:
     """Append to ``table`` the source rows whose key it does not hold.
 
     ``prune_on`` names a partition column that follows from the key: only partitions
-    the batch touches are then read. ``layout`` gives partition and sort columns for
-    the written files.
+    the batch touches are then read. ``brought`` lists the batch's partitions if they are known, a
+    superset will do. ``layout`` gives partition and sort columns for the written files.
     """
     spark = source.sparkSession
     if evolve:
         add_new_columns(spark, source, table)
     target = spark.table(table)
     rows = _aligned(source, target)
-    if not target.isEmpty():
-        rows = new_rows(rows, target, keys, null_safe, prune_on, routing)
+    if prune_on:
+        rows = new_rows(rows, target, keys, null_safe, prune_on, brought, partition_values(spark, table, prune_on))
+    elif not target.isEmpty():
+        rows = new_rows(rows, target, keys, null_safe)
     if dedupe_source:
         rows = rows.dropDuplicates()
     append(arrange(rows, *layout), table)

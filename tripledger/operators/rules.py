@@ -258,11 +258,11 @@ def error_class(pack: str = "coded") -> Column:
     return chosen.otherwise(F.lit(n.CLASS_RANGE))
 
 
-def valid_rows(flagged: DataFrame) -> DataFrame:
-    """The trusted columns of the rows without error."""
+def valid_rows(flagged: DataFrame, *more: str) -> DataFrame:
+    """The trusted columns of the rows without error, and ``more`` of theirs."""
     typed = {c: F.col(c).cast("int" if c == n.VENDOR else CORE_TYPES[c]) for c in n.CORE}
     typed[n.VENDOR] = typed[n.VENDOR].cast("bigint")
-    return flagged.where(F.col(n.VERDICT) == 0).select([typed[c].alias(c) for c in n.CORE])
+    return flagged.where(F.col(n.VERDICT) == 0).select([typed[c].alias(c) for c in n.CORE] + [F.col(c) for c in more])
 
 
 def quarantine_rows(flagged: DataFrame, limits: Limits, pack: str = "coded") -> DataFrame:

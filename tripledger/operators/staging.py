@@ -14,10 +14,15 @@ from tripledger.functions.months import in_month_range
 from tripledger.operators.rules import CORE_TYPES, TYPE_FLAGS
 
 
-def latest_load(raw: DataFrame) -> Column:
+def latest_load(raw: DataFrame, newest: date | None = None) -> Column:
     """Rows of the newest load day. The day is taken over the whole table, not the
-    selected months, so months loaded on an earlier day drop out."""
-    return F.col(n.LOADED) == raw.agg(F.max(n.LOADED)).scalar()
+    selected months, so months loaded on an earlier day drop out. ``newest`` is that day where
+    it is known, see ``sources.ledger``; else the table is asked for it."""
+    return F.col(n.LOADED) == (F.lit(newest) if newest else raw.agg(F.max(n.LOADED)).scalar())
+
+
+def with_pickup_month(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(n.PICKUP_MONTH, F.trunc(n.PICKUP, "month"))
 
 
 def project_core(
@@ -40,14 +45,18 @@ def project_core(
         wide = given.try_cast("double") if name == n.PASSENGERS and is_text[sources.get(name, name)] else given
         typed = wide.cast(kind) if on_error == "raise" else wide.try_cast(kind)
         columns.append(typed.alias(name))
-        flags.append(as_flag(given.isNotNull() & typed.isNull()).alias(TYPE_FLAGS[name]))
+        lost = given.isNotNull() & typed.isNull()
+        if TYPE_FLAGS[name] in raw.columns:  # lost already when the raw table was filled
+            lost = lost | (F.col(TYPE_FLAGS[name]) == 1)
+        flags.append(as_flag(lost).alias(TYPE_FLAGS[name]))
     dates = [F.col(c).cast("date").alias(c) for c in (n.MONTH, n.LOADED) if c in raw.columns]
     return raw.select(columns + dates + (flags if on_error == "flag" else []))
 
 
 def stage(
-    raw: DataFrame, start: str, end: str, on_error: str = "raise", today: date | None = None
+    raw: DataFrame, start: str, end: str, on_error: str = "raise", today: date | None = None,
+    newest: date | None = None,
 ) -> DataFrame:
     """Newest load of an inclusive month range, as core columns."""
-    picked = raw.where(in_month_range(n.MONTH, start, end, today)).where(latest_load(raw))
+    picked = raw.where(in_month_range(n.MONTH, start, end, today)).where(latest_load(raw, newest))
     return project_core(picked, on_error)

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date, datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripledger import names as n
-from tripledger.functions.months import months_between
-from tripledger.operators.conform import conform, require_rows
+from tripledger.functions.columns import moment
+from tripledger.functions.months import day_in_zone, months_between
+from tripledger.operators.conform import EmptyInputError, conform, require_rows
+from tripledger.operators.rules import TYPE_FLAGS
 from tripledger.operators.writers import arrange, replace_partitions
-from tripledger.sources import contracts
+from tripledger.session import setting
+from tripledger.sources import contracts, ledger
 from tripledger.sources.landing import scan_month, with_load_metadata
 from tripledger.sources.tables import create_raw
 
@@ -24,7 +29,8 @@ class RawLoad:
     """``failures="stop"`` writes all months in one job, or none of them;
     ``"continue"`` writes month by month and reports the months that failed.
     ``cluster=False`` leaves the rows in the order and file sizes they were read in, which
-    spares shuffling them."""
+    spares shuffling them. ``on_error="flag"`` records a delivered value that does not fit, so that the
+    type rules judge it later; ``"null"`` drops it silently, ``"raise"`` stops the load."""
 
     landing: str
     table: str
@@ -34,37 +40,66 @@ class RawLoad:
     template: str = n.LANDING_TEMPLATE
     zone: str = n.LANDING_ZONE
     extras: str = "drop"
-    on_error: str = "null"
+    on_error: str = "flag"
     failures: str = "stop"
     cluster: bool = True
 
 
+#: Raw column -> the flag that says its delivered value did not fit.
+RAW_FLAGS = {**{c: flag for c, flag in TYPE_FLAGS.items() if c != n.VENDOR}, "VendorID": TYPE_FLAGS[n.VENDOR]}
+
+
+def conform_raw(rows: DataFrame, extras: str = "drop", on_error: str = "flag") -> DataFrame:
+    """The raw table's columns: the declared 21 and the type flags."""
+    conformed = conform(rows, contracts.raw_schema(), extras, on_error, RAW_FLAGS)
+    missing = [flag for flag in TYPE_FLAGS.values() if flag not in conformed.columns]
+    return conformed.withColumns({flag: F.lit(0) for flag in missing})
+
+
 def conformed_month(spark: SparkSession, job: RawLoad, year: int, month: int) -> DataFrame:
     landed = scan_month(spark, job.landing, year, month, job.template)
-    dated = with_load_metadata(landed, year, month, job.as_of, job.zone)
-    conformed = conform(dated, contracts.raw_schema(), job.extras, job.on_error)
-    return require_rows(conformed, f"month {year}-{month:02d}")
+    dated = with_load_metadata(landed, year, month, job.as_of, job.zone, cast=False)
+    return conform_raw(dated, job.extras, job.on_error)
 
 
-def _replace(rows: DataFrame, job: RawLoad) -> None:
+def _replace(spark: SparkSession, rows: DataFrame, job: RawLoad, months: list[tuple[int, int]]) -> None:
+    entries = [f"{year}-{month:02d}-01" for year, month in months]
+    day = spark.range(1).select(day_in_zone(moment(job.as_of), job.zone)).first()[0]
+    ledger.strike_out(spark, job.table, entries)
     replace_partitions(arrange(rows, (n.MONTH,), ("VendorID",)) if job.cluster else rows, job.table)
+    ledger.enter(spark, job.table, entries, day)
 
 
 def load_raw(spark: SparkSession, job: RawLoad) -> dict[str, str]:
     """Run the load; the result maps each failed month to its error."""
     if job.failures not in ("stop", "continue"):
         raise ValueError("failures must be 'stop' or 'continue'")
-    months = months_between(job.start, job.end)
-    create_raw(spark, job.table)
-    if job.failures == "stop":
-        # Files may differ in column types from month to month, so each is conformed alone.
-        _replace(reduce(DataFrame.unionByName, [conformed_month(spark, job, *m) for m in months]), job)
-        return {}
-    failed = {}
-    for year, month in months:
-        try:
-            _replace(conformed_month(spark, job, year, month), job)
-        except Exception as error:  # each month stands alone here
-            log.error("month %d-%02d failed: %s", year, month, error)
-            failed[f"{year}-{month:02d}"] = str(error)
-    return failed
+    now = job.as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    job = replace(job, as_of=now)  # one moment, read as UTC whatever the session's zone
+    months = months_between(job.start, job.end, date.fromisoformat(now[:10]))
+    with setting(spark, "spark.sql.session.timeZone", "UTC"):
+        create_raw(spark, job.table)
+        if job.failures == "stop":
+            # Files may differ in column types from month to month, so each is conformed alone.
+            parts = {m: conformed_month(spark, job, *m) for m in months}
+            _require_all(parts)
+            _replace(spark, reduce(DataFrame.unionByName, parts.values()), job, months)
+            return {}
+        failed = {}
+        for year, month in months:
+            try:
+                rows = require_rows(conformed_month(spark, job, year, month), f"month {year}-{month:02d}")
+                _replace(spark, rows, job, [(year, month)])
+            except Exception as error:  # each month stands alone here
+                log.error("month %d-%02d failed: %s", year, month, error)
+                failed[f"{year}-{month:02d}"] = str(error)
+        return failed
+
+
+def _require_all(parts: dict[tuple[int, int], DataFrame]) -> None:
+    """Every month holds a row: one job for all months, which takes one row of each."""
+    firsts = [rows.limit(1).select(F.lit(f"{y}-{m:02d}").alias("month")) for (y, m), rows in parts.items()]
+    found = {r[0] for r in reduce(DataFrame.unionAll, firsts).collect()}
+    for year, month in parts:
+        if f"{year}-{month:02d}" not in found:
+            raise EmptyInputError(f"month {year}-{month:02d} holds no rows")

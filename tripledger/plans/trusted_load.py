@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripledger import names as n
 from tripledger.operators.gates import enforce, gate_error_rate, gate_type_rate
-from tripledger.operators.merge import Routing, insert_only_merge
+from tripledger.operators.merge import insert_only_merge
 from tripledger.operators.metrics import quality_metrics, run_summary
 from tripledger.operators.rules import Limits, quarantine_rows, valid_rows, with_rules
-from tripledger.operators.staging import stage
+from tripledger.operators.staging import stage, with_pickup_month
 from tripledger.operators.writers import append, arrange, truncate
-from tripledger.sources.tables import create_quarantine, create_staging, create_trusted
+from tripledger.session import setting
+from tripledger.sources.ledger import newest_load
+from tripledger.sources.tables import create_quarantine, create_staging, create_trusted, partition_values
 
 STAGING_KEYS = [n.VENDOR, n.PICKUP, n.DROPOFF]
 
@@ -39,7 +41,6 @@ class TrustedLoad:
     null_safe: bool = False
     max_pct_error: str = n.MAX_PCT_ERROR
     max_pct_type: str = n.MAX_PCT_TYPE
-    routing: Routing = Routing()
 
 
 @dataclass(frozen=True)
@@ -51,25 +52,26 @@ class RunResult:
 
 def stage_batch(spark: SparkSession, job: TrustedLoad) -> DataFrame:
     """Add the batch to the staging table. Rows a failed run left there are judged again."""
-    batch = stage(spark.table(job.raw), job.start, job.end, on_error="flag")
+    newest = newest_load(spark, job.raw, n.MONTH)
+    batch = stage(spark.table(job.raw), job.start, job.end, "flag", _day(job.limits), newest)
     insert_only_merge(
-        batch, job.staging, STAGING_KEYS, job.null_safe, job.dedupe_source, routing=job.routing
+        with_pickup_month(batch), job.staging, STAGING_KEYS, job.null_safe, job.dedupe_source,
+        prune_on=n.PICKUP_MONTH, layout=((n.PICKUP_MONTH,), ()),
     )
     return spark.table(job.staging)
 
 
-def with_pickup_month(valid: DataFrame) -> DataFrame:
-    return valid.withColumn(n.PICKUP_MONTH, F.trunc(n.PICKUP, "month"))
+def _day(limits: Limits) -> date:
+    return date.fromisoformat(limits.as_of[:10])
 
 
-def write_trusted(valid: DataFrame, job: TrustedLoad) -> None:
+def write_trusted(flagged: DataFrame, job: TrustedLoad, brought: set[str | None] | None = None) -> None:
+    """Valid rows of the flagged ones. ``brought``: their pickup months, where the caller knows them;
+    the months the table lacks are then read apart from those that are joined."""
+    valid = valid_rows(flagged, n.PICKUP_MONTH) if n.PICKUP_MONTH in flagged.columns else with_pickup_month(valid_rows(flagged))
     insert_only_merge(
-        with_pickup_month(valid),
-        job.trusted,
-        n.CORE,
-        prune_on=n.PICKUP_MONTH,
-        layout=((n.PICKUP_MONTH,), (n.VENDOR, n.PICKUP)),
-        routing=job.routing,
+        valid, job.trusted, n.CORE, prune_on=n.PICKUP_MONTH,
+        layout=((n.PICKUP_MONTH,), (n.VENDOR, n.PICKUP)), brought=brought,
     )
 
 
@@ -83,24 +85,33 @@ def write_quarantine(rejected: DataFrame, job: TrustedLoad) -> None:
     keys = [c for c in rejected.columns if c != n.STAMP]
     insert_only_merge(
         rejected, job.quarantine, keys, null_safe=True, prune_on=n.QUARANTINE_DAY,
-        layout=layout, routing=job.routing,
+        layout=layout, brought={_day(job.limits).isoformat()},
     )
 
 
 def load_trusted(spark: SparkSession, job: TrustedLoad) -> RunResult:
     """Stage, check, gate, write valid and rejected rows, summarise, empty the staging table.
 
-    A failed gate raises before either write and leaves the staging table as it is.
+    The staging table is read three times: for the metrics, the valid and the rejected rows. The trusted
+    table's keys are read once, in the months the batch has too. All moments are UTC, whatever the
+    session's zone. A failed gate raises before either write and leaves the staging table as it is.
     The flagged rows and their metrics can be queried by SQL as temporary views; the view
     of the rows is empty again once the staging table is.
     """
+    with setting(spark, "spark.sql.session.timeZone", "UTC"):
+        return _load(spark, job)
+
+
+def _load(spark: SparkSession, job: TrustedLoad) -> RunResult:
     create_staging(spark, job.staging)
     create_trusted(spark, job.trusted)
     create_quarantine(spark, job.quarantine, job.pack)
 
     # The staging table is the one stored intermediate. Flags are cheap to compute from it,
     # so they are not kept in executor memory, where losing one would cost a recomputation.
-    flagged = with_rules(stage_batch(spark, job), job.limits, job.pack)
+    staged = stage_batch(spark, job)
+    months = partition_values(spark, job.staging, n.PICKUP_MONTH)
+    flagged = with_rules(staged, job.limits, job.pack)
     measured = quality_metrics(flagged, job.pack)
     metrics = spark.createDataFrame(measured.collect(), measured.schema)
     flagged.createOrReplaceTempView(n.FLAGGED_VIEW)
@@ -108,8 +119,8 @@ def load_trusted(spark: SparkSession, job: TrustedLoad) -> RunResult:
     gates = gate_error_rate(metrics, job.max_pct_error).unionByName(gate_type_rate(metrics, job.max_pct_type))
     enforce(gates)
 
-    write_trusted(valid_rows(flagged), job)
-    rejected = quarantine_rows(flagged, job.limits, job.pack)
+    write_trusted(flagged, job, months)
+    rejected = quarantine_rows(flagged.drop(n.PICKUP_MONTH), job.limits, job.pack)
     write_quarantine(rejected, job)
 
     counted = run_summary(spark.table(job.quarantine), job.limits.today)

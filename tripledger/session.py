@@ -51,21 +51,33 @@ def local_session(cores: int = 8, name: str = "tripledger") -> SparkSession:
     return builder.getOrCreate()
 
 
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    A machine-local folder is used only where that setting is missing and the
-    session runs in one process: executors elsewhere could not see it.
+    Where it is unset in a session of one process, as in tests, a temporary one is set for the
+    whole session and goes with it; anywhere else executors could not see such a folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tripledger-")
-    folder = f"{shared.rstrip('/')}/tripledger/{purpose}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+        shared = f"file://{tempfile.mkdtemp(prefix='tripledger-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+        _make(spark, shared)
+    return shared.rstrip("/")
+
+
+def _make(spark: SparkSession, folder: str) -> None:
+    """Creates the folder; it goes when the session's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/tripledger/{purpose}-{uuid.uuid4().hex}"
+    _make(spark, folder)
     return folder

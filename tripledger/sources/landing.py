@@ -24,21 +24,18 @@ def scan_month(
 
 
 def with_load_metadata(
-    df: DataFrame, year: int, month: int, as_of: str | None = None, zone: str = n.LANDING_ZONE
+    df: DataFrame, year: int, month: int, as_of: str | None = None, zone: str = n.LANDING_ZONE,
+    cast: bool = True,
 ) -> DataFrame:
     """Add the month of the file and the load day in the operator's time zone.
 
-    ``as_of`` is a UTC moment as text; without it the query's start time is used.
+    ``as_of`` is a UTC moment as text; without it the query's start time is used. Pickup and dropoff
+    become timestamps, NULL where they are not readable; ``cast=False`` leaves them to ``conform``,
+    which records what it could not read.
     """
     now = moment(as_of) if as_of else F.current_timestamp()
-    return df.withColumns(
-        {
-            n.PICKUP: F.col(n.PICKUP).cast("timestamp"),
-            n.DROPOFF: F.col(n.DROPOFF).cast("timestamp"),
-            n.MONTH: F.lit(date(year, month, 1)),
-            n.LOADED: day_in_zone(now, zone),
-        }
-    )
+    times = {c: F.col(c).try_cast("timestamp") for c in (n.PICKUP, n.DROPOFF)} if cast else {}
+    return df.withColumns({**times, n.MONTH: F.lit(date(year, month, 1)), n.LOADED: day_in_zone(now, zone)})
 
 
 def landed_months(

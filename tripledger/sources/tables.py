@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
@@ -45,21 +47,30 @@ def create_table(
     )
 
 
+def _flag_fields() -> list[StructField]:
+    return contracts.struct([(flag, "int", "1 if the delivered value did not fit") for flag in TYPE_FLAGS.values()]).fields
+
+
+def _month_field() -> StructField:
+    return StructField(n.PICKUP_MONTH, DateType(), True, {"comment": "first day of the pickup month"})
+
+
 def create_raw(spark: SparkSession, name: str, location: str | None = None) -> None:
-    create_table(spark, name, contracts.raw_schema(), (n.MONTH,), "conformed trips by month", location)
+    """The 21 declared columns and the outcome of their casts."""
+    schema = StructType(contracts.raw_schema().fields + _flag_fields())
+    create_table(spark, name, schema, (n.MONTH,), "conformed trips by month", location)
 
 
 def create_staging(spark: SparkSession, name: str, location: str | None = None) -> None:
-    """Core columns, load dates and the outcome of the casts."""
-    flags = contracts.struct([(flag, "int", "") for flag in TYPE_FLAGS.values()])
-    schema = StructType(contracts.staging_schema().fields + flags.fields)
-    create_table(spark, name, schema, (), "trips awaiting their checks", location)
+    """Core columns, load dates and the outcome of the casts, laid out by pickup month: a merge
+    then reads the months it joins and the months it need not join apart."""
+    schema = StructType(contracts.staging_schema().fields + _flag_fields() + [_month_field()])
+    create_table(spark, name, schema, (n.PICKUP_MONTH,), "trips awaiting their checks", location)
 
 
 def create_trusted(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Checked trips, laid out by pickup month so that merges and rollups skip files."""
-    month = StructField(n.PICKUP_MONTH, DateType(), True, {"comment": "first day of the pickup month"})
-    schema = StructType(contracts.trusted_schema().fields + [month])
+    schema = StructType(contracts.trusted_schema().fields + [_month_field()])
     create_table(spark, name, schema, (n.PICKUP_MONTH,), "checked trips", location)
 
 
@@ -68,6 +79,15 @@ def create_quarantine(spark: SparkSession, name: str, pack: str = "coded", locat
     create_table(spark, name, schema, (n.QUARANTINE_DAY, n.ERROR_CLASS), "rejected trips", location)
 
 
+def partition_values(spark: SparkSession, name: str, column: str) -> set[str | None]:
+    """Values of one partition column of a table, as text, from the catalog: no file is read."""
+    values = set()
+    for row in spark.sql("SHOW PARTITIONS IDENTIFIER(:name)", {"name": name}).collect():
+        parts = dict(part.split("=", 1) for part in row[0].split("/"))
+        values.add(None if parts[column] == "__HIVE_DEFAULT_PARTITION__" else unquote(parts[column]))
+    return values
+
+
 def read_table(spark: SparkSession, name: str, schema: StructType) -> DataFrame:
     """A table's columns in declared order (a stored table moves partition columns last)."""
     return spark.table(name).select(*schema.names)
