@@ -15,8 +15,7 @@ pass over all texts without a shuffle, and holds a bounded number of word projec
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +32,8 @@ STRIDE = 24
 REMEMBERED = 120_000
 STEP_WINDOWS = 4096
 STEP_WORDS = 60_000
+#: Distinct words whose character runs are looked up in one step.
+STEP_NAMES = 8_192
 
 
 @dataclass(frozen=True)
@@ -144,7 +145,10 @@ class Network:
 
     def projected(self, words: list[bytes]) -> np.ndarray:
         """Both directions' gate inputs of the words: a row of 6 * hidden numbers each."""
-        return self.inputs(words)[0] @ self.p["input"] + self.p["input_bias"]
+        out = np.empty((len(words), 6 * self.hidden), np.float32)
+        for a in range(0, len(words), STEP_NAMES):  # character runs of many words take much room
+            out[a : a + STEP_NAMES] = self.inputs(words[a : a + STEP_NAMES])[0] @ self.p["input"] + self.p["input_bias"]
+        return out
 
     def forward(self, table: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Window scores (logits). ``index``: table rows of the words, windows by places; row 0 pads."""
@@ -227,11 +231,9 @@ class Network:
 # ---------------------------------------------------------------- training
 
 
-def _laid_out(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words; windows as indices into them (0 pads); the mask; the window's document."""
-    names: dict[bytes, int] = {}
-    flat = [names.setdefault(w, len(names) + 1) for d in docs for w in d]
-    ids = np.concatenate((np.array(flat, np.int64), np.zeros(WINDOW, np.int64)))
+def _laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of documents given as word numbers from 1 (0 pads); the mask; the window's document."""
+    ids = np.concatenate([*docs, np.zeros(WINDOW, np.int32)])
     begins, owners, limits, at = [], [], [], 0
     for k, d in enumerate(docs):
         some = windows_of(len(d))
@@ -244,17 +246,20 @@ def _laid_out(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndar
     mask = places < limits[:, None]
     index = np.where(mask, ids[np.minimum(places, len(ids) - 1)], 0)
     mask[:, 0] = True  # an empty text is one window of padding
-    return list(names), index, mask, owners
+    return index, mask, owners
 
 
-def train(docs: list[list[bytes]], labels: np.ndarray, t: Training = Training()) -> Network | None:
+def train(texts: Iterable[str], labels: np.ndarray, t: Training = Training()) -> Network | None:
     """None if the sample lacks one of the classes."""
     if not len(labels) or labels.min() == labels.max():
         return None
-    seen = Counter(w for d in docs for w in set(d))
+    names: dict[bytes, int] = {}
+    docs = [np.array([names.setdefault(w, len(names) + 1) for w in words_of(x)], np.int32) for x in texts]
+    words = list(names)
+    seen = dict(zip(words, np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(words) + 1)[1:].tolist(), strict=True))
     common = sorted((w for w, c in seen.items() if c > 1), key=lambda w: (-seen[w], w))[: t.known_words]
     net = Network.new({w: k + 1 for k, w in enumerate(common)}, t)
-    words, index, mask, owners = _laid_out(docs)
+    index, mask, owners = _laid_out(docs)
     truth = labels[owners].astype(np.float32)
     draw = np.random.default_rng(t.seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -293,14 +298,14 @@ def train(docs: list[list[bytes]], labels: np.ndarray, t: Training = Training())
 def fit(docs: DataFrame, labels: DataFrame, t: Training = Training(), text: str = "text") -> Network | None:
     """Learns from labelled rows outside the held-out part; a document's label is the largest it is given."""
     given = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
-    given = given.groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    # The sample is drawn among the labels before any text is read; it is bounded, and so is what comes back.
+    chosen = [given.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(n) for y, n in ((1, t.toxic), (0, t.clean))]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("text")).where(F.length("text") <= t.chars)
-    rows = rows.join(given, "doc_id")
-    samples = []
-    for y, most in ((1, t.toxic), (0, t.clean)):
-        some = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(most)
-        samples += [(r["text"], y) for r in some.select("text").collect()]
-    return train([words_of(x) for x, _ in samples], np.array([y for _, y in samples]), t)
+    rows = rows.join(chosen, "doc_id").select("text", "y").limit(2 * (t.toxic + t.clean))  # ids may repeat
+    sample = sorted((r["text"], r["y"]) for r in rows.collect())  # the order of arrival must not matter
+    return train((x for x, _ in sample), np.array([y for _, y in sample]), t)
 
 
 # ---------------------------------------------------------------- scoring
