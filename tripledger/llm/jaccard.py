@@ -13,9 +13,9 @@ hash); cutting that order into fragments cuts every set into segments. Two uses
   are counted for all pairs of a bounded block at once, and the counts are summed per pair.
 
 Equal sets are one node from the start. Large families of near copies are contracted before anything
-is compared in pairs: every set is compared with one centre of its family, links become components,
-and only what may still link across components goes on. A set drops out for good when too few
-of its n-grams occur in any other component for a link with even the smallest partner it can have.
+is compared in pairs: every set is compared with one centre of its family, goes under the centre's
+name if they link, and only what may still link across names goes on. A set drops out for good when too
+few of its n-grams occur under any other name for a link with even the smallest partner it can have.
 What is left is compared in blocks of bounded size, each block pair in its own task, and gives
 no pairs but a spanning forest of the links. No link between different texts is lost.
 
@@ -42,7 +42,7 @@ BLOCK_GRAMS = 1 << 17
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 8
 #: Word hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _words: dict[bytes, int] = {}
@@ -147,7 +147,8 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str) ->
             yield pd.DataFrame(out, columns=["set_id", "n", "grams"], dtype=object)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.join(wanted, "doc_id").select("set_id", "text").mapInPandas(
+    # The same join at every size: a broadcast on small tables only would hide what texts cost to move.
+    return rows.join(wanted.hint("merge"), "doc_id").select("set_id", "text").mapInPandas(
         gather, "set_id long, n long, grams array<long>"
     )
 
@@ -222,7 +223,7 @@ def _slices(sets: str, grams_: str):
 
 
 def _star_links(members: DataFrame, candidates: DataFrame, like: Likeness) -> DataFrame:
-    """Links of every set with one centre: the least set that shares a token with it."""
+    """Links (``u``: centre, ``v``) of every set with one centre: the least set that shares a token with it."""
     centres = stored(_shared(members, "set_id"), "centres")
     star = members.join(centres, "token").groupBy("set_id").agg(F.min("centre").alias("centre"), F.first("n").alias("n"))
     star = stored(star.where("set_id <> centre"), "star")
@@ -235,7 +236,7 @@ def _star_links(members: DataFrame, candidates: DataFrame, like: Likeness) -> Da
         "centre", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
         F.col("centre").alias("set_id"), F.lit(0).alias("side"),
     )
-    rows = stored(outer.unionByName(inner), "star-rows").join(candidates, "set_id")
+    rows = outer.unionByName(inner).join(candidates, "set_id")
     return stored(_compared(rows, ["centre", "slice"], like), "star-links")
 
 
@@ -259,7 +260,7 @@ def _block_links(members: DataFrame, candidates: DataFrame, like: Likeness) -> D
         "family", "set_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    rows = stored(meets, "blocks").join(candidates, "set_id")
+    rows = meets.join(candidates, "set_id")
     return stored(_compared(rows, ["family", "a", "b"], like), "block-links")
 
 
@@ -277,44 +278,33 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), text: str = "text") ->
     not looked at; an empty table gives no rows.
     """
     signed = stored(_signed(docs, like, text), "signatures")
-    sets = signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.min("proof").alias("a"), F.max("proof").alias("b")
-    )
-    sound = F.assert_true(F.col("a") == F.col("b"), F.lit("two sets have one hash")).isNull()
-    firsts = stored(sets.where(sound).select("set_id", "doc_id"), "firsts")
-    named = stored(linked_sets(docs, signed, firsts, like, text), "labels")
-
-    of_set = firsts.join(named.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "set_id", "doc_id", F.coalesce("label", "set_id").alias("label")
-    )
-    of_set = stored(of_set, "labelled")
-    least = stored(of_set.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    final = stored(of_set.join(least, "label").select("set_id", "component_id"), "components")
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
-    return rows.join(final, "set_id", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+    proofs = signed.groupBy("set_id").agg(F.min("proof").alias("a"), F.max("proof").alias("b"))
+    if not proofs.where("a <> b").isEmpty():
+        raise RuntimeError("two different sets have one hash")
+    named = linked_sets(docs, signed, like, text).withColumnRenamed("node", "set_id")
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
+    rows = stored(rows.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label")), "labelled")
+    least = stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
+    return rows.join(least, "label", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
     )
 
 
-def linked_sets(docs: DataFrame, signed: DataFrame, firsts: DataFrame, like: Likeness, text: str) -> DataFrame:
+def linked_sets(docs: DataFrame, signed: DataFrame, like: Likeness, text: str) -> DataFrame:
     """(``node``, ``label``) of the sets that links join, see ``components``."""
-    given = signed.where("set_id is not null and doc_id is not null")
-    tokens = given.select("set_id", "n", F.explode("tokens").alias("token"))
+    tokens = signed.where("set_id is not null and doc_id is not null").select("set_id", "doc_id", "n", F.explode("tokens").alias("token"))
     sides = tokens.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.min("n").alias("least"))
     shared = stored(sides.where("a <> b").select("token", "least"), "shared-tokens")
-    once = given.join(firsts, ["set_id", "doc_id"]).select("set_id", "n", F.explode("tokens").alias("token"))
-    members = stored(once.join(shared, "token").select("token", "set_id", "n", "least").distinct(), "members")
-
-    bounds = members.groupBy("set_id").agg(F.min("least").alias("least"))
-    bounds = stored(bounds.join(firsts, "set_id"), "candidates")
+    # Copies of a set are combined before the shuffle.
+    members = tokens.join(shared, "token").groupBy("token", "set_id", "n", "least").agg(F.min("doc_id").alias("doc_id"))
+    members = stored(members, "members")
+    bounds = stored(members.groupBy("set_id").agg(F.min("least").alias("least"), F.min("doc_id").alias("doc_id")), "bounds")
     candidates = stored(_grams_of(docs, bounds.select("set_id", "doc_id"), like, text), "candidate-grams")
     # N-grams that one candidate alone has cannot be common to it and a partner.
     sides = candidates.select("set_id", F.explode("grams").alias("gram")).groupBy("gram").agg(
         F.min("set_id").alias("a"), F.max("set_id").alias("b")
     )
     lonely = sides.where("a = b").groupBy(F.col("a").alias("set_id")).agg(F.count("*").alias("lonely"))
-    lonely = stored(lonely, "lonely")
     alive = (
         candidates.select("set_id", "n").distinct()
         .join(bounds.select("set_id", "least"), "set_id")
@@ -322,31 +312,27 @@ def linked_sets(docs: DataFrame, signed: DataFrame, firsts: DataFrame, like: Lik
         .where(_enough(F.col("n") - F.coalesce("lonely", F.lit(0)), F.col("n"), F.col("least"), like))
         .select("set_id")
     )
-    alive = stored(alive, "alive")
-    members = stored(members.join(alive, "set_id", "left_semi"), "alive-members")
+    members = stored(members.join(stored(alive, "alive"), "set_id", "left_semi"), "alive-members")
 
+    # A set that links with its centre goes under the centre's name from here on.
     star = _star_links(members, candidates, like)
-    family = components(star)
-    labelled = members.join(family.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "label", F.coalesce("label", "set_id")
-    )
+    named = star.groupBy(F.col("v").alias("set_id")).agg(F.min("u").alias("label"))
+    labelled = members.join(named, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     labelled = stored(labelled, "labelled-members")
     mixed = stored(_shared(labelled, "label").select("token"), "mixed")
     rest = stored(labelled.join(mixed, "token"), "rest")
 
-    # Once more, now against other components only.
+    # Once more, now against sets under other names only.
     spread = candidates.join(rest.select("set_id", "label").distinct(), "set_id").select(
         "set_id", "label", F.explode("grams").alias("gram")
     )
     elsewhere = stored(_shared(spread.withColumnRenamed("gram", "token"), "label").select(F.col("token").alias("gram")), "elsewhere")
     available = spread.join(elsewhere, "gram").groupBy("set_id").agg(F.count("*").alias("available"))
-    available = stored(available, "available")
     sizes = rest.groupBy("set_id").agg(F.first("n").alias("n"), F.min("least").alias("least"))
     able = sizes.join(available, "set_id").where(_enough(F.col("available"), F.col("n"), F.col("least"), like))
-    rest = stored(rest.join(stored(able.select("set_id"), "able"), "set_id", "left_semi"), "rest")
+    rest = stored(rest.join(able.select("set_id"), "set_id", "left_semi"), "rest")
 
-    links = star.unionByName(_block_links(rest, candidates, like))
-    return components(links)
+    return components(star.unionByName(_block_links(rest, candidates, like)))
 
 
 def first_of_each(docs: DataFrame, like: Likeness = Likeness(), text: str = "text") -> DataFrame:
