@@ -2,9 +2,9 @@
 
 Texts are cut where no vocabulary of this kind joins characters: before white space that follows a
 visible character, and between a Latin letter and the full stops or commas that end a word. Each
-distinct piece is encoded once per worker and remembered, so frequent words cost a lookup. Texts in
-which that cut could matter (unusual white space, text that spells a special token) are encoded
-whole. The memory holds a bounded number of pieces; what falls out is encoded again.
+distinct piece is encoded once per worker and remembered, so frequent words cost a lookup. Texts with
+a piece before which that cut could matter (unusual white space, text that spells a special token)
+are encoded whole. The memory holds a bounded number of pieces; what falls out is encoded again.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import re
 import numpy as np
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PIECE = re.compile(rf"\s*[{_LETTERS}]+(?![^.,\s])|[.,]+(?=\s|$)|\s*\S+|\s+")
-_UNUSUAL = re.compile(r"[^\S \n\t\r]|<\|")
+_BLANK = r" \n\t\r"
+_PIECE = re.compile(rf"[{_BLANK}]*[{_LETTERS}]+(?![^.,{_BLANK}])|[.,]+(?=[{_BLANK}]|$)|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+_UNUSUAL = re.compile(rf"[^\S{_BLANK}]|<\|")
 #: Pieces remembered per worker: twice this many at most.
 REMEMBERED = 500_000
 
@@ -46,34 +47,41 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        whole = [bool(_UNUSUAL.search(t)) for t in texts]
-        cut = [[t] if w else _PIECE.findall(t) for t, w in zip(texts, whole, strict=True)]
-        local: dict[str, bytes] = {}
-        wanted: set[str] = set()
-        for pieces, w in zip(cut, whole, strict=True):
-            if not w:
-                wanted.update(pieces)
-        missing = []
-        for piece in wanted:
-            ids = self.young.get(piece)
-            if ids is None:
-                ids = self.old.get(piece)
-                if ids is None:
-                    missing.append(piece)
-                    continue
+        out: list[bytes] = [b""] * len(texts)
+        open_texts, missing = [], {}
+        known = self.young.get
+        for k, text in enumerate(texts):
+            pieces = _PIECE.findall(text)
+            ids = list(map(known, pieces))
+            if None in ids:
+                holes = [j for j, found in enumerate(ids) if found is None]
+                missing.update((pieces[j], None) for j in holes)
+                open_texts.append((k, pieces, ids, holes))
+            else:
+                out[k] = b"".join(ids)
+        self._find(missing)
+        for k, pieces, ids, holes in open_texts:
+            for j in holes:
+                ids[j] = missing[pieces[j]]
+            out[k] = self._raw([texts[k]])[0] if None in ids else b"".join(ids)
+        return out
+
+    def _find(self, missing: dict[str, bytes | None]) -> None:
+        """Fills in the pieces' ids; a piece before which the cut could matter stays None."""
+        new = []
+        for piece in missing:
+            ids = self.old.get(piece)
+            if ids is not None:
+                missing[piece] = ids
                 self._keep(piece, ids)
-            local[piece] = ids
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
+            elif not _UNUSUAL.search(piece):
+                new.append(piece)
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
             for piece, ids in zip(some, self._raw(some), strict=True):
-                local[piece] = ids
+                missing[piece] = ids
                 if len(piece) <= 64:
                     self._keep(piece, ids)
-        get = local.__getitem__
-        return [
-            self._raw(pieces)[0] if w else b"".join(map(get, pieces))
-            for pieces, w in zip(cut, whole, strict=True)
-        ]
 
     def _keep(self, piece: str, ids: bytes) -> None:
         if len(self.young) >= self.remembered:
@@ -81,7 +89,7 @@ class Encoder:
         self.young[piece] = ids
 
 
-def in_steps(texts: list[str], chars: int = 4_000_000):
+def in_steps(texts: list[str], chars: int = 2_000_000):
     """Slices of a batch with a bounded amount of text each (one text at least)."""
     begin = 0
     while begin < len(texts):
