@@ -5,8 +5,8 @@ hash); cutting that order into fragments cuts every set into segments. Two uses
 
 * Candidates. Sets that link differ in few n-grams, so of enough fragments most hold equal segments.
   A set with ``n`` n-grams may differ from a partner in at most ``d = n * (1 - t) / t``; it gives the
-  first ``d + 1`` hashes of its non-empty segments, and two linked sets give one in common (prefix
-  filter on segments). The number of fragments depends on the size alone, and a set whose partners
+  hashes of its ``d + 1`` first non-empty segments, long ones first, and two linked sets give one in
+  common (prefix filter on segments). The number of fragments depends on the size alone, and a set whose partners
   may use the next finer cut gives that one's segments too. Sets so small that ``d`` reaches the
   number of their segments also give the first n-grams of the classical prefix filter.
 * Overlaps. Sets that may link are compared fragment by fragment: each fragment's partial overlaps
@@ -100,9 +100,11 @@ def signature(found: np.ndarray, like: Likeness) -> np.ndarray:
         fragment = found >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
         begins = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
         where = fragment[begins] * _ODD[0] + _ODD[1:2] * np.uint64(level + 1)
-        segments = np.sort(mix64(np.add.reduceat(scrambled, begins) + where))
+        segments = mix64(np.add.reduceat(scrambled, begins) + where)
         weak = weak or len(segments) <= most
-        out.append(segments[: most + 1])
+        # Long segments first: they are seldom equal by chance. The order is the same for every set.
+        sizes = np.diff(np.append(begins, n))
+        out.append(segments[np.lexsort((segments, -sizes))[: most + 1]])
     if weak:
         least = -(-n * like.num // like.den)  # shared at least, of the larger set
         out.append(mix64(found[: n - least + 1] + _ODD[2]))
