@@ -149,7 +149,8 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str) ->
             yield pd.DataFrame(out, columns=["set_id", "n", "grams"], dtype=object)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    # The same join at every size: a broadcast on small tables only would hide what texts cost to move.
+    # The same join at every size, here and where the n-grams are joined: a broadcast on small tables
+    # only would hide what texts and sets cost to move.
     return rows.join(wanted.hint("merge"), "doc_id").select("set_id", "text").mapInPandas(
         gather, "set_id long, n long, grams array<long>"
     )
@@ -238,7 +239,7 @@ def _star_links(members: DataFrame, candidates: DataFrame, like: Likeness) -> Da
         "centre", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
         F.col("centre").alias("set_id"), F.lit(0).alias("side"),
     )
-    rows = outer.unionByName(inner).join(candidates, "set_id")
+    rows = outer.unionByName(inner).join(candidates.hint("merge"), "set_id")
     return stored(_compared(rows, ["centre", "slice"], like), "star-links")
 
 
@@ -262,7 +263,7 @@ def _block_links(members: DataFrame, candidates: DataFrame, like: Likeness) -> D
         "family", "set_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    rows = meets.join(candidates, "set_id")
+    rows = meets.join(candidates.hint("merge"), "set_id")
     return stored(_compared(rows, ["family", "a", "b"], like), "block-links")
 
 
@@ -325,7 +326,7 @@ def linked_sets(docs: DataFrame, signed: DataFrame, like: Likeness, text: str) -
     rest = stored(labelled.join(mixed, "token"), "rest")
 
     # Once more, now against sets under other names only.
-    spread = candidates.join(rest.select("set_id", "label").distinct(), "set_id").select(
+    spread = candidates.join(rest.select("set_id", "label").distinct().hint("merge"), "set_id").select(
         "set_id", "label", F.explode("grams").alias("gram")
     )
     elsewhere = stored(_shared(spread.withColumnRenamed("gram", "token"), "label").select(F.col("token").alias("gram")), "elsewhere")
