@@ -19,6 +19,7 @@ other columns are passed on untouched; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -190,7 +191,7 @@ def sanitised(docs: DataFrame, how: Disclosure = Disclosure(), text: str = "text
     ``length`` names a column, if the table has it, that is to hold the new text's length where the text changed.
     """
     columns = [f"`{c}`" for c in docs.columns]
-    into = fresh_name(docs.columns, "spans")
+    into = f"spans_{uuid.uuid4().hex}"  # names are built from it, none may clash
     rows = all_spans(docs, into, how, text)
     ordered = fresh_name(rows.columns, "ordered")
     by_start = "(x, y) -> CASE WHEN x.s < y.s THEN -1 WHEN x.s > y.s THEN 1 WHEN x.e > y.e THEN -1 WHEN x.e < y.e THEN 1 ELSE 0 END"
