@@ -129,7 +129,12 @@ def with_firsts(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame
 
 
 def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the archives and gives the stored list of them: ``url``, ``records``, ``bytes``."""
+    """Writes the archives and gives the stored list of them: ``url``, ``records``, ``bytes``.
+
+    A null page is an empty body, a null ``url`` a record without target URI; white space in a URL becomes
+    one blank, as a header is one line. Rows without ``page_id`` are responses without that field; repeated
+    rows are written as often as they come. An empty table gives no files; other columns are left out.
+    """
     folder = work_folder(pages.sparkSession, "warc")
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
