@@ -10,6 +10,7 @@ from corpus_helpers import extra
 from pyspark.sql import functions as F
 
 from tripledger.llm import jaccard, kd_search
+from tripledger.llm.bitmap import may_be_wanted, those_maybe_wanted
 from tripledger.llm.components import components
 from tripledger.llm.jaccard import Likeness
 
@@ -191,3 +192,16 @@ def test_sums_too_large_for_floating_point_are_exact():
 def test_extra_columns_do_not_matter(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [2.0])], VECTORS).withColumn("dim", F.lit("x")).withColumn("v", F.lit(1))
     assert kd_search.top_k(rows).count() == 1
+
+
+def test_a_bitmap_lets_all_wanted_values_pass(spark):
+    draw = np.random.default_rng(6)
+    values = draw.integers(-(2**63), 2**63, 4000, dtype=np.int64)
+    wanted = spark.createDataFrame([(int(v),) for v in values[:500]], "k long")
+    rows = spark.createDataFrame([(int(v),) for v in values], "k long")
+    passed = {r.k for r in rows.where(may_be_wanted(wanted, "k", F.col("k"))).collect()}
+    assert set(values[:500].tolist()) <= passed and len(passed) < 510
+    arrays = rows.select(F.array("k", F.lit(int(values[0])), F.lit(5)).alias("a"))
+    kept = arrays.select(those_maybe_wanted(wanted, "k", F.col("a")).alias("a")).collect()
+    assert all(int(values[0]) in r.a and len(r.a) < 3 for r in kept)
+    assert rows.where(may_be_wanted(wanted.limit(0), "k", F.col("k"))).count() == 0

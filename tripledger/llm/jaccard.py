@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripledger.llm.bitmap import may_be_wanted, those_maybe_wanted
 from tripledger.llm.common import as_text, fresh_name, mix64, numbers_of, stored, texts_of, utf8
 from tripledger.llm.components import components
 
@@ -151,6 +152,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     # The same join at every size, here and where the n-grams are joined: a broadcast on small tables
     # only would hide what texts and sets cost to move.
+    rows = rows.where(F.col("doc_id").isNotNull()).where(may_be_wanted(wanted, "doc_id", F.col("doc_id")))
     return rows.join(wanted.hint("merge"), "doc_id").select("set_id", "text").mapInPandas(
         gather, "set_id long, n long, grams array<long>"
     )
@@ -298,7 +300,9 @@ def linked_sets(docs: DataFrame, signed: DataFrame, like: Likeness, text: str) -
     tokens = signed.where("set_id is not null and doc_id is not null").select("set_id", "doc_id", "n", F.explode("tokens").alias("token"))
     sides = tokens.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.min("n").alias("least"))
     shared = stored(sides.where("a <> b").select("token", "least"), "shared-tokens")
-    # Copies of a set are combined before the shuffle.
+    # Only tokens that others may give too are moved again; copies of a set are combined before the shuffle.
+    given = signed.where("set_id is not null and doc_id is not null")
+    tokens = given.select("set_id", "doc_id", "n", F.explode(those_maybe_wanted(shared, "token", F.col("tokens"))).alias("token"))
     members = tokens.join(shared, "token").groupBy("token", "set_id", "n", "least").agg(F.min("doc_id").alias("doc_id"))
     members = stored(members, "members")
     bounds = stored(members.groupBy("set_id").agg(F.min("least").alias("least"), F.min("doc_id").alias("doc_id")), "bounds")
