@@ -120,16 +120,12 @@ def frequencies(files: DataFrame, templates: dict[str, str], text: str = "text")
     return found, found.pop("", 0)
 
 
-def scanned(
-    files: DataFrame, templates: dict[str, str] | None = None, scan: Scan = Scan(), path: str = "path",
-    text: str = "text", is_licence_file: str = "is_licence_file",
+def matched(
+    files: DataFrame, templates: dict[str, str] | None = None, scan: Scan = Scan(), text: str = "text"
 ) -> DataFrame:
-    """Per file: ``path``, ``own`` (SPDX) and its ``cosine``, ``licence`` in force, ``origin`` (own, directory or
-    none) and ``directory`` that it comes from.
+    """``files``, stored, with ``own`` (SPDX) and ``cosine`` in place of the text.
 
-    A null or empty text has no licence of its own and a cosine of 0; a null path has no directory and inherits
-    nothing; repeated rows are each returned. Where several licence files of a directory disagree the highest
-    cosine decides, then the smallest path. An empty table gives no rows.
+    A null or empty text has no licence of its own and a cosine of 0. Without ``templates``, ``TEMPLATES`` count.
     """
     templates = TEMPLATES if templates is None else templates
     matcher = Matcher(templates, *frequencies(files, templates, text))
@@ -139,16 +135,34 @@ def scanned(
         for texts in batches:
             yield pd.DataFrame([matcher.best(t) for t in texts_of(texts)], columns=["name", "cosine"])
 
-    rows = files.select(
-        F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{is_licence_file}`"), F.lit(False)).alias("speaks"),
-        match(F.col(f"`{text}`").cast("string")).alias("m"),
-    )
-    rows = rows.select(
-        "path", "speaks", F.when(F.col("m.cosine") >= scan.least, F.col("m.name")).alias("own"),
-        F.round("m.cosine", 6).alias("cosine"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("home"),
-    )
-    rows = stored(rows.withColumn("home", F.when(F.col("path").contains("/"), F.col("home")).when(F.col("path").isNotNull(), "")), "own-licences")
+    kept = [f"`{c}`" for c in files.columns if c != text]
+    rows = files.select(*kept, match(F.col(f"`{text}`").cast("string")).alias("m"))
+    return stored(
+        rows.select(
+            *kept, F.when(F.col("m.cosine") >= scan.least, F.col("m.name")).alias("own"), F.round("m.cosine", 6).alias("cosine")
+        ),
+        "own-licences",
+    )
 
+
+def scanned(
+    files: DataFrame, templates: dict[str, str] | None = None, scan: Scan = Scan(), path: str = "path",
+    text: str = "text", is_licence_file: str = "is_licence_file",
+) -> DataFrame:
+    """Per file: ``path``, ``own`` (SPDX) and its ``cosine``, ``licence`` in force, ``origin`` (own, directory or
+    none) and ``directory`` that it comes from. Repeated rows are each returned; an empty table gives no rows."""
+    speaks = F.coalesce(F.col(f"`{is_licence_file}`"), F.lit(False)).alias("speaks")
+    return inherited(matched(files.select(F.col(f"`{path}`").alias("path"), speaks, F.col(f"`{text}`").alias("text")), templates, scan))
+
+
+def inherited(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The licences in force of ``matched`` rows with ``path`` and ``speaks``; ``keys`` are columns to carry.
+
+    A null path has no directory and inherits nothing. Where several licence files of a directory disagree the highest
+    cosine decides, then the smallest path.
+    """
+    home = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), "")
+    rows = rows.withColumn("home", home)
     speaking = rows.where(F.col("speaks") & F.col("own").isNotNull() & F.col("home").isNotNull())
     declared = speaking.groupBy("home").agg(F.min_by("own", F.struct(-F.col("cosine"), F.col("path"))).alias("licence"))
     declared = stored(declared.withColumnRenamed("home", "directory"), "declared")
@@ -163,7 +177,7 @@ def scanned(
     nearest = stored(nearest.select("home", "near.directory", F.col("near.licence").alias("inherited")), "nearest")
     final = rows.join(nearest, "home", "left")
     return final.select(
-        "path", "own", "cosine", F.coalesce("own", "inherited").alias("licence"),
+        *keys, "path", "own", "cosine", F.coalesce("own", "inherited").alias("licence"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("inherited").isNotNull(), "directory").otherwise("none").alias("origin"),
         F.when(F.col("own").isNull(), F.col("directory")).alias("directory"),
     )

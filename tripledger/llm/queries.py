@@ -67,15 +67,12 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: ``source/part/lang/doc_id.txt`` with 1024 ids to a part. One that begins with a licence
-    notice is the licence file of its part and lies there."""
-    docs = table(spark, sf_dir, "documents")
-    speaks = F.col("text").rlike(r"(?i)^[^\n]*\blicen[cs]e")
+    """Documents as files: ``source/part/lang/doc_id.txt`` with 1024 ids to a part. One in which the scan finds a
+    licence is a licence file of its part and lies there."""
+    found = licences.matched(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    speaks = F.col("own").isNotNull()
     part = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1024).cast("string"))
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    files = docs.select(
-        F.when(speaks, F.concat_ws("/", part, name)).otherwise(F.concat_ws("/", part, "lang", name)).alias("path"),
-        "text", speaks.alias("is_licence_file"),
-    )
-    found = licences.scanned(files)
-    return found.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long"))
+    path = F.when(speaks, F.concat_ws("/", part, name)).otherwise(F.concat_ws("/", part, "lang", name))
+    result = licences.inherited(found.select("own", "cosine", path.alias("path"), speaks.alias("speaks")))
+    return result.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long"))
