@@ -100,3 +100,13 @@ def test_licence_files_that_come_with_spark(file):
     matcher = licences.Matcher(licences.standard(), {}, 1000)
     found, cosine = matcher.best(place.read_text(errors="replace"))
     assert found == REAL[file] and cosine >= 0.75
+
+
+def test_the_scan_carries_ids_of_any_kind(spark, tmp_path):
+    rows = [(-5, "Released under the MIT License."), (-7, "plain"), (None, "plain"), (None, "Released under the MIT License."), (3, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_licence_scan(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.licence, r.origin) for r in found), key=str) == sorted(
+        [(-5, "MIT", "own"), (-7, "MIT", "directory"), (None, None, "none"), (None, "MIT", "own"), (3, None, "none")], key=str
+    )

@@ -74,5 +74,6 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1024).cast("string"))
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
     path = F.when(speaks, F.concat_ws("/", part, name)).otherwise(F.concat_ws("/", part, "lang", name))
-    result = licences.inherited(found.select("own", "cosine", path.alias("path"), speaks.alias("speaks")))
-    return result.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long"))
+    path = F.when(F.col("doc_id").isNotNull(), path)  # a document without an id is no file of any part
+    result = licences.inherited(found.select("doc_id", "own", "cosine", path.alias("path"), speaks.alias("speaks")), ("doc_id",))
+    return result.select("path", "own", "cosine", "licence", "origin", "directory", "doc_id")
