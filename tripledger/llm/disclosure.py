@@ -8,7 +8,8 @@ in the corpus is more than chance. With document counts ``n``, the pointwise mut
 ``log(n(e, t) * N / (n(e) * n(t)))`` is compared with the entity's information content ``log(N / n(e))``:
 a share of 1 means that the term occurs only with the entity. Terms that exceed ``generalise`` are
 replaced by a placeholder, those that exceed ``remove`` are taken out, wherever they stand near that
-entity. A pair seen in fewer than ``support`` documents is no evidence and left alone.
+entity. No count is too small to be judged, but a pair must meet more often than chance explains: were the
+term's documents drawn at random, the probability (Chernoff's bound) of as many with the entity is at most ``chance``.
 
 Everything is a DataFrame expression: no Python runs on the executors. Counts over the corpus are
 combined before they are shuffled; context rows exist for documents with entities only.
@@ -19,6 +20,7 @@ other columns are passed on untouched; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -56,7 +58,7 @@ STRETCH = 256
 @dataclass(frozen=True)
 class Disclosure:
     chars: int = 80  # how far from an entity a term is looked at
-    support: int = 3
+    chance: float = 0.01
     generalise: float = 0.85
     remove: float = 0.97
 
@@ -140,7 +142,7 @@ def _contexts(rows: DataFrame, into: str, how: Disclosure, text: str) -> DataFra
 def disclosing_terms(docs: DataFrame, contexts: DataFrame, how: Disclosure, text: str = "text") -> DataFrame:
     """(``entity``, ``term``, ``share``) of the pairs above the threshold, stored."""
     seen = contexts.select("row", "entity", "term").distinct()
-    pairs = stored(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(f"both >= {how.support}"), "pairs")
+    pairs = stored(seen.groupBy("entity", "term").agg(F.count("*").alias("both")), "pairs")
     entities = stored(contexts.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`").cast("string")), F.lit(WORD), F.lit(0)))
     counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
@@ -148,11 +150,24 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, how: Disclosure, text
     counts = stored(counts.join(wanted, "term"), "term-counts")
     total = docs.count()
     joined = pairs.join(entities, "entity").join(counts, "term")
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
+    return stored(scored(joined, total, how).select("entity", "term", "share"), "disclosing")
+
+
+def scored(pairs: DataFrame, total: int, how: Disclosure) -> DataFrame:
+    """Rows with ``n_entity``, ``n_term`` and ``both`` (documents) that disclose, with their ``share``."""
+    every = F.lit(float(max(total, 1)))
+    pairs = pairs.withColumn("n_term", F.greatest("n_term", "both"))
+    information = F.log2(every / F.col("n_entity"))
+    mutual = F.log2(F.col("both") * every / (F.col("n_entity") * F.col("n_term")))
     # An entity in every document carries no information that a term could give away.
     share = F.when(information > 0, mutual / information).otherwise(0.0)
-    return stored(joined.select("entity", "term", share.alias("share")).where(F.col("share") >= how.generalise), "disclosing")
+    likely = F.col("n_entity") / every
+    apart = F.col("n_term") - F.col("both")
+    evidence = F.col("both") * F.log(F.col("both") / F.col("n_term") / likely) + F.when(
+        apart > 0, apart * F.log(apart / F.col("n_term") / (1 - likely))
+    ).otherwise(0.0)
+    found = pairs.withColumn("share", share).where(F.col("share") >= how.generalise)
+    return found.where(evidence >= -math.log(how.chance))
 
 
 def all_spans(docs: DataFrame, into: str, how: Disclosure = Disclosure(), text: str = "text", whole: bool = True) -> DataFrame:
