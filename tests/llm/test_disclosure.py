@@ -26,3 +26,51 @@ def test_an_entity_of_one_document_is_judged(spark):
     texts = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
     assert "Zarathustra" not in texts[300] and "Quetzal" not in texts[301]
     assert all(w in texts[300] for w in prose(1).split()) and all(texts[k] == t for k, t in once()[:298])
+
+
+def test_a_term_far_from_its_entity_goes_everywhere_in_the_document(spark):
+    rows = [(k, prose(k)) for k in range(298)]
+    rows.append((300, f"Zarathustra {prose(1, 200)} z@one.example {prose(2, 200)} ZARATHUSTRA wrote {prose(5)} zarathustra"))
+    # One that always comes with the entity, at a distance and in several documents.
+    rows += [(310 + k, f"Quetzal {prose(400 + k, 100)} q@two.example {prose(500 + k)}") for k in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    texts = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
+    assert not re.search("zarathustra", texts[300], re.I) and texts[300].count("[EMAIL]") == 1
+    assert not any("Quetzal" in texts[310 + k] for k in range(4))
+    assert all(texts[k] == t for k, t in rows[:298])
+
+
+def test_terms_equal_a_plain_count(spark):
+    dice = random.Random(7)
+    rare = [f"rare{chr(97 + k)}" for k in range(12)]
+    people = {f"p{k}@h.example": f"name{chr(97 + k)}" for k in range(8)}
+    rows = []
+    for k in range(250):
+        words = prose(1000 + k, 12).split() + dice.choices(rare, k=dice.choice([0, 0, 1]))
+        if dice.random() < 0.08:
+            for e in dice.sample(sorted(people), dice.choice([1, 1, 2])):
+                words += [e, *[people[e]] * dice.choice([0, 1, 1, 2, 2])]
+        dice.shuffle(words)
+        rows.append((k, " ".join(words)))
+    n, how = len(rows), disclosure.Disclosure()
+    terms = [set(re.findall(r"[a-z]{3,}", re.sub(r"\S+@\S+", " ", t))) for _, t in rows]
+    every = Counter(w for _, t in rows for w in set(re.findall(r"[a-z]{3,}", t)))
+    want = {}
+    for k, text in rows:
+        for e in set(re.findall(r"\S+@\S+", text)):
+            with_it = [j for j, t in rows if e in t.split()]
+            for w in terms[k]:
+                both, n_t, q = sum(w in terms[j] for j in with_it), every[w], len(with_it) / n
+                share = math.log(both / n_t / q) / math.log(1 / q)
+                apart = n_t - both
+                evidence = both * math.log(both / n_t / q) + (apart * math.log(apart / n_t / (1 - q)) if apart else 0)
+                if share >= how.generalise and evidence >= -math.log(how.chance):
+                    want.setdefault(k, set()).add(w)
+    assert want
+    spans = {r.doc_id: r.spans for r in disclosure.report(spark.createDataFrame(rows, DOCS)).collect()}
+    for k, text in rows:
+        found = [s.split(":") for s in spans[k].split(",") if s.startswith("term:")]
+        found = [(int(a), int(b)) for _, a, b in found]
+        told = [m.span() for m in re.finditer("[a-z]{3,}", text) if m.group() in want.get(k, ())]
+        addresses = [m.span() for m in re.finditer(r"\S+@\S+", text)]
+        assert found == [x for x in told if not any(x[0] < b and a < x[1] for a, b in addresses)]

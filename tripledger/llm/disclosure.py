@@ -3,16 +3,17 @@
 Base spans. Four kinds are found by pattern and check, leftmost and without overlap within a kind:
 e-mail and IP addresses, card and telephone numbers. Every distinct value is a protected entity.
 
-Disclosing terms. A word near an entity's occurrences reveals it to the degree that their co-occurrence
+Disclosing terms. A word in an entity's documents reveals it to the degree that their co-occurrence
 in the corpus is more than chance. With document counts ``n``, the pointwise mutual information
 ``log(n(e, t) * N / (n(e) * n(t)))`` is compared with the entity's information content ``log(N / n(e))``:
 a share of 1 means that the term occurs only with the entity. Terms that exceed ``generalise`` are
-replaced by a placeholder, those that exceed ``remove`` are taken out, wherever they stand near that
-entity. No count is too small to be judged, but a pair must meet more often than chance explains: were the
+replaced by a placeholder, those that exceed ``remove`` are taken out, wherever they stand in a document that
+holds the entity. No count is too small to be judged, but a pair must meet more often than chance explains: were the
 term's documents drawn at random, the probability (Chernoff's bound) of as many with the entity is at most ``chance``.
 
 Everything is a DataFrame expression: no Python runs on the executors. Counts over the corpus are
-combined before they are shuffled; context rows exist for documents with entities only.
+combined before they are shuffled; pairs exist for documents with entities only, and entities that share
+all their documents are counted as one.
 
 Defined results: a null text is empty and has no spans; repeated rows are each judged (and each count);
 other columns are passed on untouched; an empty table gives no rows.
@@ -53,11 +54,12 @@ SAME = {"email": "lower(h)", "ip": "h", "card": "regexp_replace(h, '[ -]', '')",
 WORD = r"[\p{L}\p{M}]{3,}"
 #: Lengths are summed over stretches of so many matches, so that positions cost no quadratic time.
 STRETCH = 256
+#: Terms to look up are dealt into so many lists.
+LISTS = 64
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    chars: int = 80  # how far from an entity a term is looked at
     chance: float = 0.01
     generalise: float = 0.85
     remove: float = 0.97
@@ -103,54 +105,54 @@ def base_spans(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
     return rows.withColumn(into, F.expr(f"concat({', '.join(spans)})")).drop(found)
 
 
-def _contexts(rows: DataFrame, into: str, how: Disclosure, text: str) -> DataFrame:
-    """(``row``, ``entity``, ``term``, ``s``, ``e``): words near the entities, stored."""
+def _vocabulary(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def disclosing_terms(docs: DataFrame, rows: DataFrame, into: str, how: Disclosure, text: str = "text") -> DataFrame:
+    """(``row``, ``gone``, ``marked``), stored: for each row with entities that some terms of it give away, those to
+    remove and all of them."""
     row = f"{into}_row"
-    near = rows.where(F.size(into) > 0).select(
-        F.col(row).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.explode(into).alias("x")
-    )
-    sides = near.select(
-        "row", F.col("x.entity").alias("entity"), F.col("x.s").alias("s"), F.col("x.e").alias("e"),
-        F.length("text").alias("n"),
-        F.explode(
-            F.array(
-                F.struct(F.greatest(F.col("x.s") - how.chars, F.lit(0)).alias("a"), F.col("x.s").alias("b")),
-                F.struct(F.col("x.e").alias("a"), F.least(F.col("x.e") + how.chars, F.length("text")).alias("b")),
-            )
-        ).alias("w"),
-        "text",
-    )
-    cut = sides.select(
-        "row", "entity", "n", F.col("w.a").alias("a"), F.col("w.b").alias("b"),
-        matches(F.substr("text", F.col("w.a") + 1, F.col("w.b") - F.col("w.a")), WORD).alias("m"),
+    # Words inside an address belong to the entity, not to its surroundings.
+    beside = F.regexp_replace(F.col(f"`{text}`").cast("string"), F.lit(PATTERNS["email"]), F.lit(" "))
+    private = stored(
+        rows.where(F.size(into) > 0).select(
+            F.col(row).alias("row"), F.array_distinct(F.transform(into, lambda x: x["entity"])).alias("entities"),
+            _vocabulary(beside).alias("terms"),
+        ),
+        "private-terms",
     )
-    cut = stored(cut.where("size(m.hits) > 0"), "near-words")
-    words = cut.select("row", "entity", "n", "a", "b", F.explode(F.expr(placed("m"))).alias("y"))
-    # A word that touches the stretch's edge may be cut there, unless the text ends too.
-    whole = ((F.col("y.s") > 0) | (F.col("a") == 0)) & (
-        (F.col("a") + F.col("y.e") < F.col("b")) | (F.col("b") == F.col("n"))
+    # Entities with the same documents have the same counts: one group, known by its documents.
+    held = private.select("row", F.explode("entities").alias("entity"))
+    groups = held.groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")
     )
+    members = held.join(groups, "entity").select("row", F.struct("n_entity", "a", "b").alias("group")).distinct()
+    members = stored(members, "groups")
+    met = members.join(private.select("row", "terms"), "row").select("group", F.explode("terms").alias("term"))
+    pairs = stored(met.groupBy("group", "term").agg(F.count("*").alias("both")), "pairs")
+
+    words = _vocabulary(F.col(f"`{text}`").cast("string"))
+    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = stored(counts.join(pairs.select("term").distinct(), "term"), "term-counts")
+    terms = scored(pairs.join(counts, "term").withColumn("n_entity", F.col("group.n_entity")), docs.count(), how)
+    terms = stored(terms.select("group", "term", (F.col("share") >= how.remove).alias("gone")), "disclosing")
+
+    here = members.join(terms, "group").groupBy("row", "term").agg(F.max("gone").alias("gone"))  # removed, if any asks
     return stored(
-        words.where(whole).select(
-            "row", "entity", F.lower("y.h").alias("term"),
-            (F.col("a") + F.col("y.s")).alias("s"), (F.col("a") + F.col("y.e")).alias("e"),
+        here.groupBy("row").agg(
+            F.collect_list(F.when(F.col("gone"), F.col("term"))).alias("gone"), F.collect_list("term").alias("marked")
         ),
-        "contexts",
-    )
+        "row-terms",
+    )
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, how: Disclosure, text: str = "text") -> DataFrame:
-    """(``entity``, ``term``, ``share``) of the pairs above the threshold, stored."""
-    seen = contexts.select("row", "entity", "term").distinct()
-    pairs = stored(seen.groupBy("entity", "term").agg(F.count("*").alias("both")), "pairs")
-    entities = stored(contexts.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`").cast("string")), F.lit(WORD), F.lit(0)))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    wanted = pairs.select("term").distinct()
-    counts = stored(counts.join(wanted, "term"), "term-counts")
-    total = docs.count()
-    joined = pairs.join(entities, "entity").join(counts, "term")
-    return stored(scored(joined, total, how).select("entity", "term", "share"), "disclosing")
+def _dealt(terms: str) -> Column:
+    return F.expr(f"transform(sequence(0, {LISTS - 1}), b -> filter({terms}, t -> pmod(xxhash64(t), {LISTS}) = b))")
+
+
+def _has(lists: str, word: str) -> str:
+    return f"array_contains({lists}[int(pmod(xxhash64({word}), {LISTS}))], {word})"
 
 
 def scored(pairs: DataFrame, total: int, how: Disclosure) -> DataFrame:
@@ -180,24 +182,21 @@ def all_spans(docs: DataFrame, into: str, how: Disclosure = Disclosure(), text:
     if not whole:
         rows = rows.withColumn(text, F.when(F.size(into) > 0, F.col(f"`{text}`")))
     rows = stored(rows, "base-spans")
-    contexts = _contexts(rows, into, how, text)
-    terms = disclosing_terms(docs, contexts, how, text)
-    label = F.when(F.col("share") >= how.remove, "").otherwise("[WORD]")
-    extra = (
-        contexts.join(terms, ["entity", "term"])
-        .groupBy("row", "s", "e")
-        .agg(F.min(label).alias("label"))  # removed, if any entity asks for it
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("s", "e", "label"))).alias("extra"))
-        .withColumnRenamed("row", row)
-    )
-    extra = stored(extra, "term-spans")
-    name = fresh_name([*rows.columns, "extra"], "extra_terms")
-    rows = rows.join(extra.withColumnRenamed("extra", name), row, "left")
-    spans = f"""concat(
-        transform({into}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'label', '[' || upper(x.kind) || ']')),
-        transform(coalesce({name}, array()), x -> named_struct('kind', 'term', 's', x.s, 'e', x.e, 'label', x.label)))"""
-    return rows.withColumn(into, F.expr(spans)).drop(name, row)
+    terms = disclosing_terms(docs, rows, into, how, text)
+    found, gone, marked, row_of = (fresh_name([*rows.columns, "row"], f"{into}_{n}") for n in ("words", "gone", "marked", "of"))
+    terms = terms.select(F.col("row").alias(row_of), _dealt("gone").alias(gone), _dealt("marked").alias(marked))
+    private = rows.where(F.size(into) > 0).join(terms, F.col(row) == F.col(row_of), "left").drop(row_of)
+    words = matches(F.col(f"`{text}`").cast("string"), WORD)
+    private = stored(private.withColumn(found, F.when(F.col(marked).isNotNull(), words)), "private-words")
+    base = f"transform({into}, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'label', '[' || upper(x.kind) || ']'))"
+    # Words within an address go with it.
+    extra = f"""CASE WHEN size({found}.hits) > 0 THEN transform(filter(filter({placed(found)},
+        y -> {_has(marked, 'lower(y.h)')}), y -> NOT exists({into}, x -> x.s < y.e AND y.s < x.e)),
+        y -> named_struct('kind', 'term', 's', y.s, 'e', y.e,
+            'label', CASE WHEN {_has(gone, 'lower(y.h)')} THEN '' ELSE '[WORD]' END)) ELSE array() END"""
+    private = private.withColumn(into, F.expr(f"concat({base}, {extra})")).drop(found, gone, marked, row)
+    rest = rows.where(F.size(into) == 0).withColumn(into, F.expr(base)).drop(row)
+    return rest.unionByName(private)
 
 
 def sanitised(docs: DataFrame, how: Disclosure = Disclosure(), text: str = "text", length: str | None = None) -> DataFrame:
