@@ -16,28 +16,28 @@ def prose(seed, words=30):
 
 
 def once():
-    """300 documents; two have an address of their own, beside a name that is nowhere else."""
-    rows = [(k, prose(k)) for k in range(298)]
-    return rows + [(300, f"{prose(1)} Zarathustra z@one.example {prose(2)}"), (301, f"{prose(3)} Quetzal q@two.example {prose(4)}")]
+    """700 documents; two have an address of their own, beside a name that is nowhere else."""
+    rows = [(k, prose(k)) for k in range(698)]
+    return rows + [(1300, f"{prose(1)} Zarathustra z@one.example {prose(2)}"), (1301, f"{prose(3)} Quetzal q@two.example {prose(4)}")]
 
 
 def test_an_entity_of_one_document_is_judged(spark):
     docs = spark.createDataFrame(once(), DOCS)
     texts = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
-    assert "Zarathustra" not in texts[300] and "Quetzal" not in texts[301]
-    assert all(w in texts[300] for w in prose(1).split()) and all(texts[k] == t for k, t in once()[:298])
+    assert "Zarathustra" not in texts[1300] and "Quetzal" not in texts[1301]
+    assert all(w in texts[1300] for w in prose(1).split()) and all(texts[k] == t for k, t in once()[:698])
 
 
 def test_a_term_far_from_its_entity_goes_everywhere_in_the_document(spark):
-    rows = [(k, prose(k)) for k in range(298)]
-    rows.append((300, f"Zarathustra {prose(1, 200)} z@one.example {prose(2, 200)} ZARATHUSTRA wrote {prose(5)} zarathustra"))
+    rows = [(k, prose(k)) for k in range(698)]
+    rows.append((1300, f"Zarathustra {prose(1, 200)} z@one.example {prose(2, 200)} ZARATHUSTRA wrote {prose(5)} zarathustra"))
     # One that always comes with the entity, at a distance and in several documents.
-    rows += [(310 + k, f"Quetzal {prose(400 + k, 100)} q@two.example {prose(500 + k)}") for k in range(4)]
+    rows += [(1310 + k, f"Quetzal {prose(400 + k, 100)} q@two.example {prose(500 + k)}") for k in range(4)]
     docs = spark.createDataFrame(rows, DOCS)
     texts = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
-    assert not re.search("zarathustra", texts[300], re.I) and texts[300].count("[EMAIL]") == 1
-    assert not any("Quetzal" in texts[310 + k] for k in range(4))
-    assert all(texts[k] == t for k, t in rows[:298])
+    assert not re.search("zarathustra", texts[1300], re.I) and texts[1300].count("[EMAIL]") == 1
+    assert not any("Quetzal" in texts[1310 + k] for k in range(4))
+    assert all(texts[k] == t for k, t in rows[:698])
 
 
 def test_terms_equal_a_plain_count(spark):

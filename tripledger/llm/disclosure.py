@@ -60,7 +60,7 @@ LISTS = 64
 
 @dataclass(frozen=True)
 class Disclosure:
-    chance: float = 0.01
+    chance: float = 0.002
     generalise: float = 0.85
     remove: float = 0.97
 
