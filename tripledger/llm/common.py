@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripledger.session import work_folder
@@ -26,6 +26,35 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(place)
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str | Column], keep: list[str | Column], into: str = "rank") -> DataFrame:
+    """The ``keep`` columns of the rows and each row's place, from 0, in its group by ``order``.
+
+    No group is brought together: the rows are dealt by range of (group, order), so a group of any size is spread
+    over as many tasks as it fills, and a place is that within the part plus what the parts before hold. Rows that
+    are equal in group and order are placed one way or the other. ``rows`` must be read from files, so that a part
+    computed again is the same; ``group`` must be among ``keep`` and not null.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in (*group, *order)]
+    tie = fresh_name(rows.columns, "tie")  # equal rows too are spread
+    rows = rows.withColumn(tie, F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie)
+    rows = stored(rows.select(*keep, F.monotonically_increasing_id().alias("seq")), "in-order")
+    rows = rows.withColumn("part", F.shiftright("seq", 33))
+    # A row for each part of a group; Spark itself decides by their size how they meet the rows.
+    parts = rows.groupBy(*group, "part").agg(F.count("*").alias("c"), F.min("seq").alias("first"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("c", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    parts = stored(parts.select(*group, "part", (F.col("c") - F.col("first")).alias("shift")), "parts")
+    return rows.join(parts, [*group, "part"]).withColumn(into, F.col("seq") + F.col("shift")).drop("seq", "shift")
+
+
+def is_sound(vector: Column) -> Column:
+    """Whether an array holds components, and none that is null or not finite; never null."""
+    return (F.size(vector) > 0) & F.coalesce(
+        F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)
+    )
+
+
 def fresh_name(columns: Iterable[str], wish: str) -> str:
     """A column name that clashes with none of ``columns``, however they are written."""
     taken = {c.lower() for c in columns}

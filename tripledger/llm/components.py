@@ -7,12 +7,32 @@ neighbours is one row of minima and many rows that adaptive execution splits ove
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import stored
 
 
+def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect just what the links (left by right) connect."""
+    out = []
+    todo = near.any(axis=1)
+    open_right = np.ones(len(right), bool)
+    while todo.any():
+        root = int(np.argmax(todo))
+        front = np.zeros(len(left), bool)
+        front[root] = True
+        while front.any():
+            todo &= ~front
+            reached = near[front].any(axis=0) & open_right
+            open_right &= ~reached
+            out += [(int(left[root]), int(x)) for x in right[reached]]
+            front = near[:, reached].any(axis=1) & todo
+            out += [(int(left[root]), int(x)) for x in left[front]]
+    return [(a, b) for a, b in out if a != b]
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every node either hangs below one other node, or has nodes hanging below it."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.bitmap import may_be_wanted, those_maybe_wanted
 from tripledger.llm.common import as_text, fresh_name, mix64, numbers_of, stored, texts_of, utf8
-from tripledger.llm.components import components
+from tripledger.llm.components import components, forest
 
 #: Sets and n-grams that one block may hold; a block pair is compared in one task.
 BLOCK_SETS = 256
@@ -181,25 +181,6 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect just what the links (left by right) connect."""
-    out = []
-    todo = near.any(axis=1)
-    open_right = np.ones(len(right), bool)
-    while todo.any():
-        root = int(np.argmax(todo))
-        front = np.zeros(len(left), bool)
-        front[root] = True
-        while front.any():
-            todo &= ~front
-            reached = near[front].any(axis=0) & open_right
-            open_right &= ~reached
-            out += [(int(left[root]), int(x)) for x in right[reached]]
-            front = near[:, reached].any(axis=1) & todo
-            out += [(int(left[root]), int(x)) for x in left[front]]
-    return [(a, b) for a, b in out if a != b]
-
-
 def _compared(rows: DataFrame, key: list[str], like: Likeness) -> DataFrame:
     """Links between side 0 and side 1 of each group, as edges (``u``, ``v``); a row may be on both sides
     (side 2), then it is compared with all."""
@@ -211,7 +192,7 @@ def _compared(rows: DataFrame, key: list[str], like: Likeness) -> DataFrame:
         common = overlaps([sets[k] for k in a], [sets[k] for k in b])
         union = sizes[a][:, None] + sizes[b][None, :] - common
         near = (like.den * common >= like.num * union) & (ids[a][:, None] != ids[b][None, :])
-        return pd.DataFrame(_forest(near, ids[a], ids[b]), columns=["u", "v"], dtype="int64")
+        return pd.DataFrame(forest(near, ids[a], ids[b]), columns=["u", "v"], dtype="int64")
 
     return rows.groupBy(*key).applyInPandas(compare, "u long, v long")
 

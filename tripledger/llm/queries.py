@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import decontaminate, disclosure, id_file, jaccard, kd_search, licences, packing, quality, toxicity, warc
+from tripledger.llm import (
+    decontaminate,
+    disclosure,
+    grid_order,
+    hard_negatives,
+    id_file,
+    jaccard,
+    kd_search,
+    licences,
+    packing,
+    prefix_trie,
+    quality,
+    toxicity,
+    warc,
+)
 from tripledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +91,19 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(F.col("doc_id").isNotNull(), path)  # a document without an id is no file of any part
     result = licences.inherited(found.select("doc_id", "own", "cosine", path.alias("path"), speaks.alias("speaks")), ("doc_id",))
     return result.select("path", "own", "cosine", "licence", "origin", "directory", "doc_id")
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), moved)
+
+
+@_query
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_order.near_vectors(table(spark, sf_dir, "embeddings"))
