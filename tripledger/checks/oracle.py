@@ -580,6 +580,7 @@ def oracle_sql() -> dict[str, str]:
         TRIPS, CORE,
     )
     o["merge_trusted"] = o["merge_trusted_lookup"] = o["split_valid"]
+    o["merge_trusted_bucketed"] = o["merge_resume"] = o["split_valid"]
     o["merge_trusted_hot_key"] = _sql(
         """SELECT * FROM trusted WHERE hour(tpep_pickup_datetime) >= 8 UNION ALL
            SELECT 2, TIMESTAMP '1997-03-01 00:00:00', TIMESTAMP '1997-03-01 00:30:00', 1, CAST(20.5 AS DOUBLE)
@@ -676,6 +677,8 @@ def oracle_sql() -> dict[str, str]:
         f"UNION ALL BY NAME SELECT {WITH_DATES} FROM rejected",
         TRIPS, newest_core, flags, TRUSTED, _rejected(),
     )
+    o["trusted_load_published"] = o["trusted_load"]
+    o["replace_month_published"] = o["replace_month"]
     as_loaded = CORE_OF_TEXT.replace("date_reference,", "date_reference, DATE '2001-12-01' AS insertion_date,", 1)
     o["load_text_types"] = _sql(f"SELECT {STORED} FROM rejected", TRIPS, TEXT, as_loaded, flags, _rejected())
     return o

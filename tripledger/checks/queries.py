@@ -16,6 +16,7 @@ from tripledger.functions.columns import whole_seconds
 from tripledger.operators import conform as cf
 from tripledger.operators import gates, metrics, rollups
 from tripledger.operators.merge import insert_only_merge
+from tripledger.operators.publish import publish, sweep, write_run
 from tripledger.operators.rules import (
     CODED,
     TYPE,
@@ -49,6 +50,7 @@ QUERIES: dict[str, Query] = {}
 PASSING = Limits("2001-12-01 00:00:00", 3650)
 FAILING = Limits("2001-07-01 00:00:00", 2190)
 START, END = "1997-01", "1997-05"
+BUCKETS = 4
 LANDED_AS = "month={year}-{month:02d}"
 LANDED_PATTERN = r"/month=([0-9]{4}-(?:0[1-9]|1[0-2]))/"
 TEXT_SOURCES = {
@@ -483,6 +485,21 @@ def _(spark, sf_dir):
         return place.files("raw").select(*rows.columns, "payment_type")
 
 
+@query("replace_month_published")
+def _(spark, sf_dir):
+    """The same months, each shown by a change of its catalog entry; a run that breaks before it is shown changes nothing."""
+    rows = trips(spark, sf_dir)
+    later = rows.where(months.in_month_range(n.MONTH, START, END)).withColumn("payment_type", F.lit(2))
+    with lake(spark) as place:
+        table = place.raw()
+        for batch, ends in ((rows, True), (later, False), (later, True), (later, True)):
+            run = write_run(arrange(conform_raw(batch), (n.MONTH,), ("VendorID",)), table)
+            if ends:
+                publish([run])
+        sweep(spark, table)
+        return place.shown("raw").select(*rows.columns, "payment_type")
+
+
 @query("staging_lifecycle")
 def _(spark, sf_dir):
     with lake(spark) as place:
@@ -543,6 +560,29 @@ def _(spark, sf_dir):
     return _merge_trusted(trusted(spark, sf_dir), prune_on=n.PICKUP_MONTH)
 
 
+@query("merge_trusted_bucketed")
+def _(spark, sf_dir):
+    """A table bucketed by vendor, pickup and dropoff: its keys meet the batch without a shuffle of their own."""
+    valid = with_pickup_month(trusted(spark, sf_dir))
+    with lake(spark) as place:
+        table = place.trusted(buckets=BUCKETS)
+        for _ in range(2):
+            insert_only_merge(valid, table, n.CORE, prune_on=n.PICKUP_MONTH)
+        return place.files("trusted").select(*n.CORE)
+
+
+@query("merge_resume")
+def _(spark, sf_dir):
+    """An append broke after one copy of each row: the rerun adds the copies that are missing, a third run none."""
+    valid = with_pickup_month(trusted(spark, sf_dir))
+    with lake(spark) as place:
+        table = place.trusted()
+        append(arrange(valid.dropDuplicates(), (n.PICKUP_MONTH,)), table)
+        for _ in range(2):
+            insert_only_merge(valid, table, n.CORE, prune_on=n.PICKUP_MONTH, layout=((n.PICKUP_MONTH,), (n.VENDOR,)), resume=True)
+        return place.files("trusted").select(*n.CORE)
+
+
 @query("merge_trusted_lookup")
 def _(spark, sf_dir):
     """The same batch without pruning: all stored keys meet it."""
@@ -728,6 +768,20 @@ def _(spark, sf_dir):
         return kept.unionByName(held, allowMissingColumns=True)
 
 
+@query("trusted_load_published")
+def _(spark, sf_dir):
+    """The same two runs, each shown at its end by new catalog entries, over a bucketed trusted table."""
+    with lake(spark) as place:
+        append(arrange(conform_raw(trips(spark, sf_dir)), (n.MONTH,)), place.raw())
+        span = spark.table(place.name("raw")).agg(F.min(n.MONTH), F.max(n.MONTH)).first()
+        job = TrustedLoad(place.name("raw"), place.staging(), place.trusted(buckets=BUCKETS, by_run=True),
+                          place.quarantine(by_run=True), f"{span[0]:%Y-%m}", f"{span[1]:%Y-%m}", PASSING, publish="pointer")
+        for _ in range(2):
+            load_trusted(spark, job)
+        kept, held = place.shown("trusted").drop(n.PICKUP_MONTH, n.RUN), place.shown("quarantine").drop(n.RUN)
+        return kept.unionByName(held, allowMissingColumns=True)
+
+
 @query("load_text_types")
 def _(spark, sf_dir):
     """Trips landed as text, with unreadable values: landing to quarantine, reasons and class as delivered."""

@@ -35,12 +35,12 @@ class Lake:
         tables.create_staging(self.spark, self.name("staging"), self.place("staging"))
         return self.name("staging")
 
-    def trusted(self) -> str:
-        tables.create_trusted(self.spark, self.name("trusted"), self.place("trusted"))
+    def trusted(self, **options) -> str:
+        tables.create_trusted(self.spark, self.name("trusted"), self.place("trusted"), **options)
         return self.name("trusted")
 
-    def quarantine(self, pack: str = "coded") -> str:
-        tables.create_quarantine(self.spark, self.name("quarantine"), pack, self.place("quarantine"))
+    def quarantine(self, pack: str = "coded", **options) -> str:
+        tables.create_quarantine(self.spark, self.name("quarantine"), pack, self.place("quarantine"), **options)
         return self.name("quarantine")
 
     def files(self, table: str) -> DataFrame:
@@ -49,6 +49,14 @@ class Lake:
         return self.spark.read.schema(schema).parquet(self.place(table))
 
 
+    def shown(self, table: str) -> DataFrame:
+        """A copy of the rows that the catalog shows, wherever its partitions lie; readable after the schema is gone."""
+        rows = self.spark.table(self.name(table))
+        copy = f"{self.folder}/shown/{table}"
+        rows.write.parquet(copy)
+        return self.spark.read.schema(rows.schema).parquet(copy)
+
+
 @contextmanager
 def lake(spark: SparkSession) -> Iterator[Lake]:
     """The catalog entries go at the end; the files stay until the session ends."""

@@ -42,6 +42,9 @@ PCT_TYPE = "percentual_erro_tipagem"
 FLAGGED_VIEW = "vw_taxi_validado"
 METRICS_VIEW = "vw_metricas_qualidade"
 
+# The partition that keeps loads apart, in tables that are published by catalog pointer.
+RUN = "load_run"
+
 # --- fixed values: limits --------------------------------------------------------
 VENDOR_RANGE = (1, 4)
 PASSENGERS_MAX = 9

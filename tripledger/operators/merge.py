@@ -7,15 +7,22 @@ change. One writer at a time: the check and the append are two steps.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripledger import names as n
 from tripledger.operators.writers import append, arrange
-from tripledger.session import work_folder
-from tripledger.sources.tables import partition_values
+from tripledger.session import setting, work_folder
+from tripledger.sources.tables import bucket_columns, bucket_count, partition_values
+
+#: Lets a join on more columns use a table's buckets by some of them.
+BY_SOME_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Copies of a row are repeated in arrays of this length.
+STRETCH = 10_000
 
 
 def _same_key(left: str, right: str, keys: list[str], null_safe: bool) -> Column:
@@ -87,6 +94,43 @@ def _among(column: str, values: set[str | None], kind) -> Column:
     return known
 
 
+def lacking_copies(
+    source: DataFrame,
+    target: DataFrame | None,
+    keys: list[str],
+    resume: bool = False,
+    null_safe: bool = False,
+    buckets: tuple[int, list[str]] | None = None,
+) -> DataFrame:
+    """Source rows whose key the target lacks, or, to ``resume`` a broken append, as many copies of each source row as the target
+    lacks: rows that are equal in all columns are then one kind of row, of which both sides are counted.
+
+    Both sides are combined before they meet, so a row that either holds very often is one row in the join. ``buckets`` (their
+    number and columns, some of the keys) are those of the target, which is then met where it lies and not shuffled; it takes
+    ``BY_SOME_KEYS`` off. The result lies in these buckets. A NULL key meets nothing unless ``null_safe``, so its rows
+    all come again. ``target`` is None where nothing is stored.
+    """
+    count, held = "copies of the row", "copies held"
+    rows = source.groupBy(*source.columns).agg(F.count("*").alias(count))
+    if target is None:
+        met = rows.repartition(buckets[0], *buckets[1]) if buckets else rows
+    else:
+        stored = target.select(*keys)
+        if not null_safe:
+            stored = stored.dropna()
+        stored = stored.groupBy(*keys).agg(F.count("*").alias(held))
+        stored = stored.hint("merge") if buckets else stored  # a broadcast would leave the source out of the buckets
+        met = rows.alias("s").join(stored.alias("t"), _same_key("s", "t", keys, null_safe), "left")
+        there = F.coalesce(F.col(held), F.lit(0))
+        missing = F.col(count) - there if resume else F.when(there == 0, F.col(count))
+        met = met.select(*[F.col(f"s.{c}") for c in source.columns], missing.alias(count)).where(F.col(count) > 0)
+    # Repeated in two steps: no array is as long as a row may have copies.
+    full = F.floor((F.col(count) - 1) / STRETCH)
+    met = met.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), full)))
+    here = F.least(F.col(count) - F.col("stretch") * STRETCH, F.lit(STRETCH)).cast("int")
+    return met.withColumn("copy", F.explode(F.array_repeat(F.lit(0), here))).select(*source.columns)
+
+
 def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
     """Target columns in target types; a column the source lacks is NULL."""
     have = set(source.columns)
@@ -121,9 +165,15 @@ def insert_only_merge(
     prune_on: str | None = None,
     layout: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()),
     brought: set[str | None] | None = None,
-) -> None:
+    resume: bool = False,
+    write: Callable[[DataFrame, str], object] = append,
+) -> object:
     """Append to ``table`` the source rows whose key it does not hold.
 
+    A table bucketed by some of the keys is met where it lies: only the source is shuffled, to the table's buckets. ``resume``
+    repeats a batch whose append broke: of each row as many copies are added as are missing. That needs all
+    columns in the key, but for ``prune_on``. ``write`` takes the new rows and the table; its result is returned.
+
     ``prune_on`` names a partition column that follows from the key: only partitions
     the batch touches are then read. ``brought`` lists the batch's partitions if they are known, a
     superset will do. ``layout`` gives partition and sort columns for the written files.
@@ -133,10 +183,25 @@ def insert_only_merge(
         add_new_columns(spark, source, table)
     target = spark.table(table)
     rows = _aligned(source, target)
+    by = bucket_columns(spark, table)
+    bucketed = bool(by) and set(by) <= set(keys) and not null_safe
+    if resume and set(rows.columns) - {prune_on, n.RUN} != set(keys):
+        raise ValueError("to resume, the key must be all columns")
+    if resume or bucketed:
+        if dedupe_source:
+            rows = rows.dropDuplicates()
+        if prune_on:
+            brought = _values(rows, prune_on) if brought is None else brought
+            joined = brought & partition_values(spark, table, prune_on)
+            target = target.where(_among(prune_on, joined, target.schema[prune_on].dataType)) if joined else None
+        buckets = (bucket_count(spark, table), by) if bucketed else None
+        with setting(spark, BY_SOME_KEYS, "false"):
+            rows = lacking_copies(rows, target, keys, resume, null_safe, buckets)
+            return write(rows if bucketed else arrange(rows, *layout), table)
     if prune_on:
         rows = new_rows(rows, target, keys, null_safe, prune_on, brought, partition_values(spark, table, prune_on))
     elif not target.isEmpty():
         rows = new_rows(rows, target, keys, null_safe)
     if dedupe_source:
         rows = rows.dropDuplicates()
-    append(arrange(rows, *layout), table)
+    return write(arrange(rows, *layout), table)

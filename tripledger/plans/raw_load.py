@@ -14,11 +14,12 @@ from tripledger import names as n
 from tripledger.functions.columns import moment
 from tripledger.functions.months import day_in_zone, months_between
 from tripledger.operators.conform import EmptyInputError, conform, require_rows
+from tripledger.operators.publish import publish, write_run
 from tripledger.operators.rules import TYPE_FLAGS
 from tripledger.operators.writers import arrange, replace_partitions
 from tripledger.session import setting
 from tripledger.sources import contracts, ledger
-from tripledger.sources.landing import scan_month, with_load_metadata
+from tripledger.sources.landing import scan_month, scan_months, with_load_metadata
 from tripledger.sources.tables import create_raw
 
 log = logging.getLogger(__name__)
@@ -29,7 +30,9 @@ class RawLoad:
     """``failures="stop"`` writes all months in one job, or none of them;
     ``"continue"`` writes month by month and reports the months that failed.
     ``cluster=False`` leaves the rows in the order and file sizes they were read in, which
-    spares shuffling them. ``on_error="flag"`` records a delivered value that does not fit, so that the
+    spares shuffling them. ``publish="commit"`` replaces the months' files when the job commits; ``"pointer"`` writes them
+    beside the old ones and then has the catalog point to them, so that readers of the table find either whatever breaks.
+    ``on_error="flag"`` records a delivered value that does not fit, so that the
     type rules judge it later; ``"null"`` drops it silently, ``"raise"`` stops the load."""
 
     landing: str
@@ -43,6 +46,7 @@ class RawLoad:
     on_error: str = "flag"
     failures: str = "stop"
     cluster: bool = True
+    publish: str = "commit"
 
 
 #: Raw column -> the flag that says its delivered value did not fit.
@@ -62,11 +66,24 @@ def conformed_month(spark: SparkSession, job: RawLoad, year: int, month: int) ->
     return conform_raw(dated, job.extras, job.on_error)
 
 
+def conformed_months(spark: SparkSession, job: RawLoad, months: list[tuple[int, int]]) -> DataFrame:
+    """The rows of all months from as few scans as the types in their files allow, each conformed alone."""
+    dated = [
+        with_load_metadata(rows, None, None, job.as_of, job.zone, cast=False)
+        for rows in scan_months(spark, job.landing, months, job.template)
+    ]
+    return reduce(DataFrame.unionByName, [conform_raw(rows, job.extras, job.on_error) for rows in dated])
+
+
 def _replace(spark: SparkSession, rows: DataFrame, job: RawLoad, months: list[tuple[int, int]]) -> None:
     entries = [f"{year}-{month:02d}-01" for year, month in months]
     day = spark.range(1).select(day_in_zone(moment(job.as_of), job.zone)).first()[0]
     ledger.strike_out(spark, job.table, entries)
-    replace_partitions(arrange(rows, (n.MONTH,), ("VendorID",)) if job.cluster else rows, job.table)
+    rows = arrange(rows, (n.MONTH,), ("VendorID",)) if job.cluster else rows
+    if job.publish == "pointer":
+        publish([write_run(rows, job.table)])
+    else:
+        replace_partitions(rows, job.table)
     ledger.enter(spark, job.table, entries, day)
 
 
@@ -74,16 +91,17 @@ def load_raw(spark: SparkSession, job: RawLoad) -> dict[str, str]:
     """Run the load; the result maps each failed month to its error."""
     if job.failures not in ("stop", "continue"):
         raise ValueError("failures must be 'stop' or 'continue'")
+    if job.publish not in ("commit", "pointer"):
+        raise ValueError("publish must be 'commit' or 'pointer'")
     now = job.as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     job = replace(job, as_of=now)  # one moment, read as UTC whatever the session's zone
     months = months_between(job.start, job.end, date.fromisoformat(now[:10]))
     with setting(spark, "spark.sql.session.timeZone", "UTC"):
         create_raw(spark, job.table)
         if job.failures == "stop":
-            # Files may differ in column types from month to month, so each is conformed alone.
-            parts = {m: conformed_month(spark, job, *m) for m in months}
-            _require_all(parts)
-            _replace(spark, reduce(DataFrame.unionByName, parts.values()), job, months)
+            rows = conformed_months(spark, job, months)
+            _require_all(rows, months)
+            _replace(spark, rows, job, months)
             return {}
         failed = {}
         for year, month in months:
@@ -96,10 +114,9 @@ def load_raw(spark: SparkSession, job: RawLoad) -> dict[str, str]:
         return failed
 
 
-def _require_all(parts: dict[tuple[int, int], DataFrame]) -> None:
-    """Every month holds a row: one job for all months, which takes one row of each."""
-    firsts = [rows.limit(1).select(F.lit(f"{y}-{m:02d}").alias("month")) for (y, m), rows in parts.items()]
-    found = {r[0] for r in reduce(DataFrame.unionAll, firsts).collect()}
-    for year, month in parts:
+def _require_all(rows: DataFrame, months: list[tuple[int, int]]) -> None:
+    """Every month holds a row: one job, which reads no column of the files."""
+    found = {str(r[0])[:7] for r in rows.select(n.MONTH).distinct().collect()}
+    for year, month in months:
         if f"{year}-{month:02d}" not in found:
             raise EmptyInputError(f"month {year}-{month:02d} holds no rows")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from tripledger import names as n
 from tripledger.operators.rules import TYPE_FLAGS, rules_of
@@ -36,10 +37,14 @@ def create_table(
     comment: str = "",
     location: str | None = None,
     file_format: str = "parquet",
+    bucket_by: tuple[str, ...] = (),
+    buckets: int = 0,
 ) -> None:
-    """Create the table unless it exists, with column and table comments."""
+    """Create the table unless it exists, with column and table comments. With ``buckets`` every file holds the rows of one
+    bucket, so joins and groupings on the ``bucket_by`` columns need not shuffle the table."""
     parts = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
     place = f"LOCATION '{_quoted(location)}'" if location else ""
+    parts += f" CLUSTERED BY ({', '.join(f'`{c}`' for c in bucket_by)}) INTO {buckets} BUCKETS" if buckets else ""
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:name) ({schema.toDDL()}) USING {file_format} {parts} "
         f"COMMENT '{_quoted(comment)}' {place}",
@@ -68,15 +73,47 @@ def create_staging(spark: SparkSession, name: str, location: str | None = None)
     create_table(spark, name, schema, (n.PICKUP_MONTH,), "trips awaiting their checks", location)
 
 
-def create_trusted(spark: SparkSession, name: str, location: str | None = None) -> None:
-    """Checked trips, laid out by pickup month so that merges and rollups skip files."""
-    schema = StructType(contracts.trusted_schema().fields + [_month_field()])
-    create_table(spark, name, schema, (n.PICKUP_MONTH,), "checked trips", location)
+def _run_field() -> StructField:
+    return StructField(n.RUN, StringType(), True, {"comment": "the load that brought the row"})
 
 
-def create_quarantine(spark: SparkSession, name: str, pack: str = "coded", location: str | None = None) -> None:
+def create_trusted(
+    spark: SparkSession, name: str, location: str | None = None, buckets: int = 0, by_run: bool = False
+) -> None:
+    """Checked trips, laid out by pickup month so that merges and rollups skip files.
+
+    With ``buckets`` each month is also cut by vendor, pickup and dropoff, and merges do not shuffle the stored keys; a bucket of a month
+    should come to some hundred megabytes. ``by_run`` keeps every load in partitions of its own, see ``operators.publish``.
+    """
+    schema = StructType(contracts.trusted_schema().fields + [_month_field()] + ([_run_field()] if by_run else []))
+    parts = (n.PICKUP_MONTH, n.RUN) if by_run else (n.PICKUP_MONTH,)
+    create_table(spark, name, schema, parts, "checked trips", location, bucket_by=(n.VENDOR, n.PICKUP, n.DROPOFF), buckets=buckets)
+
+
+def create_quarantine(
+    spark: SparkSession, name: str, pack: str = "coded", location: str | None = None, by_run: bool = False
+) -> None:
     schema = contracts.quarantine_schema([r.flag for r in rules_of(pack)])
-    create_table(spark, name, schema, (n.QUARANTINE_DAY, n.ERROR_CLASS), "rejected trips", location)
+    schema = StructType(schema.fields + ([_run_field()] if by_run else []))
+    parts = (n.QUARANTINE_DAY, n.ERROR_CLASS) + ((n.RUN,) if by_run else ())
+    create_table(spark, name, schema, parts, "rejected trips", location)
+
+
+def table_facts(spark: SparkSession, name: str) -> dict[str, str]:
+    """What the catalog tells of a table below its columns, by heading."""
+    described = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:name)", {"name": name}).collect()
+    begin = next((k for k, r in enumerate(described) if r["col_name"].startswith("# Detailed Table")), len(described))
+    return {r["col_name"]: r["data_type"] for r in described[begin:]}
+
+
+def bucket_columns(spark: SparkSession, name: str) -> list[str]:
+    """The columns a table is bucketed by; none if it is not."""
+    told = table_facts(spark, name).get("Bucket Columns", "")
+    return re.findall(r"`([^`]+)`", told)
+
+
+def bucket_count(spark: SparkSession, name: str) -> int:
+    return int(table_facts(spark, name).get("Num Buckets", "0"))
 
 
 def partition_values(spark: SparkSession, name: str, column: str) -> set[str | None]:
