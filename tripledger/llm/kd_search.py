@@ -35,17 +35,15 @@ LANES = 8
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(``vec_id``, ``dim``, ``v``) with ``v`` = floor(scale * component), stored.
+    """(``row``, ``vec_id``, ``dim``, ``v``) with ``v`` = floor(scale * component), stored; ``row`` tells repeated ids apart.
 
-    Rows with a null id or vector, an empty vector, or a null or non-finite component take no part. Of
-    several vectors with one id the first in order of components stays.
+    Rows with a null id or vector, an empty vector, or a null or non-finite component take no part.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("e") > 0)).where(F.coalesce(sound, F.lit(False)))
     rows = rows.select("vec_id", F.transform("e", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return stored(rows.select("vec_id", F.size("v").alias("dim"), "v"), "points")
+    return stored(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("dim"), "v"), "points")
 
 
 # ---------------------------------------------------------------- one tree
@@ -173,7 +171,8 @@ def _file(url: str, data: bytes | None = None) -> bytes:
 def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, shard: int = SHARD) -> DataFrame:
     """For every vector whose id is divisible by ``query_every`` the k best others, ranks from 1.
 
-    Vectors meet vectors of the same length only. Fewer others than k give fewer rows, none give none;
+    Vectors meet vectors of the same length only. Every row of a repeated id is a candidate; an id's own rows are none of
+    its candidates, and its queries share one list of k. Fewer others than k give fewer rows, none give none;
     sums beyond 64 bits wrap. An empty table gives no rows; other columns are not looked at.
     """
     points = quantised(vectors, scale)
@@ -183,7 +182,12 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
         F.ceil(F.count("*") / shard).cast("int").alias("shards"),
         F.ceil(F.count_if(F.col("vec_id") % query_every == 0) / BLOCK).cast("int").alias("blocks"),
     )
-    sizes = F.broadcast(stored(sizes, "sizes"))
+    sizes = stored(sizes, "sizes")
+    groups = sizes.agg(F.sum("shards"), F.sum(F.col("blocks") * F.least("shards", F.lit(LANES)))).first()
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows and much work: the number of tasks is given, so that Spark doesn't fold them into one.
+    builders, walkers = (max(1, min(int(n or 0), 4 * tasks)) for n in groups)
+    sizes = F.broadcast(sizes)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
@@ -191,7 +195,8 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
         _file(f"{folder}/{key[0]}-{key[1]}.npz", out.getvalue())
         return pd.DataFrame({"shard": [int(key[1])], "points": [len(rows)]})
 
-    dealt = points.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    dealt = points.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int"))
+    dealt = dealt.repartition(builders, "dim", "shard")
     stored(dealt.groupBy("dim", "shard").applyInPandas(build, "shard int, points long"), "forest")
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -210,8 +215,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
 
     queries = points.where(F.col("vec_id") % query_every == 0).join(sizes, "dim")
     lanes = F.sequence(F.lit(0), F.least("shards", F.lit(LANES)) - 1)
-    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.col("blocks")).cast("int"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.col("row"), F.lit(1)), F.col("blocks")).cast("int"))
     queries = queries.withColumn("lane", F.explode(lanes)).select("dim", "block", "lane", "vec_id", "v", "shards")
+    queries = queries.repartition(walkers, "dim", "block", "lane")
     found = queries.groupBy("dim", "block", "lane").applyInPandas(walk, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
