@@ -38,6 +38,8 @@ SAMPLE = 256
 #: Documents whose ids are read in one step.
 STEP_DOCS = 2048
 STEP_IDS = 4 << 20
+#: Bytes of ids in a file.
+SHARD_BYTES = 32 << 20
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -153,12 +155,11 @@ class ShardWriter:
         self.lengths: list[int] = []
         self.keys: list[int] = []
 
-    def add(self, key: int, ids: np.ndarray) -> None:
-        if len(ids) and int(ids.max()) >= 1 << (8 * self.width):
-            raise ValueError(f"id {int(ids.max())} does not fit {self.width} bytes")
-        self.out.write(ids.astype(f"<u{self.width}").tobytes())
-        self.lengths.append(len(ids))
-        self.keys.append(key)
+    def add(self, keys: list[int], packed: list[bytes]) -> None:
+        """Documents by their ids, little-endian and of the file's width."""
+        self.out.write(b"".join(packed))
+        self.lengths += [len(x) // self.width for x in packed]
+        self.keys += keys
 
     def close(self) -> tuple[int, int]:
         """Number of documents and of ids."""
@@ -219,40 +220,47 @@ class Shard:
 
 
 def write(
-    docs: DataFrame, path: str, end_id: int = 2, width: int = 2, shards: int | None = None, text: str = "text"
+    docs: DataFrame, path: str, end_id: int = 2, width: int = 2, shards: int | None = None, text: str = "text",
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Files with the ids of all documents in ascending ``doc_id`` order.
 
-    Gives one row per file: ``shard``, ``url``, ``first_key``, ``documents``, ``ids``, stored. A null
+    Gives one row per file: ``url``, ``first_key``, ``last_key``, ``documents``, ``ids``, stored. A null
     text is empty (the end id alone); rows without ``doc_id`` have no place in the order and are left
-    out; repeated rows are written as often as they come. ``shards`` defaults to the session's
-    number of shuffle partitions.
+    out; repeated rows are written as often as they come, whichever files they fall into. Texts are encoded where they are
+    read, so that ids and not texts are put in order; a file takes about ``shard_bytes``, unless the number of ``shards`` is
+    given. An id that does not fit ``width`` bytes is an error. An empty table gives no files; other columns are not
+    looked at.
     """
-    spark = docs.sparkSession
-    folder = work_folder(spark, "ids")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = work_folder(docs.sparkSession, "ids")
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.at(path)
-        writer, first = None, 0
+        encoder = Encoder.at(path, width)
+        end = encoder.packed([end_id])
         for batch in batches:
             keys, texts = batch["doc_id"].tolist(), texts_of(batch["text"])
             for a, b in in_steps(texts):
-                for key, raw in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
-                    if writer is None:
-                        writer, first = ShardWriter(f"{folder}/{uuid.uuid4().hex}.ids", width), key
-                    writer.add(key, np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
+                ids = [raw + end for raw in encoder.encode(texts[a:b])]
+                yield pd.DataFrame({"doc_id": keys[a:b], "size": [len(x) for x in ids], "ids": ids})
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        writer = None
+        for batch in batches:
+            if len(batch):
+                writer = writer or ShardWriter(f"{folder}/{uuid.uuid4().hex}.ids", width)
+                writer.add(batch["doc_id"].tolist(), batch["ids"].tolist())
         if writer is not None:
             documents, ids = writer.close()
-            yield pd.DataFrame({"url": [writer.url], "first_key": [first], "documents": [documents], "ids": [ids]})
+            about = {"url": writer.url, "first_key": writer.keys[0], "last_key": writer.keys[-1], "documents": documents, "ids": ids}
+            yield pd.DataFrame([about])
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-        .where("doc_id is not null")
-        .repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id")
-    )
-    return stored(ordered.mapInPandas(encoded, "url string, first_key long, documents long, ids long"), "manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = stored(rows.where("doc_id is not null").mapInPandas(encoded, "doc_id long, size long, ids binary"), "encoded")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())  # an id that many rows repeat is spread too
+    rows = rows.repartitionByRange(shards or max(1, -(-total // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id")
+    schema = "url string, first_key long, last_key long, documents long, ids long"
+    return stored(rows.select("doc_id", "ids").mapInPandas(written, schema), "manifest")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -273,7 +281,7 @@ def read(files: DataFrame) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     names = [c.split()[0] for c in schema.split(", ")]
     # One row per file: a running sum over them is small whatever the corpus.
-    before = Window.orderBy("first_key", "documents", "url").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_key", "last_key", "url").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("url", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long").alias("begin"))
     files = stored(files, "begins")
     spread = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -11,42 +11,53 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = r" \n\t\r"
 _PIECE = re.compile(rf"[{_BLANK}]*[{_LETTERS}]+(?![^.,{_BLANK}])|[.,]+(?=[{_BLANK}]|$)|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _UNUSUAL = re.compile(rf"[^\S{_BLANK}]|<\|")
 #: Pieces remembered per worker: twice this many at most.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Codes of unsigned integers by their width in bytes.
+_CODES = {array(code).itemsize: code for code in "HIQ"}
 
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    """``width``: bytes of an id in the results, little-endian; an id that does not fit is an error."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.remembered = remembered
+        self.remembered, self.code = remembered, _CODES[width]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        """The worker's encoder for this file; workers outlive tasks."""
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+    def at(cls, path: str, width: int = 4) -> Encoder:
+        """The worker's encoder for this file; workers outlive tasks, and keep one: its memory is what they hold."""
+        if (path, width) not in _loaded:
+            _loaded.clear()
+            _loaded[path, width] = cls(path, width=width)
+        return _loaded[path, width]
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)  # OverflowError if an id does not fit
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [self.packed(e.ids) for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
+        """Per text its ids as little-endian unsigned integers."""
         out: list[bytes] = [b""] * len(texts)
         open_texts, missing = [], {}
         known = self.young.get
