@@ -156,15 +156,77 @@ def test_top_k_equals_brute_force(spark, shard, monkeypatch):
     assert {tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(rows, 7, 20)
 
 
+def coarse_identity():
+    """An identity whose first half takes three values only."""
+
+    def coarse(raw):  # in here, so that tasks get it by value
+        import zlib
+
+        return zlib.crc32(raw) % 3, zlib.crc32(raw)
+
+    return coarse
+
+
+def test_sets_that_share_half_a_hash_are_kept_apart(spark):
+    docs = list(enumerate(family(5, 12, 40, 3) + family(6, 8, 30, 2) + [f"alone {k} of its own" for k in range(9)] + ["", None]))
+    like = Likeness(3, 8, 10)
+    found = jaccard.classes(spark.createDataFrame(docs, DOCS), like, identify=coarse_identity())
+    assert {tuple(r) for r in found.collect()} == brute_classes(docs, like)
+
+
+@pytest.mark.parametrize("identify", [jaccard._identity, coarse_identity()])
+def test_of_each_group_one_text_stays_whatever_its_id(spark, identify):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    docs = [
+        (1, a), (2, a), (2, b), (3, a + " more"), (3, c), (3, c), (3, c + " more"), (4, None), (4, None), (4, ""),
+        (None, a), (None, a), (5, "few words"), (5, "few words"), (6, "few words"), (7, b), (8, "other"), (8, "another"),
+    ]
+    table = spark.createDataFrame(docs, DOCS)
+    found = jaccard.first_of_each(table, Likeness(5, 8, 10), identify=identify)
+    assert found.columns == table.columns
+    kept = [(1, a), (2, b), (4, None), (4, None), (4, ""), (None, a), (None, a), (5, "few words"), (8, "other"), (8, "another")]
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(map(str, (r for r in rows if r[0] != 3))) == sorted(map(str, kept))
+    assert [r[1] in (c, c + " more") for r in rows if r[0] == 3] == [True]
+
+
+def test_one_row_of_each_group_in_a_table_of_maps_and_clashing_names(spark):
+    rows = [(1, "x y z", 1), (1, "x y z", 2), (2, "x y z", 3), (3, "alone", 4)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, maybe int").withColumns(
+        {"m": F.create_map(F.lit("k"), F.col("maybe")), "key": F.lit(1), "part": F.lit("p")}
+    )
+    found = jaccard.first_of_each(table).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, "x y z"), (3, "alone")]
+    assert all(r.m == {"k": r.maybe} for r in found)
+    assert jaccard.first_of_each(table.limit(0)).collect() == []
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, []),
             (6, [float("inf"), 1.0]), (None, [9.0, 9.0]), (1, [0.5, 0.5]), (1, [7.0, 7.0])]
     found = kd_search.top_k(spark.createDataFrame(rows, VECTORS), 5, 20).collect()
-    assert [tuple(r) for r in found] == [(0, 1, 1, 64 * 32 + 128 * 32)]
+    # Every row of a repeated id is a candidate.
+    assert [tuple(r) for r in found] == [(0, 1, 1, 64 * 448 + 128 * 448), (0, 2, 1, 64 * 32 + 128 * 32), (0, 3, 1, 64 * 32 + 128 * 32)]
     assert kd_search.top_k(spark.createDataFrame([], VECTORS)).count() == 0
     assert kd_search.top_k(spark.createDataFrame([(0, [1.0])], VECTORS)).count() == 0
 
 
+def test_repeated_ids_give_what_the_sql_gives(spark):
+    import duckdb
+    import pandas as pd
+
+    from tripledger.llm.oracle import OP1
+
+    draw = np.random.default_rng(8)
+    rows = [(int(k), draw.normal(size=3).astype(np.float32).tolist()) for k in draw.integers(0, 45, 300)]
+    rows += [(20, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (1, [5.0, 0.0, 0.0])]
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    con.execute("CREATE VIEW embeddings AS SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding FROM frame")
+    found = kd_search.top_k(spark.createDataFrame(rows, VECTORS), shard=64)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(con.execute(OP1).fetchall())
+
+
 def test_a_tree_is_cut_short_and_its_boxes_are_tight():
     draw = np.random.default_rng(2)
     points = np.concatenate([draw.integers(-5, 6, (500, 4)) + c for c in (0, 200, -300)])

@@ -19,7 +19,8 @@ few of its n-grams occur under any other name for a link with even the smallest
 What is left is compared in blocks of bounded size, each block pair in its own task, and gives
 no pairs but a spanning forest of the links. No link between different texts is lost.
 
-Sets and n-grams are identified by 64-bit hashes; a second hash of each set is checked.
+A set is told apart by a 128-bit hash. A 64-bit half of it is its short name in the joins; should two sets have one half, they
+get other names. N-grams are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from tripledger.llm.bitmap import may_be_wanted, those_maybe_wanted
 from tripledger.llm.common import as_text, fresh_name, mix64, numbers_of, stored, texts_of, utf8
 from tripledger.llm.components import components, forest
+from tripledger.llm.tokens import in_steps
 
 #: Sets and n-grams that one block may hold; a block pair is compared in one task.
 BLOCK_SETS = 256
@@ -112,48 +114,69 @@ def signature(found: np.ndarray, like: Likeness) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _signed(docs: DataFrame, like: Likeness, text: str) -> DataFrame:
-    """Per row: the set's identity, size and signature."""
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, t in zip(numbers_of(batch["doc_id"]), texts_of(batch["text"]), strict=True):
-                found = grams(t, like.width)
-                if not len(found):
-                    out.append((key, None, None, 0, []))
-                    continue
-                raw = found.tobytes()
-                a, b = _identity(raw)
-                out.append((key, a, b, len(found), signature(found, like).view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "set_id", "proof", "n", "tokens"], dtype=object)
-
-    rows = docs.select(as_text("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, set_id long, proof long, n long, tokens array<long>")
-
-
 def _identity(raw: bytes) -> tuple[int, int]:
     whole = xxhash.xxh3_128_intdigest(raw)
     return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str) -> DataFrame:
-    """(``set_id``, ``n``, ``grams``) of the wanted (``doc_id``, ``set_id``), from the texts again."""
+def _signed(docs: DataFrame, like: Likeness, text: str, identify=_identity) -> DataFrame:
+    """Per row: the set's identity (``a``, ``b``), its short name ``set_id``, size and signature; stored."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, texts = numbers_of(batch["doc_id"]), texts_of(batch["text"])
+            for begin, end in in_steps(texts):
+                out = []
+                for key, t in zip(keys[begin:end], texts[begin:end], strict=True):
+                    found = grams(t, like.width)
+                    if not len(found):
+                        out.append((key, None, None, 0, []))
+                        continue
+                    out.append((key, *identify(found.tobytes()), len(found), signature(found, like).view(np.int64)))
+                yield pd.DataFrame(out, columns=["doc_id", "a", "b", "n", "tokens"], dtype=object)
+
+    rows = docs.select(as_text("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return _named(stored(rows.mapInPandas(sign, "doc_id long, a long, b long, n long, tokens array<long>"), "signatures"))
+
+
+def _named(signed: DataFrame) -> DataFrame:
+    """With ``set_id``: ``a``, or another hash of both halves for sets that share their first half with other ones."""
+    halves = signed.where("a is not null").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    clashes = stored(halves.where("low <> high").select("a", F.lit(True).alias("clashes")), "clashes")
+    if clashes.isEmpty():  # as a rule: some few are to be expected among 10 ** 10 sets
+        return signed.withColumn("set_id", F.col("a"))
+    marked = stored(signed.join(clashes, "a", "left"), "marked")
+    for salt in range(1, 100):
+        name = F.when(F.col("clashes"), F.xxhash64("a", "b", F.lit(salt))).otherwise(F.col("a"))
+        named = marked.withColumn("set_id", F.when(F.col("a").isNotNull(), name)).drop("clashes")
+        sets = named.where("set_id is not null").groupBy("set_id").agg(
+            *[f(c).alias(f"{c}_{k}") for c in ("a", "b") for k, f in enumerate((F.min, F.max))]
+        )
+        if sets.where("a_0 <> a_1 or b_0 <> b_1").isEmpty():
+            return named
+    raise RuntimeError("no names found for sets")
+
+
+def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str, identify=_identity) -> DataFrame:
+    """(``set_id``, ``n``, ``grams``) of the wanted (``doc_id``, ``set_id``, ``a``, ``b``), from the texts again."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, t in zip(batch["set_id"].tolist(), texts_of(batch["text"]), strict=True):
-                found = grams(t, like.width)
-                if len(found) and _identity(found.tobytes())[0] == key:  # else another row of this doc_id
-                    out.append((key, len(found), found.view(np.int64)))
-            yield pd.DataFrame(out, columns=["set_id", "n", "grams"], dtype=object)
+            keys, texts = batch["set_id"].tolist(), texts_of(batch["text"])
+            halves = list(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True))
+            for begin, end in in_steps(texts):
+                out = []
+                for key, both, t in zip(keys[begin:end], halves[begin:end], texts[begin:end], strict=True):
+                    found = grams(t, like.width)
+                    if len(found) and identify(found.tobytes()) == both:  # else another row of this doc_id
+                        out.append((key, len(found), found.view(np.int64)))
+                yield pd.DataFrame(out, columns=["set_id", "n", "grams"], dtype=object)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     # The same join at every size, here and where the n-grams are joined: a broadcast on small tables
     # only would hide what texts and sets cost to move.
     rows = rows.where(F.col("doc_id").isNotNull()).where(may_be_wanted(wanted, "doc_id", F.col("doc_id")))
-    return rows.join(wanted.hint("merge"), "doc_id").select("set_id", "text").mapInPandas(
+    return rows.join(wanted.hint("merge"), "doc_id").select("set_id", "a", "b", "text").mapInPandas(
         gather, "set_id long, n long, grams array<long>"
     )
 
@@ -256,38 +279,46 @@ def _enough(available, n, least, like: Likeness):
     return available * (like.num + like.den) >= like.num * (n + smallest)
 
 
-def classes(docs: DataFrame, like: Likeness = Likeness(), text: str = "text") -> DataFrame:
+def _labelled(docs: DataFrame, like: Likeness, text: str, identify=_identity) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``n``, the set's identity (``a``, ``b``) and ``label``: the least name of a set that links
+    reach, null without words; stored."""
+    signed = _signed(docs, like, text, identify)
+    named = linked_sets(docs, signed, like, text, identify).withColumnRenamed("node", "set_id")
+    rows = signed.select("doc_id", "n", "a", "b", "set_id").join(named, "set_id", "left")
+    return stored(rows.select("doc_id", "n", "a", "b", F.coalesce("label", "set_id").alias("label")), "labelled")
+
+
+def classes(docs: DataFrame, like: Likeness = Likeness(), text: str = "text", identify=_identity) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``, the least ``doc_id`` that links reach.
 
     A text without words has no set, links with nothing and is its own component; so is a row
     without ``doc_id``, whose component is null. Repeated rows are each returned. Other columns are
     not looked at; an empty table gives no rows.
     """
-    signed = stored(_signed(docs, like, text), "signatures")
-    proofs = signed.groupBy("set_id").agg(F.min("proof").alias("a"), F.max("proof").alias("b"))
-    if not proofs.where("a <> b").isEmpty():
-        raise RuntimeError("two different sets have one hash")
-    named = linked_sets(docs, signed, like, text).withColumnRenamed("node", "set_id")
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
-    rows = stored(rows.select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label")), "labelled")
+    rows = _labelled(docs, like, text, identify).withColumnRenamed("n", "n_shingles")
     least = stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
     )
 
 
-def linked_sets(docs: DataFrame, signed: DataFrame, like: Likeness, text: str) -> DataFrame:
+def linked_sets(docs: DataFrame, signed: DataFrame, like: Likeness, text: str, identify=_identity) -> DataFrame:
     """(``node``, ``label``) of the sets that links join, see ``components``."""
-    tokens = signed.where("set_id is not null and doc_id is not null").select("set_id", "doc_id", "n", F.explode("tokens").alias("token"))
+    given = signed.where("set_id is not null and doc_id is not null")
+    tokens = given.select("set_id", "n", F.explode("tokens").alias("token"))
     sides = tokens.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.min("n").alias("least"))
     shared = stored(sides.where("a <> b").select("token", "least"), "shared-tokens")
-    # Only tokens that others may give too are moved again; copies of a set are combined before the shuffle.
-    given = signed.where("set_id is not null and doc_id is not null")
-    tokens = given.select("set_id", "doc_id", "n", F.explode(those_maybe_wanted(shared, "token", F.col("tokens"))).alias("token"))
-    members = tokens.join(shared, "token").groupBy("token", "set_id", "n", "least").agg(F.min("doc_id").alias("doc_id"))
+    # Only tokens that others may give too are moved again, once for all copies of a set.
+    kept = given.withColumn("kept", those_maybe_wanted(shared, "token", F.col("tokens"))).where(F.size("kept") > 0)
+    sets = kept.groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ("n", "a", "b")], F.first("kept").alias("kept")
+    )
+    sets = stored(sets, "sets")
+    members = sets.select("set_id", "n", F.explode("kept").alias("token")).join(shared, "token")
     members = stored(members, "members")
-    bounds = stored(members.groupBy("set_id").agg(F.min("least").alias("least"), F.min("doc_id").alias("doc_id")), "bounds")
-    candidates = stored(_grams_of(docs, bounds.select("set_id", "doc_id"), like, text), "candidate-grams")
+    bounds = stored(members.groupBy("set_id").agg(F.min("least").alias("least")), "bounds")
+    wanted = sets.select("set_id", "doc_id", "a", "b").join(bounds.select("set_id"), "set_id")
+    candidates = stored(_grams_of(docs, stored(wanted, "wanted"), like, text, identify), "candidate-grams")
     # N-grams that one candidate alone has cannot be common to it and a partner.
     sides = candidates.select("set_id", F.explode("grams").alias("gram")).groupBy("gram").agg(
         F.min("set_id").alias("a"), F.max("set_id").alias("b")
@@ -323,18 +354,48 @@ def linked_sets(docs: DataFrame, signed: DataFrame, like: Likeness, text: str) -
     return components(star.unionByName(_block_links(rest, candidates, like)))
 
 
-def first_of_each(docs: DataFrame, like: Likeness = Likeness(), text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component left, that with the least ``doc_id``, in its own columns.
+def first_of_each(docs: DataFrame, like: Likeness = Likeness(), text: str = "text", identify=_identity) -> DataFrame:
+    """``docs`` without the rows whose text links, directly or over others, with that of a row that stays: of each component
+    the text with the least ``doc_id`` stays, in its own columns.
 
-    Rows that repeat this ``doc_id`` are reduced to one; rows without ``doc_id`` all stay.
+    Rows that repeat a ``doc_id`` are judged by their texts: an unlinked one stays, of rows with one id and equal sets one stays. Rows
+    without ``doc_id`` or without words all stay. Only rows that may have to go are moved.
     """
-    found = classes(docs, like, text)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
-    heads = stored(heads, "heads")
-    head = fresh_name(docs.columns, "head")
-    row = fresh_name(docs.columns, "row")
-    kept = docs.join(heads.withColumnRenamed("head", head), F.col("doc_id") == F.col(head), "left_semi")
-    columns = [f"`{c}`" for c in docs.columns]
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row))
-    nameless = docs.where("doc_id is null")
-    return one.select(f"{row}.*").unionByName(nameless)
+    rows = _labelled(docs, like, text, identify).where("doc_id is not null")
+    heads = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "a", "b")).alias("head"))
+    marked = rows.join(stored(heads, "heads"), "label", "left")
+    stays = F.col("label").isNull() | (F.struct("doc_id", "a", "b") == F.col("head"))
+    marked = stored(marked.select("doc_id", "a", "b", F.coalesce(stays, F.lit(False)).alias("stays")), "marked")
+    by_id = marked.groupBy("doc_id").agg(F.count("*").alias("c"), F.count_if("stays").alias("s"))
+    # The ids of which something goes, or which repeat; of the latter some rows may stay.
+    touched = by_id.where("s = 0 or c > 1").select(F.col("doc_id").alias("id"), (F.col("s") > 0).alias("mixed"))
+    touched = stored(touched, "touched")
+    if touched.isEmpty():
+        return docs
+    maybe, key = fresh_name(docs.columns, "maybe"), fresh_name(docs.columns, "key")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    flagged = docs.withColumn(key, F.col("doc_id").cast("long"))
+    seen = may_be_wanted(touched, "id", F.coalesce(F.col(key), F.lit(0)))
+    flagged = flagged.withColumn(maybe, F.col(key).isNotNull() & seen)
+    suspects = stored(flagged.where(F.col(maybe)), "suspects")
+    renamed = touched.withColumnRenamed("id", key)
+    out = flagged.where(~F.col(maybe)).select(columns)
+    out = out.unionByName(suspects.join(renamed.select(key).hint("merge"), key, "left_anti").select(columns))
+    if touched.where("mixed").isEmpty():
+        return out
+    part = fresh_name(docs.columns, "part")
+
+    @F.pandas_udf("a long, b long")
+    def identity(texts: pd.Series) -> pd.DataFrame:
+        found = [grams(t, like.width) for t in texts_of(texts)]
+        halves = [identify(x.tobytes()) if len(x) else (None, None) for x in found]
+        return pd.DataFrame({name: pd.Series([h[k] for h in halves], dtype="Int64") for k, name in enumerate("ab")})
+
+    repeated = suspects.join(renamed.where("mixed").select(key), key, "left_semi")
+    repeated = stored(repeated.withColumn(part, identity(F.col(f"`{text}`").cast("string"))), "repeated")
+    wordless = repeated.where(F.col(f"{part}.a").isNull())
+    stay = marked.where("stays and a is not null").select(F.col("doc_id").alias(key), F.struct("a", "b").alias(part)).distinct()
+    one = repeated.join(stay, [key, part], "left_semi").groupBy(key, part).agg(
+        F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(maybe)
+    )
+    return out.unionByName(wordless.select(columns)).unionByName(one.select(f"{maybe}.*"))
