@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripledger.session import work_folder
+from tripledger.session import setting, work_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once: with whole texts in them, Spark's own ten thousand take much room on both sides.
+BATCH_ROWS = "1000"
+
+
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
     """The rows written below ``spark.checkpoint.dir`` and read again.
 
     Cuts the lineage in a place every executor sees, so a lost executor costs no earlier work.
     """
     place = f"{work_folder(rows.sparkSession, purpose)}/rows"
-    rows.write.parquet(place)
+    with setting(rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+        rows.write.parquet(place)
     return rows.sparkSession.read.schema(rows.schema).parquet(place)
 
 
@@ -55,6 +60,17 @@ def is_sound(vector: Column) -> Column:
     )
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """For a task that begins: what tasks of other operators left in this worker's memory goes. Workers outlive tasks; an
+    operator that keeps something for its next task says by ``clear`` how to drop it."""
+    for name in [n for n in _memories if n != owner]:
+        _memories.pop(name)()
+    _memories[owner] = clear
+
+
 def fresh_name(columns: Iterable[str], wish: str) -> str:
     """A column name that clashes with none of ``columns``, however they are written."""
     taken = {c.lower() for c in columns}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm.bitmap import may_be_wanted, those_maybe_wanted
-from tripledger.llm.common import as_text, fresh_name, mix64, numbers_of, stored, texts_of, utf8
+from tripledger.llm.common import as_text, fresh_name, mix64, numbers_of, sole_memory, stored, texts_of, utf8
 from tripledger.llm.components import components, forest
 from tripledger.llm.tokens import in_steps
 
@@ -45,7 +45,7 @@ BLOCK_GRAMS = 1 << 17
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 8
 #: Word hashes a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _words: dict[bytes, int] = {}
@@ -123,6 +123,7 @@ def _signed(docs: DataFrame, like: Likeness, text: str, identify=_identity) -> D
     """Per row: the set's identity (``a``, ``b``), its short name ``set_id``, size and signature; stored."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_memory("words", _words.clear)
         for batch in batches:
             keys, texts = numbers_of(batch["doc_id"]), texts_of(batch["text"])
             for begin, end in in_steps(texts):
@@ -161,6 +162,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str, ide
     """(``set_id``, ``n``, ``grams``) of the wanted (``doc_id``, ``set_id``, ``a``, ``b``), from the texts again."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_memory("words", _words.clear)
         for batch in batches:
             keys, texts = batch["set_id"].tolist(), texts_of(batch["text"])
             halves = list(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True))

@@ -14,12 +14,14 @@ import re
 import sys
 from array import array
 
+from tripledger.llm.common import sole_memory
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = r" \n\t\r"
 _PIECE = re.compile(rf"[{_BLANK}]*[{_LETTERS}]+(?![^.,{_BLANK}])|[.,]+(?=[{_BLANK}]|$)|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _UNUSUAL = re.compile(rf"[^\S{_BLANK}]|<\|")
 #: Pieces remembered per worker: twice this many at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Codes of unsigned integers by their width in bytes.
 _CODES = {array(code).itemsize: code for code in "HIQ"}
 
@@ -41,6 +43,7 @@ class Encoder:
     @classmethod
     def at(cls, path: str, width: int = 4) -> Encoder:
         """The worker's encoder for this file; workers outlive tasks, and keep one: its memory is what they hold."""
+        sole_memory("tokens", _loaded.clear)
         if (path, width) not in _loaded:
             _loaded.clear()
             _loaded[path, width] = cls(path, width=width)

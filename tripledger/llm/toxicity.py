@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import fresh_name, is_held_out, texts_of
+from tripledger.llm.common import fresh_name, is_held_out, sole_memory, texts_of
 from tripledger.llm.decontaminate import words_of
 
 WINDOW = 32
@@ -401,6 +401,7 @@ def scored(docs: DataFrame, net: Network | None, into: str = "score", text: str
 
     @F.pandas_udf("double")
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sole_memory("toxicity")
         scorer = Scorer(shared.value)
         for texts in batches:
             yield pd.Series(scorer.score(texts_of(texts)), dtype="float64")
