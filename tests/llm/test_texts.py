@@ -208,3 +208,13 @@ def test_cosines_are_those_of_tf_idf_vectors():
     assert matcher.best(text)[1] == pytest.approx(cosine)
     # A notice broken over lines is found by its paragraph.
     assert matcher.best("prose\n\nReleased under\nthe MIT License.\n\nprose") == ("MIT", pytest.approx(1.0))
+
+
+def test_several_passes_of_a_table_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "nothing here")], "doc_id long, text string")
+    docs = docs.withColumns({"parts": F.lit(1), "row": F.lit(2), "found": F.lit(3)})
+    bench = spark.createDataFrame([("x", "b c d e f g h i j k"), ("y", "nothing")], "item_id string, text string")
+    into = "hits"
+    one = decontaminate.scanned(docs, bench, into=into).orderBy("doc_id").collect()
+    many = decontaminate.scanned(docs, bench, into=into, broadcast_bytes=50).orderBy("doc_id").collect()
+    assert one == many and [r[into]["items"] for r in one] == [["x"], ["y"]]

@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows that go to a Python worker at once: with whole texts in them, Spark's own ten thousand take much room on both sides.
 BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets ``BATCH_ROWS`` for the session, unless it has fewer: for operators whose caller runs the Python workers."""
+    if int(spark.conf.get(_BATCH)) not in range(1, int(BATCH_ROWS) + 1):
+        spark.conf.set(_BATCH, BATCH_ROWS)
 
 
 def stored(rows: DataFrame, purpose: str) -> DataFrame:
@@ -26,7 +33,7 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     Cuts the lineage in a place every executor sees, so a lost executor costs no earlier work.
     """
     place = f"{work_folder(rows.sparkSession, purpose)}/rows"
-    with setting(rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+    with setting(rows.sparkSession, _BATCH, BATCH_ROWS):
         rows.write.parquet(place)
     return rows.sparkSession.read.schema(rows.schema).parquet(place)
 

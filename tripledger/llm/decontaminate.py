@@ -24,13 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import fresh_name, stored, texts_of, utf8
+from tripledger.llm.common import fresh_name, small_batches, sole_memory, stored, texts_of, utf8
+from tripledger.llm.tokens import in_steps
 
 WIDTH = 10
 #: Bytes of window text that one broadcast may hold.
 BROADCAST_BYTES = 32 << 20
-#: Words joined into one array per vectorised step.
-STEP_WORDS = 1 << 18
+#: Characters of the texts whose words are joined into one array per vectorised step.
+STEP_CHARS = 1_000_000
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 _FOLD = bytes(
@@ -102,14 +103,9 @@ def _char_spans(text: str, spans: list[tuple[int, int]]) -> list[int]:
 def scan(texts: list[str], windows: Windows) -> Iterator[tuple]:
     """For each text: word count, hit word spans, the same as character offsets, item ids."""
     get = windows.vocabulary.get
-    lists = [words_of(t) for t in texts]
-    begin = 0
-    while begin < len(lists):
-        end, total = begin, 0
-        while end < len(lists) and (end == begin or total + len(lists[end]) < STEP_WORDS):
-            total += len(lists[end]) + 1
-            end += 1
-        step = lists[begin:end]
+    for begin, end in in_steps(texts, STEP_CHARS):
+        step = [words_of(t) for t in texts[begin:end]]
+        total = sum(map(len, step)) + len(step)
         ids = np.zeros(total, np.uint64)  # a zero ends each text, so no window crosses it
         ends = np.cumsum([len(w) + 1 for w in step])
         starts = ends - [len(w) + 1 for w in step]
@@ -137,7 +133,6 @@ def scan(texts: list[str], windows: Windows) -> Iterator[tuple]:
             spans = _merged(spans)
             cuts = _char_spans(texts[begin + d], spans) if spans else []
             yield len(w), [a for a, _ in spans], [b for _, b in spans], cuts, sorted(names)
-        begin = end
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -167,6 +162,7 @@ def _scanner(spark, rows: list[tuple[str, list[str]]]):
 
     @F.pandas_udf(SCANNED)
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        sole_memory("windows")
         windows = Windows.of(shared.value)
         for texts in batches:
             yield pd.DataFrame(
@@ -180,8 +176,9 @@ def scanned(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", into: str = "found",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``docs`` with a struct ``into``: ``n_words`` and the hits (see ``SCANNED``)."""
+    """``docs`` with a struct ``into``: ``n_words`` and the hits (see ``SCANNED``). Sets ``common.small_batches`` for the session."""
     spark = docs.sparkSession
+    small_batches(spark)
     windows = stored(item_windows(benchmark, width), "windows")
     weight = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 8) + 64
     size = windows.agg(F.sum(weight.cast("long"))).first()[0] or 0
@@ -195,7 +192,7 @@ def scanned(
     if parts == 1:
         return docs.withColumn(into, _scanner(spark, part(0))(body))
     # Passes: rows get a number that stays, each pass leaves rows only for documents that it hits.
-    row = fresh_name(docs.columns, "row")
+    row, parts_of = fresh_name(docs.columns, "row"), fresh_name(docs.columns, "parts")
     docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     passes = []
     for k in range(parts):
@@ -204,7 +201,7 @@ def scanned(
     hits = passes[0]
     for more in passes[1:]:
         hits = hits.unionByName(more)
-    hits = stored(hits.groupBy(row).agg(F.collect_list(F.struct("starts", "ends", "items")).alias("parts")), "hits")
+    hits = stored(hits.groupBy(row).agg(F.collect_list(F.struct("starts", "ends", "items")).alias(parts_of)), "hits")
 
     @F.pandas_udf(SCANNED)
     def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -219,7 +216,7 @@ def scanned(
             yield pd.DataFrame(out, columns=["n_words", "starts", "ends", "cuts", "items"])
 
     both = docs.join(hits, row, "left")
-    return both.withColumn(into, joined(body, F.col("parts"))).drop(row, "parts")
+    return both.withColumn(into, joined(body, F.col(parts_of))).drop(row, parts_of)
 
 
 def decontaminate(

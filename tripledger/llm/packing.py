@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from tripledger.llm.common import as_text, numbers_of, stored, texts_of
 from tripledger.llm.tokens import Encoder, in_steps
 
+#: Pieces of text whose ids a worker remembers: twice as many at most.
+REMEMBERED = 150_000
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -72,7 +75,7 @@ def pieces(
     longest = capacity.longest
 
     def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.at(path)
+        encoder = Encoder.at(path, remembered=REMEMBERED)
         tail = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(longest + 1, np.int64)

@@ -41,12 +41,12 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     @classmethod
-    def at(cls, path: str, width: int = 4) -> Encoder:
+    def at(cls, path: str, width: int = 4, remembered: int = REMEMBERED) -> Encoder:
         """The worker's encoder for this file; workers outlive tasks, and keep one: its memory is what they hold."""
         sole_memory("tokens", _loaded.clear)
         if (path, width) not in _loaded:
             _loaded.clear()
-            _loaded[path, width] = cls(path, width=width)
+            _loaded[path, width] = cls(path, remembered, width)
         return _loaded[path, width]
 
     def packed(self, ids: list[int]) -> bytes:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import fresh_name, is_held_out, sole_memory, texts_of
+from tripledger.llm.common import fresh_name, is_held_out, small_batches, sole_memory, texts_of
 from tripledger.llm.decontaminate import words_of
 
 WINDOW = 32
@@ -391,12 +391,13 @@ def scored(docs: DataFrame, net: Network | None, into: str = "score", text: str
     """``docs`` with the toxicity of each whole text (0 to 1) in a new column.
 
     A null or wordless text is scored as a window of padding; repeated rows score alike; without a
-    trained network every score is 0.
+    trained network every score is 0; an empty table stays empty. Sets ``common.small_batches`` for the session.
     """
     if into.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column {into} already")
     if net is None:
         return docs.withColumn(into, F.lit(0.0))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
