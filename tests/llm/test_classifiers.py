@@ -135,6 +135,24 @@ def test_awkward_rows_and_empty_tables(spark, tables, operator):
     assert operator.report(docs, one_class, t).where("score is null").count() == 0
 
 
+def test_long_texts_and_repeated_ids_are_learnt(spark, monkeypatch):
+    given = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, t: given.update(zip(texts, y.tolist(), strict=True)))
+    numbered = " ".join(f"w{k:06d}" for k in range(9000))
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(ids[0], numbered), (ids[1], None), (ids[2], "")] + [(ids[3], f"one of many {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, toxicity.Training(chars=10_000))
+    assert len(given) == 3 and given[""] == 0  # a missing text teaches nothing
+    (long,) = [x for x in given if x.startswith("w")]
+    assert 10_000 <= len(long) < 10_100 and long.endswith(numbered[-1000:]) and long.startswith(numbered[:1000])
+    assert all(f"w{1000 * k:06d}"[:4] in long for k in range(9))
+    (repeated,) = [x for x in given if x.startswith("one")]
+    toxicity.fit(docs.repartition(7), labels, toxicity.Training(chars=10_000))
+    assert repeated in given and len(given) == 3
+
+
 def test_labels_of_the_held_out_part_are_never_learnt(tables):
     docs, labels = tables
     turned = labels.where(toxicity.is_held_out(F.col("doc_id"))).withColumns(

@@ -233,13 +233,17 @@ def _features(texts: pd.Series) -> pd.Series:
 
 
 def fit(docs: DataFrame, labels: DataFrame, t: Training = Training(), text: str = "text") -> Additive:
-    """Learns from labelled rows outside the held-out part; a document's label is the largest it is given."""
+    """Learns from labelled rows outside the held-out part; a document's label is the largest it is given.
+
+    Of an id with several texts one is learnt (by hash).
+    """
     given = labels.where("quality is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     given = given.groupBy("doc_id").agg(F.max("quality").alias("y"))
     # The sample is drawn among the labels before any text is read.
     given = given.orderBy(F.xxhash64("doc_id")).limit(t.sample)
     rows = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(given), "doc_id")
-    sample = rows.select(_features("text").alias("x"), "y").limit(2 * t.sample).toPandas()  # ids may repeat
+    rows = rows.select("doc_id", "y", _features("text").alias("x"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
+    sample = rows.groupBy("doc_id", "y").agg(F.min_by("x", "h").alias("x")).orderBy("doc_id").toPandas()  # ids may repeat
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
     return train(x, sample["y"].to_numpy(float), t)
 

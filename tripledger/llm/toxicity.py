@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import fresh_name, is_held_out, small_batches, sole_memory, texts_of
@@ -32,6 +32,8 @@ STRIDE = 24
 REMEMBERED = 120_000
 STEP_WINDOWS = 4096
 STEP_WORDS = 60_000
+#: Characters of a stretch that a long text gives the sample.
+STRETCH = 1000
 #: Distinct words whose character runs are looked up in one step.
 STEP_NAMES = 8_192
 
@@ -42,7 +44,7 @@ class Training:
 
     toxic: int = 1200
     clean: int = 3600
-    chars: int = 20_000  # longer texts are left out of the sample, not cut
+    chars: int = 20_000  # a longer text gives the sample so many, in stretches spread over the whole of it
     known_words: int = 8192
     rows: int = 1 << 15
     size: int = 12
@@ -295,15 +297,29 @@ def train(texts: Iterable[str], labels: np.ndarray, t: Training = Training()) ->
     return net
 
 
+def _spread(text: str, chars: int) -> Column:
+    """The text, or of a longer one ``chars`` characters: stretches from its begin to its end at even distances."""
+    n = max(2, chars // STRETCH)
+    size = chars // n
+    begin = f"1 + int(bigint(k) * (length(`{text}`) - {size}) / {n - 1})"
+    stretches = f"array_join(transform(sequence(0, {n - 1}), k -> substr(`{text}`, {begin}, {size})), ' ')"
+    return F.expr(f"CASE WHEN length(`{text}`) > {chars} THEN {stretches} ELSE `{text}` END")
+
+
 def fit(docs: DataFrame, labels: DataFrame, t: Training = Training(), text: str = "text") -> Network | None:
-    """Learns from labelled rows outside the held-out part; a document's label is the largest it is given."""
+    """Learns from labelled rows outside the held-out part; a document's label is the largest it is given.
+
+    Of an id with several texts one is learnt (by hash). A text longer than ``t.chars`` takes part with stretches that lie
+    evenly over the whole of it.
+    """
     given = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     given = given.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     # The sample is drawn among the labels before any text is read; it is bounded, and so is what comes back.
     chosen = [given.where(F.col("y") == y).orderBy(F.xxhash64("doc_id")).limit(n) for y, n in ((1, t.toxic), (0, t.clean))]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("text")).where(F.length("text") <= t.chars)
-    rows = rows.join(chosen, "doc_id").select("text", "y").limit(2 * (t.toxic + t.clean))  # ids may repeat
+    rows = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id")
+    rows = rows.select("doc_id", "y", _spread("text", t.chars).alias("text"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # ids may repeat
     sample = sorted((r["text"], r["y"]) for r in rows.collect())  # the order of arrival must not matter
     return train((x for x, _ in sample), np.array([y for _, y in sample]), t)
 
