@@ -74,3 +74,55 @@ def test_terms_equal_a_plain_count(spark):
         told = [m.span() for m in re.finditer("[a-z]{3,}", text) if m.group() in want.get(k, ())]
         addresses = [m.span() for m in re.finditer(r"\S+@\S+", text)]
         assert found == [x for x in told if not any(x[0] < b and a < x[1] for a, b in addresses)]
+
+
+def plainly_disclosed(rows, how):
+    """Terms to go by document, counted with plain loops; texts hold lower-case words and addresses."""
+    words = {k: set(re.findall("[a-z]{3,}", t)) for k, t in rows}
+    beside = {k: set(re.findall("[a-z]{3,}", re.sub(r"\S+@\S+", " ", t))) for k, t in rows}
+    held = {}
+    for k, t in rows:
+        for e in set(re.findall(r"\S+@\S+", t)):
+            held.setdefault(e, set()).add(k)
+    every = Counter(w for ws in words.values() for w in ws)
+    alike, total = Counter(every.values()), sum(every.values())
+
+    def bound(both, n, q):
+        apart = n - both
+        return both * math.log(both / n / q) + (apart * math.log(apart / n / (1 - q)) if apart else 0)
+
+    want = {}
+    for with_it in held.values():
+        q, part = len(with_it) / len(rows), sum(len(beside[k]) for k in with_it) / total
+        found = {}
+        for w in set().union(*[beside[k] for k in with_it]):
+            both, n = sum(w in beside[k] for k in with_it), every[w]
+            if math.log(both / n / q) / -math.log(q) >= how.generalise and bound(both, n, q) >= -math.log(how.chance):
+                found.setdefault((n, both), set()).add(w)
+        for (n, both), some in found.items():
+            expected = alike[n] * (math.exp(-bound(both, n, part)) if both / n > part else 1)
+            if expected <= how.ordinary * len(some):
+                for k in with_it:
+                    want.setdefault(k, set()).update(some & words[k])
+    return {k: ws for k, ws in want.items() if ws}
+
+
+def letters(k):
+    return "".join(chr(97 + int(c)) for c in f"{k:06d}")
+
+
+def test_ordinary_words_that_occur_once_stay_and_names_go(spark):
+    rows = [(k, f"{prose(k)} sole{letters(2 * k)} sole{letters(2 * k + 1)}") for k in range(900)]
+    rows[7] = (7, rows[7][1] + " z@one.example")  # two words of its own, as any document has
+    for k in (20, 21, 22):
+        rows[k] = (k, f"{rows[k][1]} quetzal q@two.example")
+    rows[40] = (40, " ".join([rows[40][1], "p@three.example", *[f"alias{letters(k)}" for k in range(90)]]))
+    how = disclosure.Disclosure()
+    want = plainly_disclosed(rows, how)
+    assert 7 not in want and want[20] == {"quetzal"} and len(want[40]) == 92
+    found = {r.doc_id: r.spans for r in disclosure.report(spark.createDataFrame(rows, DOCS)).collect()}
+    for k, text in rows:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[k].split(",") if s.startswith("term:")]
+        assert {text[a:b] for a, b in spans} == want.get(k, set()), k
+    looser = disclosure.Disclosure(ordinary=1e9)  # the criterion alone keeps them
+    assert "term:" in {r.doc_id: r.spans for r in disclosure.report(spark.createDataFrame(rows, DOCS), looser).collect()}[7]

@@ -38,6 +38,14 @@ def stored(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(place)
 
 
+def discard(rows: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` wrote, once all that was made of it is stored in its turn."""
+    context = rows.sparkSession.sparkContext
+    for file in rows.inputFiles()[:1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ranked(rows: DataFrame, group: list[str], order: list[str | Column], keep: list[str | Column], into: str = "rank") -> DataFrame:
     """The ``keep`` columns of the rows and each row's place, from 0, in its group by ``order``.
 

@@ -11,6 +11,11 @@ replaced by a placeholder, those that exceed ``remove`` are taken out, wherever
 holds the entity. No count is too small to be judged, but a pair must meet more often than chance explains: were the
 term's documents drawn at random, the probability (Chernoff's bound) of as many with the entity is at most ``chance``.
 
+Most words of a corpus are rare, and some rare ones stand beside any entity. So the terms of an entity that are alike
+(equally frequent, equally often with it) are judged together: the corpus has so many terms of this frequency, and each would
+meet the entity's documents as often in proportion to their share of all words; if this expects more than
+``ordinary`` of the number found, they are ordinary words and stay.
+
 Everything is a DataFrame expression: no Python runs on the executors. Counts over the corpus are
 combined before they are shuffled; pairs exist for documents with entities only, and entities that share
 all their documents are counted as one.
@@ -28,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import fresh_name, stored
+from tripledger.llm.common import discard, fresh_name, stored
 
 # Java patterns that find what the plain ones find, leftmost and greedy, but look at no character
 # twice: a run of fitting characters is only tried at its begin or where the last match ended.
@@ -63,6 +68,7 @@ class Disclosure:
     chance: float = 0.002
     generalise: float = 0.85
     remove: float = 0.97
+    ordinary: float = 0.2
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -87,8 +93,9 @@ def placed(found: str) -> str:
             s -> named_struct('s', s, 'e', s + length(h), 'h', h))[0]))[0])[0]"""
 
 
-def base_spans(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
-    """``docs``, stored, with ``into``: the valid base spans (kind, s, e, entity), and a row number ``into``_row.
+def base_spans(docs: DataFrame, into: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``into``: the valid base spans (kind, s, e, entity), and a row number ``into``_row; and the stored
+    table that they are read from.
 
     Kinds come in the listed order, then starts.
     """
@@ -102,7 +109,7 @@ def base_spans(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
             'entity', transform(array(x.h), h -> '{k}:' || {SAME[k]})[0])) END"""
         for k in PATTERNS
     ]
-    return rows.withColumn(into, F.expr(f"concat({', '.join(spans)})")).drop(found)
+    return rows.withColumn(into, F.expr(f"concat({', '.join(spans)})")).drop(found), rows
 
 
 def _vocabulary(text: Column) -> Column:
@@ -129,13 +136,20 @@ def disclosing_terms(docs: DataFrame, rows: DataFrame, into: str, how: Disclosur
     )
     members = held.join(groups, "entity").select("row", F.struct("n_entity", "a", "b").alias("group")).distinct()
     members = stored(members, "groups")
+    extents = members.join(private.select("row", F.size("terms").cast("long").alias("words")), "row")
+    extents = extents.groupBy("group").agg(F.sum("words").alias("words"))
     met = members.join(private.select("row", "terms"), "row").select("group", F.explode("terms").alias("term"))
     pairs = stored(met.groupBy("group", "term").agg(F.count("*").alias("both")), "pairs")
 
     words = _vocabulary(F.col(f"`{text}`").cast("string"))
     counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counts = stored(counts.join(pairs.select("term").distinct(), "term"), "term-counts")
-    terms = scored(pairs.join(counts, "term").withColumn("n_entity", F.col("group.n_entity")), docs.count(), how)
+    counts = stored(counts, "term-counts")
+    # How many terms there are of each frequency, and how many words: one row per frequency.
+    spectrum = stored(counts.groupBy("n_term").agg(F.count("*").alias("alike")), "spectrum")
+    total = spectrum.agg(F.sum(F.col("n_term") * F.col("alike"))).first()[0] or 1
+    pairs = pairs.join(counts, "term").withColumn("n_entity", F.col("group.n_entity"))
+    terms = stored(scored(pairs, docs.count(), how), "unusual")
+    terms = beyond_ordinary(terms.join(spectrum, "n_term").join(extents, "group"), total, how)
     terms = stored(terms.select("group", "term", (F.col("share") >= how.remove).alias("gone")), "disclosing")
 
     here = members.join(terms, "group").groupBy("row", "term").agg(F.max("gone").alias("gone"))  # removed, if any asks
@@ -172,16 +186,31 @@ def scored(pairs: DataFrame, total: int, how: Disclosure) -> DataFrame:
     return found.where(evidence >= -math.log(how.chance))
 
 
+def beyond_ordinary(terms: DataFrame, total: int, how: Disclosure) -> DataFrame:
+    """The rows of (``group``, ``term``, ``n_term``, ``both``; ``alike`` terms of this frequency; ``words`` in the group's documents, of
+    ``total``) that are too many to be ordinary words."""
+    found = terms.groupBy("group", "n_term", "both").agg(F.count("*").alias("found"))
+    terms = terms.join(found, ["group", "n_term", "both"])
+    part = F.least(F.col("words") / F.lit(float(total)), F.lit(1.0))
+    with_it, without = F.col("both") / F.col("n_term"), 1 - F.col("both") / F.col("n_term")
+    bound = F.col("both") * F.log(with_it / part) + F.when(
+        (without > 0) & (part < 1), (F.col("n_term") - F.col("both")) * F.log(without / (1 - part))
+    ).otherwise(0.0)
+    expected = F.col("alike") * F.when(with_it > part, F.exp(-bound)).otherwise(1.0)
+    return terms.where(expected <= how.ordinary * F.col("found"))
+
+
 def all_spans(docs: DataFrame, into: str, how: Disclosure = Disclosure(), text: str = "text", whole: bool = True) -> DataFrame:
     """``docs`` with ``into``: base and term spans (kind, s, e, label), in order of kind and start.
 
     ``whole=False`` keeps texts of documents with base spans only, for callers that need no others.
     """
     row = f"{into}_row"
-    rows = base_spans(docs, into, text)
+    rows, searched = base_spans(docs, into, text)
     if not whole:
         rows = rows.withColumn(text, F.when(F.size(into) > 0, F.col(f"`{text}`")))
     rows = stored(rows, "base-spans")
+    discard(searched)
     terms = disclosing_terms(docs, rows, into, how, text)
     found, gone, marked, row_of = (fresh_name([*rows.columns, "row"], f"{into}_{n}") for n in ("words", "gone", "marked", "of"))
     terms = terms.select(F.col("row").alias(row_of), _dealt("gone").alias(gone), _dealt("marked").alias(marked))
