@@ -494,6 +494,7 @@ def oracle_sql() -> dict[str, str]:
     o["error_class"] = _sql(classes, TRIPS, TEXT, CORE_OF_TEXT, flags, _rejected())
     o["error_class_documented"] = _sql(classes, TRIPS, TEXT, CORE_OF_TEXT, doc, _rejected(PASS, "documented"))
     o["flagged_rows"] = _sql(f"SELECT {WITH_DATES} FROM flagged", TRIPS, CORE, flags_fail)
+    o["sql_flagged_rows"] = o["flagged_rows"]
     o["quarantine_rows"] = _sql(f"SELECT {WITH_DATES} FROM rejected", TRIPS, CORE, flags, _rejected())
     o["split_valid"] = _sql("SELECT * FROM trusted", *valid)
     o["split_quarantine"] = _sql(f"SELECT {WITH_DATES} FROM flagged WHERE tem_erro = 1", TRIPS, CORE, flags)
@@ -537,6 +538,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         TRIPS, CORE, doc_fail, _metrics("documented"),
     )
+    o["sql_report"] = o["report_long"]
     o["run_summary"] = _sql(
         "SELECT count(*) AS registros_quarentena, count(*) FILTER (tipo_erro = 'ERRO_TIPAGEM') AS erros_tipagem, "
         "count(*) FILTER (tipo_erro = 'ERRO_LOGICA_NEGOCIO') AS erros_logica_negocio FROM rejected",

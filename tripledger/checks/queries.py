@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from tripledger.checks.scratch import lake
 from tripledger.functions import months
 from tripledger.functions.columns import whole_seconds
 from tripledger.operators import conform as cf
-from tripledger.operators import gates, metrics, rollups
+from tripledger.operators import gates, metrics, rollups, sql_surface
 from tripledger.operators.merge import insert_only_merge
 from tripledger.operators.publish import publish, sweep, write_run
 from tripledger.operators.rules import (
@@ -367,6 +368,24 @@ def _(spark, sf_dir):
     return flagged(spark, sf_dir, FAILING)
 
 
+def in_sql(spark: SparkSession, rows: DataFrame, statement: str, pack: str = "coded") -> DataFrame:
+    """A statement over the SQL functions of the rules, declared for these rows."""
+    view = f"trips_{uuid.uuid4().hex[:12]}"
+    rows.createOrReplaceTempView(view)
+    sql_surface.register(spark, view, FAILING, pack)
+    return spark.sql(statement)
+
+
+@query("sql_flagged_rows")
+def _(spark, sf_dir):
+    return in_sql(spark, core(spark, sf_dir), "SELECT * EXCEPT (flags) FROM flagged_trips()")
+
+
+@query("sql_report")
+def _(spark, sf_dir):
+    return in_sql(spark, core(spark, sf_dir), "SELECT * FROM trip_report()", "documented")
+
+
 @query("quarantine_rows")
 def _(spark, sf_dir):
     return rejected(spark, sf_dir)
