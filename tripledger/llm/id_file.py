@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import stored, texts_of
+from tripledger.llm.common import discard, stored, texts_of
 from tripledger.llm.tokens import Encoder, in_steps
 from tripledger.session import work_folder
 
@@ -255,12 +255,14 @@ def write(
             yield pd.DataFrame([about])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = stored(rows.where("doc_id is not null").mapInPandas(encoded, "doc_id long, size long, ids binary"), "encoded")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    rows = rows.withColumn("tie", F.monotonically_increasing_id())  # an id that many rows repeat is spread too
+    coded = stored(rows.where("doc_id is not null").mapInPandas(encoded, "doc_id long, size long, ids binary"), "encoded")
+    total = coded.agg(F.sum("size")).first()[0] or 0
+    rows = coded.withColumn("tie", F.monotonically_increasing_id())  # an id that many rows repeat is spread too
     rows = rows.repartitionByRange(shards or max(1, -(-total // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id")
     schema = "url string, first_key long, last_key long, documents long, ids long"
-    return stored(rows.select("doc_id", "ids").mapInPandas(written, schema), "manifest")
+    files = stored(rows.select("doc_id", "ids").mapInPandas(written, schema), "manifest")
+    discard(coded)
+    return files
 
 
 def read(files: DataFrame) -> DataFrame:
