@@ -27,14 +27,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
-def stored(rows: DataFrame, purpose: str) -> DataFrame:
+def stored(rows: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
     """The rows written below ``spark.checkpoint.dir`` and read again.
 
-    Cuts the lineage in a place every executor sees, so a lost executor costs no earlier work.
+    Cuts the lineage in a place every executor sees, so a lost executor costs no earlier work. ``codec``: the files'
+    compression, where the session's is not wanted.
     """
     place = f"{work_folder(rows.sparkSession, purpose)}/rows"
     with setting(rows.sparkSession, _BATCH, BATCH_ROWS):
-        rows.write.parquet(place)
+        rows.write.parquet(place, compression=codec)
     return rows.sparkSession.read.schema(rows.schema).parquet(place)
 
 

@@ -255,7 +255,7 @@ def write(
             yield pd.DataFrame([about])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    coded = stored(rows.where("doc_id is not null").mapInPandas(encoded, "doc_id long, size long, ids binary"), "encoded")
+    coded = stored(rows.where("doc_id is not null").mapInPandas(encoded, "doc_id long, size long, ids binary"), "encoded", "zstd")
     total = coded.agg(F.sum("size")).first()[0] or 0
     rows = coded.withColumn("tie", F.monotonically_increasing_id())  # an id that many rows repeat is spread too
     rows = rows.repartitionByRange(shards or max(1, -(-total // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id")
