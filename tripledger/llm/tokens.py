@@ -14,6 +14,8 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
 from tripledger.llm.common import sole_memory
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -36,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.remembered, self.code = remembered, _CODES[width]
+        self.remembered, self.width, self.code = remembered, width, _CODES[width]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -59,6 +61,15 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [self.packed(e.ids) for e in found]
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """Per piece its ids. The library takes them as the words of one text, which it encodes apart from each other: about
+        half the work of as many texts."""
+        found = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        raw = self.packed(found.ids)
+        sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces)) * self.width
+        ends = np.cumsum(sizes).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned integers."""
         out: list[bytes] = [b""] * len(texts)
@@ -92,7 +103,7 @@ class Encoder:
                 new.append(piece)
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
-            for piece, ids in zip(some, self._raw(some), strict=True):
+            for piece, ids in zip(some, self._each(some), strict=True):
                 missing[piece] = ids
                 if len(piece) <= 64:
                     self._keep(piece, ids)
