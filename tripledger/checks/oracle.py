@@ -619,6 +619,7 @@ def oracle_sql() -> dict[str, str]:
     hourly = HOURLY.format(first="1997-05-01", until="1997-06-01")
     hours = "SELECT hora_do_dia, media_passageiros, total_corridas FROM ({}) ORDER BY hora_do_dia"
     o["hourly_passengers"] = _sql(hourly, *valid)
+    o["monthly_amount_kept"], o["hourly_passengers_kept"] = o["monthly_amount"], o["hourly_passengers"]
     o["hourly_passengers_short"] = _sql(hours.format(hourly), *valid)
     o["hourly_events"] = _sql(
         hours.format(HOURLY.format(first="2024-01-01", until="2024-02-01")),
@@ -636,6 +637,14 @@ def oracle_sql() -> dict[str, str]:
         "FROM trusted WHERE total_amount > 0 AND passenger_count > 0",
         *valid,
     )
+    o["profiles_kept"] = _sql(
+        "SELECT count(*) AS total_registros, count(DISTINCT vendor_id) AS vendors_unicos, min(tpep_pickup_datetime) AS primeira_corrida, "
+        "max(tpep_pickup_datetime) AS ultima_corrida, CAST(NULL AS DOUBLE) AS media_valor, CAST(NULL AS DOUBLE) AS media_passageiros "
+        "FROM trusted UNION ALL "
+        "SELECT count(*), count(DISTINCT vendor_id), NULL, NULL, round(avg(total_amount), 2), round(avg(passenger_count), 2) "
+        "FROM trusted WHERE total_amount > 0 AND passenger_count > 0",
+        *valid,
+    )
     o["coverage_profile"] = _sql(
         "SELECT 'Total de Registros' AS metrica, CAST(count(*) AS VARCHAR) AS valor FROM trips UNION ALL "
         "SELECT 'Período Coberto', CAST(min(date_reference) AS VARCHAR) || ' até ' || "

@@ -15,7 +15,7 @@ from tripledger.checks.scratch import lake
 from tripledger.functions import months
 from tripledger.functions.columns import whole_seconds
 from tripledger.operators import conform as cf
-from tripledger.operators import gates, metrics, rollups, sql_surface
+from tripledger.operators import gates, kept, metrics, rollups, sql_surface
 from tripledger.operators.merge import insert_only_merge
 from tripledger.operators.publish import publish, sweep, write_run
 from tripledger.operators.rules import (
@@ -704,6 +704,36 @@ def _(spark, sf_dir):
     )
 
 
+def kept_table(spark: SparkSession, sf_dir: str, place) -> DataFrame:
+    """Partial aggregates kept over a trusted table that grows: the later months come after a first refresh."""
+    rows = with_pickup_month(trusted(spark, sf_dir))
+    table, late = place.trusted(), F.col(n.PICKUP_MONTH) >= "1997-03-01"
+    kept.create_kept(spark, place.name("kept"), place.place("kept"))
+    for some in (rows.where(~late), rows.where(late)):
+        append(arrange(some, (n.PICKUP_MONTH,)), table)
+        kept.refresh(spark, table, place.name("kept"))
+    return place.files("kept")
+
+
+@query("monthly_amount_kept")
+def _(spark, sf_dir):
+    with lake(spark) as place:
+        return kept.monthly_amount(kept_table(spark, sf_dir, place), 1997, (1, 5))
+
+
+@query("hourly_passengers_kept")
+def _(spark, sf_dir):
+    with lake(spark) as place:
+        return kept.hourly_passengers(kept_table(spark, sf_dir, place), 1997, 5)
+
+
+@query("profiles_kept")
+def _(spark, sf_dir):
+    with lake(spark) as place:
+        rows = kept_table(spark, sf_dir, place)
+        return kept.trusted_profile(rows).unionByName(kept.clean_profile(rows), allowMissingColumns=True)
+
+
 @query("hourly_events")
 def _(spark, sf_dir):
     """The same rollup over the supplied events: value per hour of January 2024."""
