@@ -205,6 +205,20 @@ def test_pages_come_back_from_the_archives(spark):
     assert warc.read_back(spark, warc.write(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_revisits_name_the_record_of_their_response(spark):
+    files = [r.url for r in warc.write(spark.createDataFrame(pages(), PAGES).repartition(3)).collect()]
+    found = warc.read(spark, files).collect()
+    responses = {r.record_id: r for r in found if r.record_type == "response"}
+    revisits = [r for r in found if r.record_type == "revisit"]
+    assert len(revisits) == 3 and all(r.refers_to is None for r in responses.values())
+    for r in revisits:
+        named = responses[r.refers_to]
+        assert (named.page_id, named.payload_digest) == (r.refers_to_page, r.payload_digest)
+    raw = warc.page_record(7, "http://a/7", b"x", "d", 3, "2024-01-01T00:00:00Z", "http://a/3").decode()
+    assert "WARC-Refers-To-Target-URI: http://a/3\r\n" in raw and "WARC-Refers-To-Date: 2024-01-01T00:00:00Z\r\n" in raw
+    assert "Refers-To-Target-URI" not in warc.page_record(7, "http://a/7", b"x", "d", 3, "2024-01-01T00:00:00Z", None).decode()
+
+
 def test_filters_are_pushed_down_and_bodies_skipped(spark):
     files = [r.url for r in warc.write(spark.createDataFrame(pages(), PAGES).coalesce(1)).collect()]
     found = warc.read(spark, files)

@@ -92,8 +92,10 @@ def _named(page_id: int | None, url: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, about)}>"
 
 
-def page_record(page_id: int | None, url: str | None, body: bytes, digest: str, first: int | None, date: str) -> bytes:
-    """A response, or with ``first`` a revisit of that page's record."""
+def page_record(
+    page_id: int | None, url: str | None, body: bytes, digest: str, first: int | None, date: str, first_url: str | None = None
+) -> bytes:
+    """A response, or with ``first`` a revisit of that page's record, which had ``first_url``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     headers = {
         "WARC-Type": "response" if first is None else "revisit",
@@ -105,7 +107,13 @@ def page_record(page_id: int | None, url: str | None, body: bytes, digest: str,
         "Page-ID": None if page_id is None else str(page_id),
     }
     if first is not None:
-        headers |= {"WARC-Profile": SAME_BODY, "Refers-To-Page-ID": str(first)}
+        headers |= {
+            "WARC-Profile": SAME_BODY,
+            "WARC-Refers-To": _named(first, first_url, digest),
+            "WARC-Refers-To-Target-URI": first_url,
+            "WARC-Refers-To-Date": date,
+            "Refers-To-Page-ID": str(first),
+        }
     return record(headers, http if first is not None else http + body)
 
 
@@ -113,19 +121,22 @@ def page_record(page_id: int | None, url: str | None, body: bytes, digest: str,
 
 
 def with_firsts(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
-    """``page_id``, ``url``, ``body``, ``digest`` and, where the page revisits another, ``first``.
+    """``page_id``, ``url``, ``body``, ``digest`` and, where the page revisits another, ``first`` and ``first_url``.
 
-    Every row that carries the least ``page_id`` of its body is a response, and so are rows without ``page_id``.
+    Every row that carries the least ``page_id`` of its body is a response, and so are rows without ``page_id``. Of several such
+    rows with different URLs, revisits name the least URL, null before others.
     """
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha2("body", 256))
     keyed = rows.where((F.octet_length("body") >= smallest) & F.col("page_id").isNotNull())
-    firsts = keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    firsts = keyed.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
     # Stored, so that the join below shuffles plain rows and a body with very many copies can be split.
-    firsts = stored(firsts.where("copies > 1").select("digest", "first"), "first-pages")
-    first = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    return rows.join(firsts, "digest", "left").select("page_id", "url", "body", "digest", first.alias("first"))
+    told = [F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")]
+    firsts = stored(firsts.where("copies > 1").select("digest", *told), "first-pages")
+    again = F.col("first") < F.col("page_id")
+    named = [F.when(again, F.col(c)).alias(c) for c in ("first", "first_url")]
+    return rows.join(firsts, "digest", "left").select("page_id", "url", "body", "digest", *named)
 
 
 def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -140,14 +151,14 @@ def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", file_bytes: int
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, done, url, size, records = None, [], "", 0, 0
         for batch in batches:
-            columns = (batch[c].tolist() for c in ("page_id", "url", "body", "digest", "first"))
-            for page_id, target, body, digest, first in zip(*columns, strict=True):
+            columns = (batch[c].tolist() for c in ("page_id", "url", "body", "digest", "first", "first_url"))
+            for page_id, target, body, digest, first, first_url in zip(*columns, strict=True):
                 if out is None:
                     url, size, records = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = _open(url, write=True)
                     about = record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
                     out.write(member(about))
-                packed = member(page_record(_number(page_id), _text(target), bytes(body), digest, _number(first), date))
+                packed = member(page_record(_number(page_id), _text(target), bytes(body), digest, _number(first), date, _text(first_url)))
                 out.write(packed)
                 size, records = size + len(packed), records + 1
                 if size >= file_bytes:
@@ -347,6 +358,8 @@ class WarcSource(DataSource):
 
 
 def read(spark: SparkSession, files: list[str], payload: bool = True) -> DataFrame:
+    """The records of the files. Filters reach them only with ``spark.sql.python.filterPushdown.enabled``, which is read when the
+    query runs, after this function, and is therefore set for the whole session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     options = {"files": json.dumps(files), "payload": str(payload).lower()}
