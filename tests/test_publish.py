@@ -150,3 +150,27 @@ def test_a_table_without_partitions_cannot_be_published(spark, lake):
     create_table(spark, lake.name("flat"), KEYED, location=lake.place("flat"))
     with pytest.raises(ValueError, match="no partitions"):
         write_run(frame(spark, []), lake.name("flat"))
+
+
+def test_a_bucketed_merge_meets_groups_of_partitions_apart(spark, lake, monkeypatch):
+    monkeypatch.setattr(merge, "MET_AT_ONCE", 30)
+    t = table(lake, bucket_by=("k",), buckets=2)
+    rows = [(k, float(k % 3), k % 10) for k in range(400)] + [(1, 1.0, None)] * 3
+    insert_only_merge(frame(spark, rows[:300]), t, ["k", "a"], prune_on="m")
+    met, tasks, plain = [], [], merge.lacking_copies
+
+    def noted(source, target, *more, **options):
+        met.append(target.count())
+        return plain(source, target, *more, **options)
+
+    def write(found, name):
+        tasks.append(found.rdd.getNumPartitions())
+        merge.append(found, name)
+
+    monkeypatch.setattr(merge, "lacking_copies", noted)
+    insert_only_merge(frame(spark, rows), t, ["k", "a"], prune_on="m", write=write)
+    assert rows_of(spark, t) == Counter(rows)
+    assert met == [30] * 10 and tasks[0] >= 10 * 2  # a task per group and bucket, not per bucket
+    insert_only_merge(frame(spark, rows), t, ["k", "a"], prune_on="m", resume=True)
+    assert rows_of(spark, t) == Counter(rows)
+    assert [x.name for x in spark.catalog.listTables(lake.schema)] == ["t"]

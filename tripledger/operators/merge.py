@@ -7,7 +7,9 @@ change. One writer at a time: the check and the append are two steps.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -15,14 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger import names as n
-from tripledger.operators.writers import append, arrange
+from tripledger.operators.writers import append, arrange, gather
 from tripledger.session import setting, work_folder
-from tripledger.sources.tables import bucket_columns, bucket_count, partition_values
+from tripledger.sources.tables import bucket_columns, bucket_count, create_table, partition_values
 
 #: Lets a join on more columns use a table's buckets by some of them.
 BY_SOME_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Off, the parts of a union keep tasks of their own although they lie in the same buckets.
+ALIKE_TOGETHER = "spark.sql.unionOutputPartitioning"
 #: Copies of a row are repeated in arrays of this length.
 STRETCH = 10_000
+#: Rows of both sides that a task of a bucketed merge meets, unless a bucket of one partition holds more.
+MET_AT_ONCE = 500_000
 
 
 def _same_key(left: str, right: str, keys: list[str], null_safe: bool) -> Column:
@@ -131,6 +137,72 @@ def lacking_copies(
     return met.withColumn("copy", F.explode(F.array_repeat(F.lit(0), here))).select(*source.columns)
 
 
+@contextmanager
+def laid_alike(rows: DataFrame, table: str, prune_on: str, buckets: tuple[int, list[str]]) -> Iterator[DataFrame]:
+    """The rows stored below the shared folder, with the partitions and buckets of the table; their catalog entry goes at the end."""
+    spark = rows.sparkSession
+    name = f"{table}__run_{uuid.uuid4().hex[:12]}"  # named like a run, so that ``sweep`` finds the entry of a lost driver
+    place = f"{work_folder(spark, 'batch')}/rows"
+    create_table(spark, name, rows.schema, (prune_on,), "rows of a batch", place, bucket_by=tuple(buckets[1]), buckets=buckets[0])
+    try:
+        append(_gathered(rows, prune_on, buckets), name)
+        yield spark.table(name).select(*rows.columns)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", {"name": name})
+
+
+def _gathered(rows: DataFrame, prune_on: str, buckets: tuple[int, list[str]]) -> DataFrame:
+    """Few files per partition and bucket; as many tasks as the rows need, not as there are buckets."""
+    cut = rows.withColumn("cut", F.pmod(F.hash(*buckets[1]), F.lit(buckets[0])))
+    return gather(cut, prune_on, "cut").drop("cut")
+
+
+def _steps(sides: list[DataFrame], column: str, most: int) -> list[set[str | None]]:
+    """The partitions in groups of about ``most`` rows of all sides together."""
+    each = reduce(DataFrame.unionAll, [side.select(F.col(column).cast("string").alias("value")) for side in sides])
+    steps, held = [], most
+    for value, size in sorted(each.groupBy("value").count().collect(), key=lambda r: (r[0] is None, r[0])):
+        if held + size > most:
+            steps.append(set())
+            held = 0
+        steps[-1].add(value)
+        held += size
+    return steps
+
+
+def lacking_by_steps(
+    batch: DataFrame, target: DataFrame, keys: list[str], resume: bool, prune_on: str, buckets: tuple[int, list[str]]
+) -> DataFrame:
+    """``lacking_copies`` of a batch that is laid out like the target.
+
+    A bucketed scan has one task per bucket, however many partitions it reads. Groups of partitions therefore meet in joins
+    of their own, none of which shuffles anything: with ``ALIKE_TOGETHER`` off, tasks grow in number with the rows, not in size.
+    """
+    kind = target.schema[prune_on].dataType
+    found = []
+    for step in _steps([batch, target], prune_on, MET_AT_ONCE * buckets[0]):
+        inside = _among(prune_on, step, kind)
+        found.append(lacking_copies(batch.where(inside), target.where(inside), keys, resume, buckets=buckets))
+    return reduce(DataFrame.unionByName, found) if found else batch
+
+
+def _merge_bucketed(rows, table, target, keys, prune_on, brought, resume, buckets, write) -> object:
+    """Rows of partitions that the target lacks pass as they are; the others are stored in its layout and meet it by steps."""
+    kind = target.schema[prune_on].dataType
+    stored = partition_values(rows.sparkSession, table, prune_on)
+    if not stored:
+        return write(_gathered(rows, prune_on, buckets), table)
+    brought = _values(rows, prune_on) if brought is None else brought
+    fresh, joined = brought - stored, brought & stored
+    new = _gathered(rows.where(_among(prune_on, fresh, kind)), prune_on, buckets)
+    if not joined:
+        return write(new, table)
+    inside = _among(prune_on, joined, kind)
+    with laid_alike(rows.where(inside), table, prune_on, buckets) as batch:
+        met = lacking_by_steps(batch, target.where(inside), keys, resume, prune_on, buckets)
+        return write(met.unionByName(new) if fresh else met, table)
+
+
 def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
     """Target columns in target types; a column the source lacks is NULL."""
     have = set(source.columns)
@@ -170,8 +242,8 @@ def insert_only_merge(
 ) -> object:
     """Append to ``table`` the source rows whose key it does not hold.
 
-    A table bucketed by some of the keys is met where it lies: only the source is shuffled, to the table's buckets. ``resume``
-    repeats a batch whose append broke: of each row as many copies are added as are missing. That needs all
+    A table bucketed by some of the keys is met where it lies: only the source is shuffled, to the table's buckets. With ``prune_on``
+    it is stored in them first, and groups of partitions meet one another, see ``lacking_by_steps``. ``resume`` repeats a batch whose append broke: of each row as many copies are added as are missing. That needs all
     columns in the key, but for ``prune_on``. ``write`` takes the new rows and the table; its result is returned.
 
     ``prune_on`` names a partition column that follows from the key: only partitions
@@ -190,11 +262,14 @@ def insert_only_merge(
     if resume or bucketed:
         if dedupe_source:
             rows = rows.dropDuplicates()
+        buckets = (bucket_count(spark, table), by) if bucketed else None
+        if bucketed and prune_on:
+            with setting(spark, BY_SOME_KEYS, "false"), setting(spark, ALIKE_TOGETHER, "false"):
+                return _merge_bucketed(rows, table, target, keys, prune_on, brought, resume, buckets, write)
         if prune_on:
             brought = _values(rows, prune_on) if brought is None else brought
             joined = brought & partition_values(spark, table, prune_on)
             target = target.where(_among(prune_on, joined, target.schema[prune_on].dataType)) if joined else None
-        buckets = (bucket_count(spark, table), by) if bucketed else None
         with setting(spark, BY_SOME_KEYS, "false"):
             rows = lacking_copies(rows, target, keys, resume, null_safe, buckets)
             return write(rows if bucketed else arrange(rows, *layout), table)

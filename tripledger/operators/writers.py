@@ -20,8 +20,12 @@ def arrange(df: DataFrame, partition_by: tuple[str, ...], sort_by: tuple[str, ..
     """
     if not partition_by:
         return df
-    gathered = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    return gathered.sortWithinPartitions(*partition_by, *sort_by)
+    return gather(df, *partition_by).sortWithinPartitions(*partition_by, *sort_by)
+
+
+def gather(df: DataFrame, *by: str) -> DataFrame:
+    """The gathering of ``arrange`` alone, for writers that sort by themselves."""
+    return df.hint("rebalance", *[F.col(c) for c in by])
 
 
 def append(df: DataFrame, table: str) -> None:
