@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tripledger.operators import merge
 from tripledger.operators.merge import held_keys, insert_only_merge, new_rows
 from tripledger.sources.tables import create_table, partition_values
 
@@ -146,3 +147,27 @@ def test_only_touched_partitions_of_the_target_are_read(spark, lake):
     assert len(inside.inputFiles()) == 2
     found = new_rows(source, spark.table(name), ["k", "v"], prune_on="k")
     assert [tuple(r) for r in found.collect()] == [(4, 1)]
+
+
+@pytest.mark.parametrize("way", [{}, {"resume": True}, {"buckets": 2}])
+def test_a_row_of_very_many_copies_is_written_by_several_tasks(spark, lake, monkeypatch, way):
+    monkeypatch.setattr(merge, "HEAVY", 1000)
+    monkeypatch.setattr(merge, "AT_ONCE", 2000)
+    monkeypatch.setattr(merge, "STRETCH", 100)
+    options = {"bucket_by": ("k",), "buckets": 2} if "buckets" in way else {}
+    name = table(lake, partition_by=("v",), **options)
+    often = F.col("id") % 3 == 0
+    rows = spark.range(0, 30000, numPartitions=4).select(
+        F.when(often, -1).otherwise(F.col("id")).cast("int").alias("k"),
+        F.when(often, 1).otherwise(F.col("id") % 5).cast("int").alias("v"),
+    )
+    most = []
+
+    def write(found, to):
+        most.append(found.where("k = -1").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        merge.append(found, to)
+
+    for _ in range(2):
+        insert_only_merge(rows, name, ["k"], prune_on="v", layout=(("v",), ()), resume="resume" in way, write=write)
+    assert Counter(map(tuple, spark.table(name).select("k", "v").collect())) == Counter(map(tuple, rows.collect()))
+    assert most[0] <= 2500 and most[1] is None

@@ -27,6 +27,9 @@ BY_SOME_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 ALIKE_TOGETHER = "spark.sql.unionOutputPartitioning"
 #: Copies of a row are repeated in arrays of this length.
 STRETCH = 10_000
+#: Copies of one row that go through a merge as one counted row, and are written by tasks of about ``AT_ONCE`` copies.
+HEAVY = 100_000
+AT_ONCE = 1_000_000
 #: Rows of both sides that a task of a bucketed merge meets, unless a bucket of one partition holds more.
 MET_AT_ONCE = 500_000
 
@@ -130,11 +133,61 @@ def lacking_copies(
         there = F.coalesce(F.col(held), F.lit(0))
         missing = F.col(count) - there if resume else F.when(there == 0, F.col(count))
         met = met.select(*[F.col(f"s.{c}") for c in source.columns], missing.alias(count)).where(F.col(count) > 0)
+    return _repeated(met, count).select(*source.columns)
+
+
+def _repeated(counted: DataFrame, count: str, tasks: int = 0) -> DataFrame:
+    """Each row as often as it counts; by that many tasks, if given, whatever lies in one now."""
     # Repeated in two steps: no array is as long as a row may have copies.
     full = F.floor((F.col(count) - 1) / STRETCH)
-    met = met.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), full)))
+    met = counted.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), full)))
+    met = met.repartition(tasks) if tasks else met
     here = F.least(F.col(count) - F.col("stretch") * STRETCH, F.lit(STRETCH)).cast("int")
-    return met.withColumn("copy", F.explode(F.array_repeat(F.lit(0), here))).select(*source.columns)
+    return met.withColumn("copy", F.explode(F.array_repeat(F.lit(0), here)))
+
+
+def _facts(rows: DataFrame, prune_on: str | None) -> tuple[set[str | None], dict[int, int]]:
+    """From one pass without a shuffle: the partitions the rows touch and, by hash, the rows of very many copies (of the hundred most
+    frequent) with about their number."""
+    told = rows.select(
+        F.xxhash64(*rows.columns).alias("row"), (F.col(prune_on) if prune_on else F.lit(None)).cast("string").alias("part")
+    ).agg(
+        F.expr("approx_top_k(row, 100, 10000)").alias("often"),
+        F.collect_set("part").alias("parts"),
+        F.bool_or(F.col("part").isNull()).alias("apart"),
+    ).first()
+    brought = set(told.parts) | ({None} if told.apart else set())
+    return brought, {r["item"]: r["count"] for r in told.often or [] if r["count"] >= HEAVY}
+
+
+def _heavy_copies(
+    rows: DataFrame, heavy: dict[int, int], target: DataFrame | None, keys: list[str], resume: bool, null_safe: bool
+) -> DataFrame:
+    """What ``lacking_copies`` gives for the rows of these hashes. They are few different ones, so the target's keys are only looked up.
+
+    Sizes in bytes do not show equal rows, which shuffle to next to nothing: adaptive execution would leave all of them to one task's sort.
+    """
+    count, held = "copies of the row", "copies held"
+    place = f"{work_folder(rows.sparkSession, 'heavy')}/rows"
+    counted = rows.where(F.xxhash64(*rows.columns).isin(list(heavy))).groupBy(*rows.columns).agg(F.count("*").alias(count))
+    counted.write.parquet(place)
+    counted = rows.sparkSession.read.schema(counted.schema).parquet(place)
+    if target is not None:
+        same = _same_key("t", "s", keys, null_safe)
+        stored = target.select(*keys).alias("t").join(F.broadcast(counted.alias("s")), same, "left_semi")
+        stored = stored.groupBy(*keys).agg(F.count("*").alias(held))
+        met = counted.alias("s").join(F.broadcast(stored.alias("t")), _same_key("s", "t", keys, null_safe), "left")
+        there = F.coalesce(F.col(held), F.lit(0))
+        missing = F.col(count) - there if resume else F.when(there == 0, F.col(count))
+        counted = met.select(*[F.col(f"s.{c}") for c in rows.columns], missing.alias(count)).where(F.col(count) > 0)
+    return _repeated(counted, count, -(-sum(heavy.values()) // AT_ONCE)).select(*rows.columns)
+
+
+def _arranged(rows: DataFrame, heavy: DataFrame | None, layout: tuple[tuple[str, ...], tuple[str, ...]]) -> DataFrame:
+    """``arrange`` of both; the heavy rows keep their tasks."""
+    if heavy is None or not layout[0]:
+        return arrange(rows if heavy is None else rows.unionByName(heavy), *layout)
+    return gather(rows, *layout[0]).unionByName(heavy).sortWithinPartitions(*layout[0], *layout[1])
 
 
 @contextmanager
@@ -186,21 +239,20 @@ def lacking_by_steps(
     return reduce(DataFrame.unionByName, found) if found else batch
 
 
-def _merge_bucketed(rows, table, target, keys, prune_on, brought, resume, buckets, write) -> object:
+def _merge_bucketed(rows, heavy, table, target, keys, prune_on, brought, stored, resume, buckets, write) -> object:
     """Rows of partitions that the target lacks pass as they are; the others are stored in its layout and meet it by steps."""
     kind = target.schema[prune_on].dataType
-    stored = partition_values(rows.sparkSession, table, prune_on)
-    if not stored:
-        return write(_gathered(rows, prune_on, buckets), table)
-    brought = _values(rows, prune_on) if brought is None else brought
     fresh, joined = brought - stored, brought & stored
-    new = _gathered(rows.where(_among(prune_on, fresh, kind)), prune_on, buckets)
+    parts = [] if heavy is None else [heavy]
+    if fresh or not joined:
+        new = rows.where(_among(prune_on, fresh, kind)) if stored else rows
+        parts.append(_gathered(new, prune_on, buckets))
     if not joined:
-        return write(new, table)
+        return write(reduce(DataFrame.unionByName, parts), table)
     inside = _among(prune_on, joined, kind)
     with laid_alike(rows.where(inside), table, prune_on, buckets) as batch:
-        met = lacking_by_steps(batch, target.where(inside), keys, resume, prune_on, buckets)
-        return write(met.unionByName(new) if fresh else met, table)
+        parts.append(lacking_by_steps(batch, target.where(inside), keys, resume, prune_on, buckets))
+        return write(reduce(DataFrame.unionByName, parts), table)
 
 
 def _aligned(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -243,8 +295,9 @@ def insert_only_merge(
     """Append to ``table`` the source rows whose key it does not hold.
 
     A table bucketed by some of the keys is met where it lies: only the source is shuffled, to the table's buckets. With ``prune_on``
-    it is stored in them first, and groups of partitions meet one another, see ``lacking_by_steps``. ``resume`` repeats a batch whose append broke: of each row as many copies are added as are missing. That needs all
-    columns in the key, but for ``prune_on``. ``write`` takes the new rows and the table; its result is returned.
+    it is stored in them first, and groups of partitions meet one another, see ``lacking_by_steps``. Rows that the source has
+    very often are counted apart and written by tasks of their own. ``resume`` repeats a batch whose append broke: of each row as many copies
+    are added as are missing. That needs all columns in the key, but for ``prune_on``. ``write`` takes the new rows and the table; its result is returned.
 
     ``prune_on`` names a partition column that follows from the key: only partitions
     the batch touches are then read. ``brought`` lists the batch's partitions if they are known, a
@@ -259,24 +312,33 @@ def insert_only_merge(
     bucketed = bool(by) and set(by) <= set(keys) and not null_safe
     if resume and set(rows.columns) - {prune_on, n.RUN} != set(keys):
         raise ValueError("to resume, the key must be all columns")
+    heavy, copies = {}, None
+    if dedupe_source and (resume or bucketed):
+        rows = rows.dropDuplicates()
+    elif not dedupe_source and "map<" not in rows.schema.simpleString():  # maps can't be compared
+        found, heavy = _facts(rows, prune_on)
+        brought = found if brought is None else brought
+    stored = partition_values(spark, table, prune_on) if prune_on else set()
+    if prune_on and brought is None and (stored or resume or bucketed):
+        brought = _values(rows, prune_on)
+    joined = brought & stored if prune_on and brought else set()
+    within = target.where(_among(prune_on, joined, target.schema[prune_on].dataType)) if joined else None if prune_on else target
+    if heavy:
+        copies = _heavy_copies(rows, heavy, within, keys, resume, null_safe)
+        rows = rows.where(~F.xxhash64(*rows.columns).isin(list(heavy)))
     if resume or bucketed:
-        if dedupe_source:
-            rows = rows.dropDuplicates()
         buckets = (bucket_count(spark, table), by) if bucketed else None
-        if bucketed and prune_on:
-            with setting(spark, BY_SOME_KEYS, "false"), setting(spark, ALIKE_TOGETHER, "false"):
-                return _merge_bucketed(rows, table, target, keys, prune_on, brought, resume, buckets, write)
-        if prune_on:
-            brought = _values(rows, prune_on) if brought is None else brought
-            joined = brought & partition_values(spark, table, prune_on)
-            target = target.where(_among(prune_on, joined, target.schema[prune_on].dataType)) if joined else None
-        with setting(spark, BY_SOME_KEYS, "false"):
-            rows = lacking_copies(rows, target, keys, resume, null_safe, buckets)
-            return write(rows if bucketed else arrange(rows, *layout), table)
+        with setting(spark, BY_SOME_KEYS, "false"), setting(spark, ALIKE_TOGETHER, "false"):
+            if bucketed and prune_on:
+                return _merge_bucketed(rows, copies, table, target, keys, prune_on, brought, stored, resume, buckets, write)
+            rows = lacking_copies(rows, within, keys, resume, null_safe, buckets)
+            if bucketed:
+                return write(rows if copies is None else rows.unionByName(copies), table)
+            return write(_arranged(rows, copies, layout), table)
     if prune_on:
-        rows = new_rows(rows, target, keys, null_safe, prune_on, brought, partition_values(spark, table, prune_on))
+        rows = new_rows(rows, target, keys, null_safe, prune_on, brought, stored)
     elif not target.isEmpty():
         rows = new_rows(rows, target, keys, null_safe)
     if dedupe_source:
         rows = rows.dropDuplicates()
-    return write(arrange(rows, *layout), table)
+    return write(_arranged(rows, copies, layout), table)
