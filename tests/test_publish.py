@@ -174,3 +174,19 @@ def test_a_bucketed_merge_meets_groups_of_partitions_apart(spark, lake, monkeypa
     insert_only_merge(frame(spark, rows), t, ["k", "a"], prune_on="m", resume=True)
     assert rows_of(spark, t) == Counter(rows)
     assert [x.name for x in spark.catalog.listTables(lake.schema)] == ["t"]
+
+
+def test_both_sides_of_a_resumed_merge_are_shuffled_once(spark, lake):
+    t = table(lake)
+    rows = [(k % 30, 1.0, k % 30 % 3) for k in range(90)] + [(None, 2.0, None)] * 2
+    plans = []
+
+    def write(found, name):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        merge.append(found, name)
+
+    merge.append(frame(spark, rows[:40]), t)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        insert_only_merge(frame(spark, rows), t, ["k", "a"], prune_on="m", resume=True, write=write)
+    assert rows_of(spark, t) == Counter(rows)
+    assert plans[0].count("Exchange hashpartitioning") == 1  # of both sides, each once

@@ -136,6 +136,22 @@ def lacking_copies(
     return _repeated(met, count).select(*source.columns)
 
 
+def missing_copies(source: DataFrame, target: DataFrame | None, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """What ``lacking_copies`` gives to resume where all other columns follow from the key: both sides are counted in one grouping by it.
+
+    Each side is combined and shuffled once. A join would shuffle both again: it takes keys of floating point in a form of its own.
+    """
+    count, held = "copies of the row", "copies held"
+    follow = [c for c in source.columns if c not in keys]
+    sides = source.withColumns({count: F.lit(1), held: F.lit(0)})
+    if target is not None:
+        stored = target if null_safe else target.dropna(subset=keys)
+        unknown = [F.lit(None).cast(source.schema[c].dataType).alias(c) for c in follow]
+        sides = sides.unionByName(stored.select(*keys, *unknown, F.lit(0).alias(count), F.lit(1).alias(held)))
+    counted = sides.groupBy(*keys).agg((F.sum(count) - F.sum(held)).alias(count), *[F.max(c).alias(c) for c in follow])
+    return _repeated(counted.where(F.col(count) > 0), count).select(*source.columns)
+
+
 def _repeated(counted: DataFrame, count: str, tasks: int = 0) -> DataFrame:
     """Each row as often as it counts; by that many tasks, if given, whatever lies in one now."""
     # Repeated in two steps: no array is as long as a row may have copies.
@@ -331,7 +347,10 @@ def insert_only_merge(
         with setting(spark, BY_SOME_KEYS, "false"), setting(spark, ALIKE_TOGETHER, "false"):
             if bucketed and prune_on:
                 return _merge_bucketed(rows, copies, table, target, keys, prune_on, brought, stored, resume, buckets, write)
-            rows = lacking_copies(rows, within, keys, resume, null_safe, buckets)
+            if resume and not bucketed:
+                rows = missing_copies(rows, within, keys, null_safe)
+            else:
+                rows = lacking_copies(rows, within, keys, resume, null_safe, buckets)
             if bucketed:
                 return write(rows if copies is None else rows.unionByName(copies), table)
             return write(_arranged(rows, copies, layout), table)
