@@ -100,7 +100,7 @@ def write_quarantine(rejected: DataFrame, job: TrustedLoad) -> Run | None:
 def load_trusted(spark: SparkSession, job: TrustedLoad) -> RunResult:
     """Stage, check, gate, write valid and rejected rows, summarise, empty the staging table.
 
-    The staging table is read three times: for the metrics, the valid and the rejected rows. The trusted
+    The staging table is read for the metrics, the valid rows (and before, for rows of very many copies) and the rejected rows. The trusted
     table's keys are read once, in the months the batch has too. All moments are UTC, whatever the
     session's zone. A failed gate raises before either write and leaves the staging table as it is.
     The flagged rows and their metrics can be queried by SQL as temporary views; the view
