@@ -42,6 +42,16 @@ def test_ids_are_those_of_the_library(tokenizer, name):
     assert encoder.encode(many) == want == encoder.encode(many)
 
 
+@pytest.mark.parametrize(("name", "width", "alone"), [(BYTE, 4, "un,"), (WORD, 2, "un, x!! 12")])
+def test_new_pieces_that_begin_with_a_blank_are_encoded_together(tokenizer, name, width, alone):
+    encoder = Encoder(tokenizer(name), width=width)
+    slow, each = [], encoder._each
+    encoder._each = lambda pieces: slow.extend(pieces) or each(pieces)
+    many = ["un, deux\n\nÉtés x!! 12 " + " ".join(f"{a}ou{b}è" for a in "abçdé" for b in "tuvßÿ")]
+    assert encoder.encode(many) == [encoder.packed(encoder.library.encode(many[0], add_special_tokens=False).ids)]
+    assert {p.strip() for p in slow} == {"un", ",", *alone.split()[1:]}
+
+
 # ---------------------------------------------------------------- packing
 
 

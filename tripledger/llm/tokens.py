@@ -22,6 +22,10 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = r" \n\t\r"
 _PIECE = re.compile(rf"[{_BLANK}]*[{_LETTERS}]+(?![^.,{_BLANK}])|[.,]+(?=[{_BLANK}]|$)|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _UNUSUAL = re.compile(rf"[^\S{_BLANK}]|<\|")
+#: Pieces that begin with white space and hold more, and those of them that are one word: any number of them, one after the other, are
+#: encoded as each alone.
+_SPACED = re.compile(rf"[{_BLANK}]+[^{_BLANK}]+")
+_WORD = re.compile(rf"[{_BLANK}]+[{_LETTERS}]+")
 #: Pieces remembered per worker: twice this many at most.
 REMEMBERED = 250_000
 #: Codes of unsigned integers by their width in bytes.
@@ -41,6 +45,8 @@ class Encoder:
         self.remembered, self.width, self.code = remembered, width, _CODES[width]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.lengths, self.closes = self._edges()
+        self.joins = (_WORD if self.lengths is None else _SPACED).fullmatch
 
     @classmethod
     def at(cls, path: str, width: int = 4, remembered: int = REMEMBERED) -> Encoder:
@@ -57,6 +63,21 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
+    def _edges(self) -> tuple[np.ndarray | None, np.ndarray]:
+        """Per id the bytes it stands for, if ids spell a text byte by byte, and whether it ends a word."""
+        from tokenizers import pre_tokenizers
+
+        names = self.library.get_vocab()
+        size = max(names.values(), default=0) + 1
+        lengths, closes = np.zeros(size, np.int64), np.zeros(size, bool)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        for name, k in names.items():
+            lengths[k] = len(name)
+            closes[k] = bool(suffix) and name.endswith(suffix)
+        cut = self.library.pre_tokenizer
+        exact = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space
+        return lengths if exact and self.library.normalizer is None and not suffix else None, closes
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [self.packed(e.ids) for e in found]
@@ -70,6 +91,25 @@ class Encoder:
         ends = np.cumsum(sizes).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """``_each`` of pieces that ``joins`` allows, as one text that the library encodes the quick way: it tells no words, but
+        where a piece ends follows from the ids."""
+        found = self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids
+        ids = np.array(found, np.int64)
+        if self.lengths is not None:
+            ends = np.cumsum(self.lengths[ids])
+            wanted = np.cumsum([len(piece.encode()) for piece in pieces])
+            last = np.minimum(np.searchsorted(ends, wanted), len(ids) - 1)
+            sound = ends[-1] == wanted[-1] and (ends[last] == wanted).all()
+        else:
+            last = np.flatnonzero(self.closes[ids])
+            sound = len(last) == len(pieces) and last[-1] == len(ids) - 1
+        if not sound:
+            return self._each(pieces)
+        raw = self.packed(found)
+        edges = ((last + 1) * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *edges], edges, strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned integers."""
         out: list[bytes] = [b""] * len(texts)
@@ -80,7 +120,7 @@ class Encoder:
             ids = list(map(known, pieces))
             if None in ids:
                 holes = [j for j, found in enumerate(ids) if found is None]
-                missing.update((pieces[j], None) for j in holes)
+                missing.update(dict.fromkeys([pieces[j] for j in holes]))
                 open_texts.append((k, pieces, ids, holes))
             else:
                 out[k] = b"".join(ids)
@@ -93,20 +133,21 @@ class Encoder:
 
     def _find(self, missing: dict[str, bytes | None]) -> None:
         """Fills in the pieces' ids; a piece before which the cut could matter stays None."""
-        new = []
+        spaced, others = [], []
         for piece in missing:
             ids = self.old.get(piece)
             if ids is not None:
                 missing[piece] = ids
                 self._keep(piece, ids)
             elif not _UNUSUAL.search(piece):
-                new.append(piece)
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for piece, ids in zip(some, self._each(some), strict=True):
-                missing[piece] = ids
-                if len(piece) <= 64:
-                    self._keep(piece, ids)
+                (spaced if self.joins(piece) else others).append(piece)
+        for new, encoded in ((spaced, self._joined), (others, self._each)):
+            for k in range(0, len(new), 4096):
+                some = new[k : k + 4096]
+                for piece, ids in zip(some, encoded(some), strict=True):
+                    missing[piece] = ids
+                    if len(piece) <= 64:
+                        self._keep(piece, ids)
 
     def _keep(self, piece: str, ids: bytes) -> None:
         if len(self.young) >= self.remembered:
