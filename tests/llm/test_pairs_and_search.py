@@ -108,6 +108,17 @@ def test_awkward_rows(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id"]
 
 
+def test_workers_that_wait_keep_no_words(spark):
+    rows = [(k, f"word{k} other{k} " * 40) for k in range(200)]
+    jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+    def kept(batches):
+        for batch in batches:
+            yield batch.assign(id=len(jaccard._words))
+
+    assert {r[0] for r in spark.range(0, 64, 1, 8).mapInPandas(kept, "id long").collect()} == {0}
+
+
 def test_one_of_each_group_stays_in_its_own_columns(spark):
     text = " ".join(WORDS)
     rows = [(5, text), (3, text + " end"), (3, text + " end"), (9, "alone here"), (None, text), (8, None)]

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType
 
+from tripledger.llm.common import at_rest
+
 BITS = 1 << 27
 #: Bits of one row of the aggregate, fixed by Spark's bitmap functions.
 ROW_BITS = 32_768
@@ -44,6 +46,7 @@ def may_be_wanted(wanted: DataFrame, column: str, value: Column) -> Column:
     def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
             yield pd.Series(_hits(shared.value, values.to_numpy()))
+        at_rest()
 
     return test(value)
 
@@ -56,5 +59,6 @@ def those_maybe_wanted(wanted: DataFrame, column: str, values: Column) -> Column
     def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for arrays in batches:
             yield pd.Series([a[_hits(shared.value, a)] if len(a) else a for a in arrays], dtype=object)
+        at_rest()
 
     return kept(values)

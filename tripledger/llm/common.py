@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -87,6 +89,18 @@ def sole_memory(owner: str, clear: Callable[[], None] = lambda: None) -> None:
     _memories[owner] = clear
 
 
+def at_rest() -> None:
+    """For a task that ends: what this worker's allocators keep for later goes back to the system, so that workers waiting for
+    their next task leave the executor's memory to others."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others give back by themselves
+    if trim is not None:
+        trim(0)
+
+
 def fresh_name(columns: Iterable[str], wish: str) -> str:
     """A column name that clashes with none of ``columns``, however they are written."""
     taken = {c.lower() for c in columns}

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import fresh_name, small_batches, sole_memory, stored, texts_of, utf8
+from tripledger.llm.common import at_rest, fresh_name, small_batches, sole_memory, stored, texts_of, utf8
 from tripledger.llm.tokens import in_steps
 
 WIDTH = 10
@@ -168,6 +168,8 @@ def _scanner(spark, rows: list[tuple[str, list[str]]]):
             yield pd.DataFrame(
                 list(scan(texts_of(texts), windows)), columns=["n_words", "starts", "ends", "cuts", "items"]
             )
+        del windows
+        at_rest()
 
     return scanned
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm.bitmap import may_be_wanted, those_maybe_wanted
-from tripledger.llm.common import as_text, fresh_name, mix64, numbers_of, sole_memory, stored, texts_of, utf8
+from tripledger.llm.common import as_text, at_rest, fresh_name, mix64, numbers_of, sole_memory, stored, texts_of, utf8
 from tripledger.llm.components import components, forest
 from tripledger.llm.tokens import in_steps
 
@@ -80,6 +80,11 @@ def _word_hash(word: bytes) -> int:
     return found
 
 
+def _forget() -> None:
+    """A task's function holds a copy of ``_words`` itself; this one finds the worker's."""
+    _words.clear()
+
+
 def grams(text: str, width: int) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams; the whole text if it has fewer words."""
     words = utf8(text).lower().split()  # bytes: only A-Z change, only ASCII blanks separate
@@ -123,7 +128,7 @@ def _signed(docs: DataFrame, like: Likeness, text: str, identify=_identity) -> D
     """Per row: the set's identity (``a``, ``b``), its short name ``set_id``, size and signature; stored."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sole_memory("words", _words.clear)
+        sole_memory("words", _forget)
         for batch in batches:
             keys, texts = numbers_of(batch["doc_id"]), texts_of(batch["text"])
             for begin, end in in_steps(texts):
@@ -135,6 +140,8 @@ def _signed(docs: DataFrame, like: Likeness, text: str, identify=_identity) -> D
                         continue
                     out.append((key, *identify(found.tobytes()), len(found), signature(found, like).view(np.int64)))
                 yield pd.DataFrame(out, columns=["doc_id", "a", "b", "n", "tokens"], dtype=object)
+        _forget()
+        at_rest()
 
     rows = docs.select(as_text("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return _named(stored(rows.mapInPandas(sign, "doc_id long, a long, b long, n long, tokens array<long>"), "signatures"))
@@ -162,7 +169,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str, ide
     """(``set_id``, ``n``, ``grams``) of the wanted (``doc_id``, ``set_id``, ``a``, ``b``), from the texts again."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sole_memory("words", _words.clear)
+        sole_memory("words", _forget)
         for batch in batches:
             keys, texts = batch["set_id"].tolist(), texts_of(batch["text"])
             halves = list(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True))
@@ -173,6 +180,8 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, like: Likeness, text: str, ide
                     if len(found) and identify(found.tobytes()) == both:  # else another row of this doc_id
                         out.append((key, len(found), found.view(np.int64)))
                 yield pd.DataFrame(out, columns=["set_id", "n", "grams"], dtype=object)
+        _forget()
+        at_rest()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     # The same join at every size, here and where the n-grams are joined: a broadcast on small tables

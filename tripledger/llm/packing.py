@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import as_text, numbers_of, stored, texts_of
+from tripledger.llm.common import as_text, at_rest, numbers_of, stored, texts_of
 from tripledger.llm.tokens import Encoder, in_steps
 
 #: Pieces of text whose ids a worker remembers: twice as many at most.
@@ -92,6 +92,7 @@ def pieces(
                         )
                         seen[length] += 1
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)
+        at_rest()
 
     texts = docs.select(as_text("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     made = texts.mapInPandas(tokenised, PIECES)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import fresh_name, is_held_out, small_batches, sole_memory, texts_of
+from tripledger.llm.common import at_rest, fresh_name, is_held_out, small_batches, sole_memory, texts_of
 from tripledger.llm.decontaminate import words_of
 
 WINDOW = 32
@@ -422,6 +422,8 @@ def scored(docs: DataFrame, net: Network | None, into: str = "score", text: str
         scorer = Scorer(shared.value)
         for texts in batches:
             yield pd.Series(scorer.score(texts_of(texts)), dtype="float64")
+        del scorer
+        at_rest()
 
     return docs.withColumn(into, toxicity(F.col(f"`{text}`").cast("string")))
 
