@@ -30,7 +30,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def as_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids, each in its place in a sequence of at most 2048 tokens."""
-    return packing.packed(docs, packing.session_path(spark, "byte_bpe_50k.json"), ids=True)
+    # By this stage the executors' heaps have grown to their limit: workers remember less than where packing runs alone.
+    return packing.packed(docs, packing.session_path(spark, "byte_bpe_50k.json"), ids=True, remembered=150_000)
 
 
 STAGES = [

@@ -52,6 +52,20 @@ def test_new_pieces_that_begin_with_a_blank_are_encoded_together(tokenizer, name
     assert {p.strip() for p in slow} == {"un", ",", *alone.split()[1:]}
 
 
+@pytest.mark.parametrize(("name", "remembered"), [(BYTE, packing.REMEMBERED)])
+def test_what_half_a_million_other_words_do_not_push_out(tokenizer, name, remembered):
+    encoder = Encoder(tokenizer(name), remembered)
+    sent, joined = [], encoder._joined
+    encoder._joined = lambda pieces: sent.extend(pieces) or joined(pieces)
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in f"{k:06d}") for k in range(540_000)]
+    for begin in range(0, len(words), 20_000):
+        encoder.encode(["x " + " ".join(words[begin : begin + 20_000])])
+    assert len(sent) == len(words)
+    encoder.encode(["x " + " ".join(words[:20_000])])
+    assert len(sent) == len(words)
+
+
 # ---------------------------------------------------------------- packing
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tripledger.llm.common import as_text, at_rest, numbers_of, stored, texts_of
 from tripledger.llm.tokens import Encoder, in_steps
 
-#: Pieces of text whose ids a worker remembers: twice as many at most.
-REMEMBERED = 150_000
+#: Pieces of text whose ids a worker remembers: twice as many at most, some 200 bytes each.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ PIECES = (
 
 def pieces(
     docs: DataFrame, path: str, end_id: int = 0, capacity: Capacity = Capacity(), ids: bool = True,
-    text: str = "text",
+    text: str = "text", remembered: int = REMEMBERED,
 ) -> DataFrame:
     """The pieces of all documents, with their ids (little-endian unsigned 32-bit) if asked for.
 
@@ -75,7 +75,7 @@ def pieces(
     longest = capacity.longest
 
     def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.at(path, remembered=REMEMBERED)
+        encoder = Encoder.at(path, remembered=remembered)
         tail = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(longest + 1, np.int64)
@@ -201,14 +201,15 @@ def pack(made: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
 
 
 def packed(
-    docs: DataFrame, path: str, end_id: int = 0, capacity: Capacity = Capacity(), ids: bool = False, text: str = "text"
+    docs: DataFrame, path: str, end_id: int = 0, capacity: Capacity = Capacity(), ids: bool = False, text: str = "text",
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Every document's pieces, each in its place in a sequence.
 
     A null text is empty: a piece with the end id alone. Repeated rows are packed as often as they
     come; a null ``doc_id`` stays null. An empty table gives no rows. Other columns are left out.
     """
-    return pack(stored(pieces(docs, path, end_id, capacity, ids, text), "pieces"), capacity)
+    return pack(stored(pieces(docs, path, end_id, capacity, ids, text, remembered), "pieces"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
