@@ -12,7 +12,7 @@ import pytest
 from corpus_helpers import extra
 from pyspark.sql import functions as F
 
-from tripledger.llm import id_file, packing, warc
+from tripledger.llm import id_file, packing, tokens, warc
 from tripledger.llm.packing import Capacity
 from tripledger.llm.tokens import Encoder
 
@@ -52,7 +52,7 @@ def test_new_pieces_that_begin_with_a_blank_are_encoded_together(tokenizer, name
     assert {p.strip() for p in slow} == {"un", ",", *alone.split()[1:]}
 
 
-@pytest.mark.parametrize(("name", "remembered"), [(BYTE, packing.REMEMBERED)])
+@pytest.mark.parametrize(("name", "remembered"), [(BYTE, packing.REMEMBERED), (WORD, tokens.REMEMBERED)])
 def test_what_half_a_million_other_words_do_not_push_out(tokenizer, name, remembered):
     encoder = Encoder(tokenizer(name), remembered)
     sent, joined = [], encoder._joined
